@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .sharding import op8_ring_shards
+from .warc import op9_zip_warc
 
 QUERIES = {
     "op8_ring_shards": op8_ring_shards,
+    "op9_zip_warc": op9_zip_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_zip_warc": oracles.OP9_ZIP_WARC,
+}
