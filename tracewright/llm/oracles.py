@@ -13,3 +13,28 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN first_id <> page_id THEN first_id END AS refers_to
 FROM d LEFT JOIN f USING (payload_digest)
 """
+
+OP2_SUFFIX_AUTOMATON = """
+WITH fold AS (
+  SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper_az, 'abcdefghijklmnopqrstuvwxyz' AS lower_az
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), upper_az, lower_az), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents, fold
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), upper_az, lower_az), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark, fold
+), bw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1 : i + least(len(w), 10)], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0 AND item_id IS NOT NULL)
+), lens AS (SELECT DISTINCT n FROM bw), dw AS (
+  SELECT doc_id, i, n, array_to_string(w[i + 1 : i + n], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(greatest(0, len(w) - n + 1))) AS i FROM d, lens)
+), hit AS (
+  SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n
+), per AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1
+), ids AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""

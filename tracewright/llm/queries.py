@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from . import oracles
+from .decontam import op2_suffix_automaton
 from .sharding import op8_ring_shards
 from .warc import op9_zip_warc
 
 QUERIES = {
+    "op2_suffix_automaton": op2_suffix_automaton,
     "op8_ring_shards": op8_ring_shards,
     "op9_zip_warc": op9_zip_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_automaton": oracles.OP2_SUFFIX_AUTOMATON,
     "op9_zip_warc": oracles.OP9_ZIP_WARC,
 }
