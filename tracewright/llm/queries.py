@@ -5,12 +5,14 @@ from __future__ import annotations
 from . import oracles
 from .bpe import op5_numpy_bpe
 from .decontam import op2_suffix_automaton
+from .gif import op7_gif
 from .sharding import op8_ring_shards
 from .warc import op9_zip_warc
 
 QUERIES = {
     "op2_suffix_automaton": op2_suffix_automaton,
     "op5_numpy_bpe": op5_numpy_bpe,
+    "op7_gif": op7_gif,
     "op8_ring_shards": op8_ring_shards,
     "op9_zip_warc": op9_zip_warc,
 }
