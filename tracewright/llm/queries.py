@@ -8,10 +8,12 @@ from .decontam import op2_suffix_automaton
 from .gif import op7_gif
 from .sharding import op8_ring_shards
 from .warc import op9_zip_warc
+from .wavelet import op6_wavelet_matrix
 
 QUERIES = {
     "op2_suffix_automaton": op2_suffix_automaton,
     "op5_numpy_bpe": op5_numpy_bpe,
+    "op6_wavelet_matrix": op6_wavelet_matrix,
     "op7_gif": op7_gif,
     "op8_ring_shards": op8_ring_shards,
     "op9_zip_warc": op9_zip_warc,
