@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import weakref
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,7 @@ class Scratch:
     """
 
     live: dict[str, list[tuple[SparkSession, str]]] = {}
+    places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
     @classmethod
     def path(cls, spark: SparkSession, owner: str, label: str) -> str:
@@ -56,15 +58,25 @@ class Scratch:
         spark = df.sparkSession
         path = cls.path(spark, owner, label)
         df.write.option("compression", "zstd").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        cls.places[back := spark.read.schema(df.schema).parquet(path)] = path
+        return back
+
+    @classmethod
+    def free(cls, *tables: DataFrame) -> None:
+        """Delete tables that nothing will read again."""
+        for df in tables:
+            cls.delete(df.sparkSession, cls.places.pop(df))
+
+    @staticmethod
+    def delete(spark: SparkSession, path: str) -> None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     @classmethod
     def drop(cls, owner: str) -> None:
         for spark, path in cls.live.pop(owner, []):
             try:
-                jvm = spark.sparkContext._jvm
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+                cls.delete(spark, path)
             except Exception:  # the session has gone; its folder goes with the cluster's clean-up
                 return
 
@@ -84,3 +96,8 @@ def lookup_join(df: DataFrame, dim: DataFrame, on: list[str], rows: int | None =
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; extra columns, whatever their names, do not take part."""
     return df.select(*[df[f"`{n}`"] for n in names])
+
+
+def having(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """Semi or anti join; the ids are broadcast only when their measured number allows."""
+    return df.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_ROWS else ids, on, how)

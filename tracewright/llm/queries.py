@@ -8,11 +8,13 @@ from .decontam import op2_suffix_automaton
 from .gif import op7_gif
 from .minhash import op4_minhash
 from .sharding import op8_ring_shards
+from .substrings import op3_suffix_repeats
 from .warc import op9_zip_warc
 from .wavelet import op6_wavelet_matrix
 
 QUERIES = {
     "op2_suffix_automaton": op2_suffix_automaton,
+    "op3_suffix_repeats": op3_suffix_repeats,
     "op4_minhash": op4_minhash,
     "op5_numpy_bpe": op5_numpy_bpe,
     "op6_wavelet_matrix": op6_wavelet_matrix,
