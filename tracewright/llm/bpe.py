@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 #: The word pattern of byte-level BPE (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker remembers, and the longest that it does.
-CACHED_WORDS, CACHED_CHARS = 400_000, 64
+CACHED_WORDS, CACHED_CHARS = 800_000, 64
 NO_RANK = np.int64(1 << 60)
 
 
@@ -104,40 +105,77 @@ class ByteBPE:
 
 
 class CachedEncoder:
-    """Texts to little-endian uint32 ids, through an encoder of many words and a bounded memory of words."""
+    """Texts to little-endian uint32 ids, through an encoder of many words and a bounded memory of words.
+
+    A space with no white space after it always begins a word, so texts without other spaces are cut
+    there first; what stands between is remembered too, and only new pieces are split by the pattern.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], added: dict[str, int]):
         self.encode_words, self.added = encode, {k: np.uint32(v).tobytes() for k, v in added.items()}
-        self.words = regex.compile(PATTERN)
+        self.pattern, self.wide = regex.compile(PATTERN), re.compile(r" \s")
         self.cut = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.known: dict[str, bytes] = dict(self.added)
+        self.words: dict[str, bytes] = dict(self.added)
+        self.pieces: dict[str, bytes] = {}  # of a space and the piece
 
     def split(self, text: str) -> list[str]:
         """Words, and added tokens as words."""
         if self.cut is None or not any(x in text for x in self.added):
-            return self.words.findall(text)
+            return self.pattern.findall(text)
         out, at = [], 0
         for m in self.cut.finditer(text):
-            out += self.words.findall(text[at : m.start()])
+            out += self.pattern.findall(text[at : m.start()])
             out.append(m[0])
             at = m.end()
-        return out + self.words.findall(text[at:])
+        return out + self.pattern.findall(text[at:])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        used = set().union(*split)
-        new = list(used.difference(self.known))
-        coded = dict(zip(new, self.encode_words(new), strict=True))
-        self.known |= coded
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        if len(self.known) > CACHED_WORDS:  # words of the last texts stay: the common ones are among them
-            self.known = self.added | {w: self.known[w] for w in used if len(w) <= CACHED_CHARS}
-        else:
-            for w in coded:
-                if len(w) > CACHED_CHARS:
-                    del self.known[w]
+        heads, tails = [], []
+        for text in texts:
+            if self.wide.search(text) or any(x in text for x in self.added):
+                head, tail = self.split(text), []
+            else:
+                first, *tail = text.split(" ")
+                head = self.pattern.findall(first)
+            heads.append(head)
+            tails.append(tail)
+        pieces, words = set().union(*tails), set().union(*heads)
+        new = pieces.difference(self.pieces)
+        # letters alone are one word with the space before them
+        split = {x: self.pattern.findall(" " + x) for x in new if not x.isalpha()}
+        for x, own in split.items():
+            if len(own) > 1:
+                words.update(own)
+                new.discard(x)
+        spaced = {w for w in words if len(w) > 1 and w[0] == " "}  # kept under what follows the space
+        words -= spaced
+        fresh = list(new.union(w[1:] for w in spaced).difference(self.pieces))
+        fresh_words = list(words.difference(self.words))
+        coded = self.encode_words([*(" " + x for x in fresh), *fresh_words])
+        self.pieces |= zip(fresh, coded, strict=False)
+        self.words |= zip(fresh_words, coded[len(fresh) :], strict=True)
+        for x, own in split.items():
+            if len(own) > 1:
+                self.pieces[x] = b"".join(map(self._word, own))
+        get = self.pieces.__getitem__
+        out = [b"".join([*map(self._word, head), *map(get, tail)]) for head, tail in zip(heads, tails, strict=True)]
+        self.words = self._bounded(self.words, fresh_words, words)
+        self.words |= self.added
+        self.pieces = self._bounded(self.pieces, [*new, *fresh, *split], pieces)
         return out
 
+    def _word(self, word: str) -> bytes:
+        return self.pieces[word[1:]] if len(word) > 1 and word[0] == " " else self.words[word]
+
+    @staticmethod
+    def _bounded(known: dict[str, bytes], new: list[str], used: set[str]) -> dict[str, bytes]:
+        if len(known) > CACHED_WORDS:  # those of the last texts stay: the common ones are among them
+            return {w: known[w] for w in used if len(w) <= CACHED_CHARS}
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                known.pop(w, None)
+        return known
+
 
 def slices(texts: list[str], limit: int = 1 << 20) -> Iterator[list[str]]:
     """Runs of texts of about limit characters, so that memory does not follow the batch."""

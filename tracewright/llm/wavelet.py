@@ -26,16 +26,17 @@ from .common import Scratch
 from .files import Ranged, put
 
 MAGIC, BLOCK_BITS = b"TWWAVEL1", 512
-SHARD_TOKENS, END_ID = 1 << 21, 2
+SHARD_TOKENS, END_ID, WORDS_A_CALL = 1 << 21, 2, 256
 
 
 def build(ids: np.ndarray, keys: list[int], counts: list[int]) -> list[bytes]:
     """The parts of a file. ids below 2^32; keys and counts tell the documents in order."""
     planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    ids, zeros, body = ids.astype(np.uint32), [], []
+    kind = np.uint16 if planes <= 16 else np.uint32
+    ids, zeros, body = ids.astype(kind), [], []
     blocks = -(-len(ids) // BLOCK_BITS)
     for b in range(planes - 1, -1, -1):
-        ones = (ids >> np.uint32(b) & np.uint32(1)).astype(bool)
+        ones = (ids & kind(1 << b)) != 0
         packed = np.zeros(blocks * BLOCK_BITS // 8, np.uint8)
         bits = np.packbits(ones, bitorder="little")
         packed[: len(bits)] = bits
@@ -44,7 +45,7 @@ def build(ids: np.ndarray, keys: list[int], counts: list[int]) -> list[bytes]:
         np.cumsum(inside[:-1], out=before[1:])
         body += [packed.tobytes(), before.astype("<u4").tobytes()]
         zeros.append(len(ids) - int(ones.sum()))
-        ids = np.concatenate([ids[~ones], ids[ones]])
+        ids = np.concatenate([np.compress(~ones, ids), np.compress(ones, ids)])
     table = zlib.compress(np.array([keys, counts], "<i8").tobytes(), 3)
     return [MAGIC, np.array([len(ids), planes, len(keys), len(table), *zeros], "<u8").tobytes(), table, *body]
 
@@ -130,14 +131,16 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """Every id in order: one pass over the planes, from the last to the first, undoing each move."""
-        ids = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.planes <= 16 else np.uint32
+        ids = np.zeros(self.n, kind)
         for k in range(self.planes - 1, -1, -1):
             ones = np.unpackbits(self.plane(k)[0], count=self.n, bitorder="little").view(bool)
             back = np.empty_like(ids)
-            back[~ones], back[ones] = ids[: self.zeros[k]], ids[self.zeros[k] :] | np.uint32(1 << (self.planes - 1 - k))
+            back[np.flatnonzero(~ones)] = ids[: self.zeros[k]]
+            back[np.flatnonzero(ones)] = ids[self.zeros[k] :] | kind(1 << (self.planes - 1 - k))
             ids = back
             del self._plane[k]
-        return ids
+        return ids.astype(np.uint32)
 
 
 _library: dict[str, CachedEncoder] = {}
@@ -153,10 +156,33 @@ def library_encoder(name: str) -> CachedEncoder:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         added = {x.content: i for i, x in tokenizer.get_added_tokens_decoder().items()}
-        _library[name] = CachedEncoder(lambda words: [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)], added)
+        opening = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+        for token, i in tokenizer.get_vocab().items():
+            opening[i] = token.startswith(chr(256 + 32))  # a space, as byte-level vocabularies write it
+        _library[name] = CachedEncoder(lambda words: encode_words(tokenizer, opening, words), added)
     return _library[name]
 
 
+def encode_words(tokenizer, opening: np.ndarray, words: list[str]) -> list[bytes]:
+    """Ids of each word. Words of a space and letters are asked for many at a time, as the library cuts them apart again."""
+    out: list[bytes] = [b""] * len(words)
+    plain = [k for k, w in enumerate(words) if w[0] == " " and w[1:].isalpha()]
+    for i in range(0, len(plain), WORDS_A_CALL):
+        own = plain[i : i + WORDS_A_CALL]
+        got = tokenizer.encode_batch_fast(["".join([words[k] for k in own])], add_special_tokens=False)[0]
+        ids = np.array(got.ids, "<u4")
+        starts = np.flatnonzero(opening[ids]) * 4  # the space is in each word's first token, and nowhere else
+        if len(starts) != len(own):
+            raise ValueError("the library cut words otherwise than expected")
+        raw = ids.tobytes()
+        for k, a, b in zip(own, starts.tolist(), [*starts[1:].tolist(), len(raw)], strict=True):
+            out[k] = raw[a:b]
+    rest = sorted(set(range(len(words))).difference(plain))
+    for k, got in zip(rest, tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
+        out[k] = np.array(got.ids, "<u4").tobytes()
+    return out
+
+
 def write_shards(batches: Iterator[pa.RecordBatch], name: str, folder: str, end_id: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:
     encoder, end = library_encoder(name), np.uint32(end_id).tobytes()
     made: list[tuple] = []
