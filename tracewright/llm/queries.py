@@ -7,12 +7,14 @@ from .bpe import op5_numpy_bpe
 from .decontam import op2_suffix_automaton
 from .gif import op7_gif
 from .minhash import op4_minhash
+from .quality import op10_empirical_bayes
 from .sharding import op8_ring_shards
 from .substrings import op3_suffix_repeats
 from .warc import op9_zip_warc
 from .wavelet import op6_wavelet_matrix
 
 QUERIES = {
+    "op10_empirical_bayes": op10_empirical_bayes,
     "op2_suffix_automaton": op2_suffix_automaton,
     "op3_suffix_repeats": op3_suffix_repeats,
     "op4_minhash": op4_minhash,
@@ -24,6 +26,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_empirical_bayes": op10_empirical_bayes,
     "op2_suffix_automaton": oracles.OP2_SUFFIX_AUTOMATON,
     "op9_zip_warc": oracles.OP9_ZIP_WARC,
 }
