@@ -81,12 +81,12 @@ def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], names=["doc_id", "shingles"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose full sets reach the threshold."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the size of their full sets' intersection, and whether they reach the threshold."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(right, "b").join(left, "a").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return both.filter(DENOMINATOR * F.col("both") >= NUMERATOR * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+    both = pairs.join(right, "b").join(left, "a").withColumn("both", F.size(F.array_intersect("sa", "sb")).cast("long"))
+    return both.select("a", "b", "both", (DENOMINATOR * F.col("both") >= NUMERATOR * (F.size("sa") + F.size("sb") - F.col("both"))).alias("near"))
 
 
 def near_components(docs: DataFrame, owner: str = "minhash", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -122,20 +122,24 @@ def near_components(docs: DataFrame, owner: str = "minhash", bands: int = BANDS,
     members = Scratch.write(members.join(best, "band"), owner, "members")
     star = members.filter("rep <> center").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
     star = Scratch.write(star, owner, "star")
-    links = Scratch.write(verified(star, sets), owner, "links")
+    star = Scratch.write(overlaps(star, sets), owner, "overlaps")
+    links = star.filter("near").select("a", "b")
     found = Scratch.write(connected_components(links, owner), owner, "components")
     # what the stars have left: members outside of their bucket's main component, against all others of it
     now = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = now.groupBy("band", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("components")).filter("components > 1").select("band", "main")
-    now = Scratch.write(now.join(main, "band").select("band", "rep", "size", "common", "most", "component", "main"), owner, "now")
-    x = now.filter("component <> main").select("band", *[F.col(c).alias(f"x_{c}") for c in ("rep", "size", "common", "most", "component")])
+    now = now.join(main, "band").select("band", "rep", "center", "size", "common", "most", "component", "main", F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"))
+    # of a member's shingles: those of its bucket's center, and others that some candidate has
+    now = now.join(star.select("a", "b", "both"), ["a", "b"], "left").withColumn("inside", F.coalesce("both", "size")).withColumn("outside", F.col("common") - F.col("inside"))
+    now = Scratch.write(now.select("band", "rep", "size", "most", "component", "main", "inside", "outside"), owner, "now")
+    x = now.filter("component <> main").select("band", *[F.col(c).alias(f"x_{c}") for c in ("rep", "size", "most", "component", "inside", "outside")])
     y = now.drop("main")
-    bound = F.least("x_common", "common")
+    bound = F.least("x_inside", "inside") + F.least("x_outside", "outside")
     fits = (F.col("x_component") != F.col("component")) & (F.col("size") <= F.col("x_most")) & (F.col("x_size") <= F.col("most")) & (DENOMINATOR * bound >= NUMERATOR * (F.col("x_size") + F.col("size") - bound))
     rest = x.join(y, (x["band"] == y["band"]) & fits).select(F.least("x_rep", "rep").alias("a"), F.greatest("x_rep", "rep").alias("b")).distinct()
-    rest = Scratch.write(rest.join(star, ["a", "b"], "left_anti"), owner, "rest")
-    more = verified(rest, sets)
+    rest = Scratch.write(rest.join(star.select("a", "b"), ["a", "b"], "left_anti"), owner, "rest")
+    more = overlaps(rest, sets).filter("near").select("a", "b")
     joined = Scratch.write(links.union(more), owner, "links")
     found = connected_components(joined, owner)
     target = forms.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").filter("n > 1 or component is not null").select("form", F.coalesce("component", "rep").alias("target"))
