@@ -155,7 +155,11 @@ def sorted_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
         owners = mix(uid[block].view(_U) ^ mix(start.astype(_U) + _U(1))).view(np.int64)
         core = np.array([r[0] for r in rows], np.int64)
         hit = repeated(data, starts, np.cumsum(np.diff(core, prepend=core[:1]) != 0)[block], owners, length)
-        return pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (uid[block], n[block], start, start)], names=["uid", "n_bytes", "first", "last"])
+        # runs of hits within a block
+        edge = np.concatenate([[True], block[1:] != block[:-1]])
+        opens, closes = hit & (edge | ~np.append(False, hit[:-1])), hit & (np.append(edge[1:], True) | ~np.append(hit[1:], False))
+        of = block[opens]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (uid[of], n[of], start[opens], start[closes])], names=["uid", "n_bytes", "first", "last"])
 
     for batch in batches:
         held += zip(*(batch.column(c).to_pylist() for c in ("core", "uid", "n_bytes", "start", "bytes")), strict=True)
@@ -194,15 +198,17 @@ class _Search:
         """Intervals of windows that are repeated for sure, and the blocks in doubt with their cores' number."""
         rows = Scratch.write(self.with_text(places).mapInArrow(lambda it, b=block, n=self.length: block_batches(it, b, n), "core long, full long, whole boolean, uid long, n_bytes long, start long"), self.owner, "blocks")
         place = F.xxhash64("uid", "n_bytes", "start")
-        ends = (F.min("place").alias("lo"), F.max("place").alias("hi"), F.count("*").alias("n"))
-        cores = rows.select("core", place.alias("place")).groupBy("core").agg(*ends).filter("lo <> hi").select("core", "n")
-        wholes = rows.filter("whole").select("core", "full", place.alias("place")).groupBy("core", "full").agg(*ends).filter("lo <> hi").select("core", "full", F.lit(True).alias("repeats"))
-        judged = Scratch.write(rows.join(cores, "core").join(wholes, ["core", "full"], "left").select("core", "uid", "n_bytes", "start", "n", (F.col("whole") & F.coalesce("repeats", F.lit(False))).alias("sure")), self.owner, "judged")
+        ends = (F.min("place").alias("lo"), F.max("place").alias("hi"))
+        cores = rows.select("core", place.alias("place")).groupBy("core").agg(*ends).filter("lo <> hi").select("core")
+        wholes = rows.filter("whole").select("core", "full", place.alias("place")).groupBy("core", "full").agg(*ends).filter("lo <> hi").select("core", "full", "lo")
+        judged = rows.join(cores, "core").join(wholes, ["core", "full"], "left").withColumn("sure", F.col("whole") & F.col("lo").isNotNull())
+        # of equal blocks one stays in the search, as the others' witness
+        judged = Scratch.write(judged.select("core", "uid", "n_bytes", "start", "sure", (~F.col("sure") | (F.col("lo") == place)).alias("goes_on")), self.owner, "judged")
         Scratch.free(rows)
         sure = judged.filter("sure").select("uid", "n_bytes", F.col("start").alias("first"), (F.col("start") + block - 1).alias("last"))
-        # a core all of whose blocks are sure has nothing in doubt, and no witness is needed
-        doubt = judged.join(judged.filter("not sure").select("core").distinct(), "core", "left_semi")
-        return sure, doubt
+        going = judged.filter("goes_on")
+        open_cores = going.groupBy("core").agg(F.count("*").alias("n"), F.count_if(~F.col("sure")).alias("open")).filter("open > 0").select("core", "n")
+        return sure, Scratch.write(going.join(open_cores, "core").select("core", "uid", "n_bytes", "start", "n"), self.owner, "doubt")
 
     @staticmethod
     def cut(doubt: DataFrame, block: int, to: int) -> DataFrame:
@@ -250,9 +256,10 @@ def repeated_windows(docs: DataFrame, heads: DataFrame, owner: str, length: int
 def removal_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, spans in zip(pc.cast(batch.column("text"), pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for text, listed in zip(pc.cast(batch.column("text"), pa.binary()).to_pylist(), batch.column("spans"), strict=True):
+            spans = listed.values
             delta = np.zeros(len(text) + 1, np.int32)
-            windows = np.array([(x["first"], x["last"]) for x in spans], np.int64).reshape(-1, 2)
+            windows = np.column_stack([spans.field("first").to_numpy(), spans.field("last").to_numpy()])
             np.add.at(delta, np.maximum(windows[:, 0], 0), 1)
             np.add.at(delta, np.minimum(windows[:, 1] + length, len(text)), -1)
             gone = np.cumsum(delta[:-1]) > 0
