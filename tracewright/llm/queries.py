@@ -10,10 +10,12 @@ from .minhash import op4_minhash
 from .quality import op10_empirical_bayes
 from .sharding import op8_ring_shards
 from .substrings import op3_suffix_repeats
+from .toxicity import op1_deobfuscated_toxicity
 from .warc import op9_zip_warc
 from .wavelet import op6_wavelet_matrix
 
 QUERIES = {
+    "op1_deobfuscated_toxicity": op1_deobfuscated_toxicity,
     "op10_empirical_bayes": op10_empirical_bayes,
     "op2_suffix_automaton": op2_suffix_automaton,
     "op3_suffix_repeats": op3_suffix_repeats,
@@ -26,6 +28,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_deobfuscated_toxicity": op1_deobfuscated_toxicity,
     "op10_empirical_bayes": op10_empirical_bayes,
     "op2_suffix_automaton": oracles.OP2_SUFFIX_AUTOMATON,
     "op9_zip_warc": oracles.OP9_ZIP_WARC,
