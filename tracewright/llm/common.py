@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only after its row count was measured and is no larger than this.
 MAX_BROADCAST_ROWS = 200_000
+#: Documents may be long, so a batch to a Python worker has at most so many.
+ARROW_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,8 @@ def ensure_importable(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
