@@ -23,7 +23,7 @@ from .common import Scratch
 from .fitting import bounded_sample, fit_logistic, held_out, sigmoid
 
 #: The model is fitted on at most so many toxic and so many other labelled documents.
-FIT_TOXIC, FIT_CLEAN = 4_000, 12_000
+FIT_TOXIC, FIT_CLEAN = 3_000, 6_000
 #: Stems are whole words or beginnings of these lengths, in at least LEAST_DOCS toxic documents.
 LENGTHS, CANDIDATES, STEMS, LEAST_DOCS, RIDGE = (4, 5, 6, 7, 8), 2_000, 64, 4, 1e-3
 THRESHOLD = 0.7
@@ -152,22 +152,23 @@ def places_of(token: str, model: np.ndarray, place: dict[str, int]) -> tuple[int
 
 def restore_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """Of labelled documents: tokens, and the stems with how often they occur."""
-    seen: dict[str, set[str]] = {}
-    for batch in batches:
-        rows = []
-        for text in batch.column("text").to_pylist():
-            tokens = token_counts(text or "")
-            found: Counter[str] = Counter()
-            for t, n in tokens.items():
-                if t not in seen:
-                    seen[t] = stems_of(t, shared.value)
-                for stem in seen[t]:
-                    found[stem] += n
-            if len(seen) > CACHED // 8:
-                seen = {}
-            rows.append((sum(tokens.values()), list(found.items())))
-        tokens, stems = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(tokens, pa.int64()), pa.array(stems, pa.map_(pa.string(), pa.int64()))], names=["doc_id", "toxic", "tokens", "stems"])
+    seen: dict[str, tuple[str, ...]] = {}
+    for whole in batches:
+        for batch in (whole.slice(i, 50) for i in range(0, len(whole), 50)):  # a text has many stems
+            tokens, stems = [], []
+            for text in batch.column("text").to_pylist():
+                own = token_counts(text or "")
+                found: Counter[str] = Counter()
+                for t, n in own.items():
+                    if t not in seen:
+                        seen[t] = tuple(stems_of(t, shared.value))
+                    for stem in seen[t]:
+                        found[stem] += n
+                tokens.append(sum(own.values()))
+                stems.append(list(found.items()))
+                if len(seen) > CACHED // 16:
+                    seen = {}
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(tokens, pa.int64()), pa.array(stems, pa.map_(pa.string(), pa.int64()))], names=["doc_id", "toxic", "tokens", "stems"])
 
 
 def inputs(counts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
