@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 #: The word pattern of byte-level BPE (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker remembers, and the longest that it does.
-CACHED_WORDS, CACHED_CHARS = 800_000, 64
+CACHED_WORDS, CACHED_CHARS = 600_000, 64
 NO_RANK = np.int64(1 << 60)
 
 
@@ -117,6 +117,7 @@ class CachedEncoder:
         self.cut = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.words: dict[str, bytes] = dict(self.added)
         self.pieces: dict[str, bytes] = {}  # of a space and the piece
+        self.again: set[str] = set()  # pieces that occurred again since the last clearing
 
     def split(self, text: str) -> list[str]:
         """Words, and added tokens as words."""
@@ -141,6 +142,8 @@ class CachedEncoder:
             tails.append(tail)
         pieces, words = set().union(*tails), set().union(*heads)
         new = pieces.difference(self.pieces)
+        self.again |= pieces
+        self.again -= new
         # letters alone are one word with the space before them
         split = {x: self.pattern.findall(" " + x) for x in new if not x.isalpha()}
         for x, own in split.items():
@@ -159,9 +162,16 @@ class CachedEncoder:
                 self.pieces[x] = b"".join(map(self._word, own))
         get = self.pieces.__getitem__
         out = [b"".join([*map(self._word, head), *map(get, tail)]) for head, tail in zip(heads, tails, strict=True)]
-        self.words = self._bounded(self.words, fresh_words, words)
-        self.words |= self.added
-        self.pieces = self._bounded(self.pieces, [*new, *fresh, *split], pieces)
+        for w in (w for w in fresh_words if len(w) > CACHED_CHARS):
+            del self.words[w]
+        if len(self.words) > CACHED_WORDS:
+            self.words = dict(self.added)
+        long = [w for w in (*new, *fresh, *split) if len(w) > CACHED_CHARS]
+        for w in long:
+            self.pieces.pop(w, None)
+        if len(self.pieces) > CACHED_WORDS:  # those that came once go
+            self.pieces = {w: self.pieces[w] for w in self.again if w in self.pieces} if len(self.again) < CACHED_WORDS // 2 else {}
+            self.again = set()
         return out
 
     def _word(self, word: str) -> bytes:
