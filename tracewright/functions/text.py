@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,21 +63,9 @@ def lookup_name(expression: Column) -> Column:
     return F.trim(F.regexp_replace(expression, "^&+", ""))
 
 
-def block_lines(lines: Column, start: Column) -> Column:
-    """Of lines (array), those of the brace block that begins at 1-based start; to the end if it never balances.
-
-    Carried along the lines: the depth so far, whether a brace was opened, and the last line taken.
-    """
-    tail = F.slice(lines, start, F.greatest(F.size(lines) - start + 1, F.lit(0)))
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("opened"), F.lit(0).alias("taken"), F.lit(False).alias("done"))
-
-    def step(acc: Column, line: Column) -> Column:
-        depth = acc["depth"] + count_of(line, "{") - count_of(line, "}")
-        opened = acc["opened"] | line.contains("{")
-        return F.when(acc["done"], acc).otherwise(F.struct(depth.alias("depth"), opened.alias("opened"), (acc["taken"] + 1).alias("taken"), (opened & (depth <= 0)).alias("done")))
-
-    end = F.aggregate(tail, zero, step)
-    return F.struct(F.slice(tail, 1, end["taken"]).alias("lines"), end["done"].alias("balanced"), end["taken"].alias("n"))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def c_type(raw: Column, declarator: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_noise
-from ..functions.text import count_of, strip_comments
+from ..functions.text import count_of, let, strip_comments
 from ..plans import kit
 
 
@@ -66,19 +66,24 @@ def bodies(symbols: DataFrame, sources: DataFrame, variable_suffix: str = "_sche
     lines = sources.select("file", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).withColumn("i", F.col("i") + 1)
     depth = F.sum(count_of(F.col("line"), "{") - count_of(F.col("line"), "}")).over(Window.partitionBy("file").orderBy("i"))
     laid = lines.select("file", F.struct("i", depth.alias("depth"), F.col("line").contains("{").alias("opens"), "line").alias("x")).groupBy("file").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    wanted = symbols.filter((F.col("symbol_type") == "function") | F.col("symbol").endswith(variable_suffix)).select("symbol", "symbol_type", "file", F.col("line").alias("start"))
-    rows = wanted.join(laid, "file")
+    wanted = symbols.filter((F.col("symbol_type") == "function") | F.col("symbol").endswith(variable_suffix))
+    asked = wanted.groupBy("file").agg(F.collect_list(F.struct("symbol", "symbol_type", F.col("line").alias("start"))).alias("asked"))
 
     def first(test) -> Column:
         return F.get(F.filter("xs", test), F.lit(0))["i"]
 
-    rows = rows.withColumn("base", F.when(F.col("start") > 1, F.get("xs", F.col("start") - 2)["depth"]).otherwise(F.lit(0).cast("long")))
-    rows = rows.withColumn("opened", first(lambda x: (x["i"] >= F.col("start")) & x["opens"]))
-    rows = rows.withColumn("end", first(lambda x: (x["i"] >= F.col("opened")) & (x["depth"] <= F.col("base"))))
-    taken = F.slice("xs", F.col("start"), F.greatest(F.coalesce("end", F.size("xs")) - F.col("start") + 1, F.lit(0)))
-    code = F.array_join(F.transform(taken, lambda x: x["line"]), "\n")
+    def block(s: Column) -> Column:
+        """let() computes its value once, where an expression in a lambda would be computed for every element."""
+        base = F.when(s["start"] > 1, F.get("xs", s["start"] - 2)["depth"]).otherwise(F.lit(0).cast("long"))
+        opened = first(lambda x: (x["i"] >= s["start"]) & x["opens"])
+        end = let(F.struct(base.alias("base"), opened.alias("opened")), lambda v: first(lambda x: (x["i"] >= v["opened"]) & (x["depth"] <= v["base"])))
+        lines = lambda v: F.slice("xs", s["start"], F.greatest(F.coalesce(v["end"], F.size("xs")) - s["start"] + 1, F.lit(0)))
+        return let(F.struct(end.alias("end")), lambda v: F.struct(v["end"].alias("end"), F.array_join(F.transform(lines(v), lambda x: x["line"]), "\n").alias("code")))
+
+    # a file's lines stand in one row, beside all that is asked of it
+    rows = laid.join(asked, "file").select("file", F.explode(F.transform("asked", lambda s: F.struct(s.alias("s"), block(s).alias("b")))).alias("r")).select("file", "r.s.*", "r.b.*")
     ident = F.concat(F.when(F.col("symbol_type") == "function", "func:").otherwise("var:"), "file", F.lit(":"), "symbol")
-    return rows.select(F.lit(2).alias("schema_version"), "symbol", "symbol_type", ident.alias("symbol_id"), "file", F.col("start").alias("start_line"), F.coalesce("end", "start").cast("int").alias("end_line"), code.alias("code")).filter(F.trim("code") != "")
+    return rows.select(F.lit(2).alias("schema_version"), "symbol", "symbol_type", ident.alias("symbol_id"), "file", F.col("start").alias("start_line"), F.coalesce("end", "start").cast("int").alias("end_line"), "code").filter(F.trim("code") != "")
 
 
 def macro_aliases(sources: DataFrame) -> DataFrame:
