@@ -1,0 +1,59 @@
+"""Every stage on its own input, against plain versions."""
+
+from __future__ import annotations
+
+import corpus_pipeline
+from support import DATA
+
+from tracewright.llm.decontam import words_of
+from tracewright.llm.shingles import shingle_sets
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns, sizes = docs.columns, [docs.count()]
+    before = {r.doc_id: r.text for r in docs.collect()}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, DATA)
+        rows = out.collect()
+        sizes.append(len(rows))
+        if k == 4:
+            assert sorted(r.doc_id for r in rows) == sorted(before)
+            assert all(len(r.ids) == r.n_tokens for r in rows)
+            break
+        assert out.columns == columns
+        assert all(r.n_chars == len(r.text) for r in rows)
+        after = {r.doc_id: r.text for r in rows}
+        if k == 0:
+            labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+            assert all(i in after for i, q in labels.items() if q and i in before)
+        if k == 1:
+            sets = dict(zip(after, map(set, shingle_sets([t.encode() for t in after.values()])), strict=True))
+            ids = sorted(after)
+            assert not [1 for x, a in enumerate(ids) for b in ids[:x] if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+        if k == 2:
+            seen: dict[bytes, set[int]] = {}
+            for i, t in before.items():
+                b = t.encode()
+                for s in range(0, len(b) - 199):
+                    seen.setdefault(b[s : s + 200], set()).add(i)
+            shared = {x for x, own in seen.items() if len(own) > 1}
+            for i, t in after.items():
+                b = t.encode()
+                assert t == before[i] or not any(b[s : s + 200] in shared for s in range(len(b) - 199))
+        if k == 3:
+            windows = {tuple(w[k : k + 10]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() for w in [words_of(r.text.encode())] for k in range(max(1, len(w) - 9))}
+            for t in after.values():
+                w = words_of(t.encode())
+                assert not any(tuple(w[p : p + 10]) in windows for p in range(len(w) - 9))
+        path = f"{corpus_pipeline.Scratch.path(spark, 'test', 'stage')}"
+        out.write.parquet(path)
+        docs, before = spark.read.parquet(path), after
+    assert sizes[0] > sizes[1] >= sizes[2]
+
+
+def test_run_and_entry(spark):
+    import __spark_entry__ as e
+
+    assert e.queries()["pipeline"](spark, DATA).count() > 0
+    assert [n for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10) if not any(q.startswith(f"op{n}_") for q in e.queries())] == []

@@ -28,8 +28,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_deobfuscated_toxicity": op1_deobfuscated_toxicity,
-    "op10_empirical_bayes": op10_empirical_bayes,
     "op2_suffix_automaton": oracles.OP2_SUFFIX_AUTOMATON,
     "op9_zip_warc": oracles.OP9_ZIP_WARC,
 }
