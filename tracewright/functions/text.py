@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,11 +61,6 @@ def lookup_name(expression: Column) -> Column:
     return F.trim(F.regexp_replace(expression, "^&+", ""))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once a row however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def c_type(raw: Column, declarator: Column) -> Column:
     """Struct of type_name, kind, qualifiers, pointer_level."""
     words = "|".join(kit.QUALIFIERS)

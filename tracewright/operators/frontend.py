@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_noise
-from ..functions.text import count_of, let, strip_comments
+from ..functions.text import count_of, strip_comments
 from ..plans import kit
 
 
@@ -56,32 +56,35 @@ def name_files(tags: DataFrame) -> DataFrame:
     return tags.groupBy("symbol").agg(F.sort_array(F.collect_list("file")).alias("files"))
 
 
+def _next_at(asked: DataFrame, marks: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
+    """asked with the first mark of its keys that is at or after ``at``: one pass over both, from the end."""
+    both = asked.withColumn("mark", F.lit(0)).withColumn("pos", F.col(at)).unionByName(marks.select(*keys, F.lit(1).alias("mark"), F.col("i").alias("pos")), allowMissingColumns=True)
+    back = Window.partitionBy(*keys).orderBy(F.desc("pos"), F.desc("mark")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(name, F.min(F.when(F.col("mark") == 1, F.col("pos"))).over(back)).filter("mark = 0").drop("mark", "pos")
+
+
 def bodies(symbols: DataFrame, sources: DataFrame, variable_suffix: str = "_sched_class") -> DataFrame:
     """Code chunks: the brace block from each symbol's line; variables only with the suffix; sources are (file, text).
 
-    The brace depth after each line is summed once a file; a block ends on the first line, from its
-    first opening on, where the depth is back. One that never is runs to the end of its file, and
+    The brace depth after each line is summed once a file; a block ends on the first closing line, from
+    its first opening on, where the depth is back. One that never is runs to the end of its file, and
     ends, as recorded, on its first line.
     """
     lines = sources.select("file", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).withColumn("i", F.col("i") + 1)
     depth = F.sum(count_of(F.col("line"), "{") - count_of(F.col("line"), "}")).over(Window.partitionBy("file").orderBy("i"))
-    laid = lines.select("file", F.struct("i", depth.alias("depth"), F.col("line").contains("{").alias("opens"), "line").alias("x")).groupBy("file").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    wanted = symbols.filter((F.col("symbol_type") == "function") | F.col("symbol").endswith(variable_suffix))
-    asked = wanted.groupBy("file").agg(F.collect_list(F.struct("symbol", "symbol_type", F.col("line").alias("start"))).alias("asked"))
-
-    def first(test) -> Column:
-        return F.get(F.filter("xs", test), F.lit(0))["i"]
-
-    def block(s: Column) -> Column:
-        """let() computes its value once, where an expression in a lambda would be computed for every element."""
-        base = F.when(s["start"] > 1, F.get("xs", s["start"] - 2)["depth"]).otherwise(F.lit(0).cast("long"))
-        opened = first(lambda x: (x["i"] >= s["start"]) & x["opens"])
-        end = let(F.struct(base.alias("base"), opened.alias("opened")), lambda v: first(lambda x: (x["i"] >= v["opened"]) & (x["depth"] <= v["base"])))
-        lines = lambda v: F.slice("xs", s["start"], F.greatest(F.coalesce(v["end"], F.size("xs")) - s["start"] + 1, F.lit(0)))
-        return let(F.struct(end.alias("end")), lambda v: F.struct(v["end"].alias("end"), F.array_join(F.transform(lines(v), lambda x: x["line"]), "\n").alias("code")))
-
+    laid = lines.select("file", "i", depth.alias("depth"), F.col("line").contains("{").alias("opens"), F.col("line").contains("}").alias("closes"))
+    wanted = symbols.filter((F.col("symbol_type") == "function") | F.col("symbol").endswith(variable_suffix)).select("file", "symbol", "symbol_type", F.col("line").alias("start"))
+    before = laid.select("file", (F.col("i") + 1).alias("start"), F.col("depth").alias("base"))
+    asked = wanted.join(before, ["file", "start"], "left").withColumn("base", F.coalesce("base", F.lit(0)))
+    asked = _next_at(asked, laid.filter("opens"), ["file"], "start", "opened")
+    levels = asked.select("file", "base").distinct()
+    closing = laid.filter("closes").join(levels, "file").filter("depth <= base").select("file", "base", "i")
+    asked = _next_at(asked, closing, ["file", "base"], "opened", "end")
     # a file's lines stand in one row, beside all that is asked of it
-    rows = laid.join(asked, "file").select("file", F.explode(F.transform("asked", lambda s: F.struct(s.alias("s"), block(s).alias("b")))).alias("r")).select("file", "r.s.*", "r.b.*")
+    whole = asked.groupBy("file").agg(F.collect_list(F.struct("symbol", "symbol_type", "start", F.when(F.col("opened").isNotNull(), F.col("end")).alias("end"))).alias("asked")).join(sources.select("file", F.split("text", "\n", -1).alias("lines")), "file")
+    n = F.size("lines")
+    cut = lambda s: F.array_join(F.slice("lines", s["start"], F.greatest(F.coalesce(s["end"], n) - s["start"] + 1, F.lit(0))), "\n")
+    rows = whole.select("file", F.explode(F.transform("asked", lambda s: F.struct(s.alias("s"), cut(s).alias("code")))).alias("r")).select("file", "r.s.*", "r.code")
     ident = F.concat(F.when(F.col("symbol_type") == "function", "func:").otherwise("var:"), "file", F.lit(":"), "symbol")
     return rows.select(F.lit(2).alias("schema_version"), "symbol", "symbol_type", ident.alias("symbol_id"), "file", F.col("start").alias("start_line"), F.coalesce("end", "start").cast("int").alias("end_line"), "code").filter(F.trim("code") != "")
 
