@@ -200,11 +200,13 @@ class _Search:
         place = F.xxhash64("uid", "n_bytes", "start")
         ends = (F.min("place").alias("lo"), F.max("place").alias("hi"))
         cores = rows.select("core", place.alias("place")).groupBy("core").agg(*ends).filter("lo <> hi").select("core")
+        cores = Scratch.write(cores, self.owner, "cores")
         wholes = rows.filter("whole").select("core", "full", place.alias("place")).groupBy("core", "full").agg(*ends).filter("lo <> hi").select("core", "full", "lo")
+        wholes = Scratch.write(wholes, self.owner, "wholes")
         judged = rows.join(cores, "core").join(wholes, ["core", "full"], "left").withColumn("sure", F.col("whole") & F.col("lo").isNotNull())
         # of equal blocks one stays in the search, as the others' witness
         judged = Scratch.write(judged.select("core", "uid", "n_bytes", "start", "sure", (~F.col("sure") | (F.col("lo") == place)).alias("goes_on")), self.owner, "judged")
-        Scratch.free(rows)
+        Scratch.free(rows, cores, wholes)
         sure = judged.filter("sure").select("uid", "n_bytes", F.col("start").alias("first"), (F.col("start") + block - 1).alias("last"))
         going = judged.filter("goes_on")
         open_cores = going.groupBy("core").agg(F.count("*").alias("n"), F.count_if(~F.col("sure")).alias("open")).filter("open > 0").select("core", "n")
@@ -225,8 +227,10 @@ def repeated_windows(docs: DataFrame, heads: DataFrame, owner: str, length: int
     runs = Scratch.write(docs.mapInArrow(lambda it: run_batches(it, length, kgram), RUNS), owner, "runs")
     place = F.xxhash64("uid", "n_bytes", "first")
     anchors = runs.groupBy("anchor").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min("run").alias("a"), F.max("run").alias("b")).filter("lo <> hi").select("anchor", (F.col("a") == F.col("b")).alias("sure"))
+    # written first, so that both sides of the join come straight from exchanges, which AQE can split where they are skewed
+    anchors = Scratch.write(anchors, owner, "anchors")
     shared = Scratch.write(runs.join(anchors, "anchor").select("uid", "n_bytes", "p", "first", "last", "sure"), owner, "shared")
-    Scratch.free(runs)
+    Scratch.free(runs, anchors)
     found = [shared.filter("sure").select("uid", "n_bytes", "first", "last")]
     block = blocks[0]
     # blocks are laid out from the anchor, so that equal windows fall into equal blocks
