@@ -211,17 +211,18 @@ def loaded(name: str) -> tuple[ByteBPE, CachedEncoder]:
     return _loaded[name]
 
 
+_shipped: set[tuple[str, str]] = set()
+
+
 def ship(spark, path: str) -> str:
-    """Send the vocabulary file to the executors; its name there."""
-    if path not in ship.sent.get(id(spark.sparkContext), set()):
+    """Send the vocabulary file to the executors of this application; its name there."""
+    known = (spark.sparkContext.applicationId, path)
+    if known not in _shipped:
         spark.sparkContext.addFile(path)
-        ship.sent.setdefault(id(spark.sparkContext), set()).add(path)
+        _shipped.add(known)
     return path.replace("\\", "/").rpartition("/")[2]
 
 
-ship.sent = {}
-
-
 def decode(pieces: dict[int, bytes], ids: np.ndarray) -> str:
     return b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 

@@ -36,6 +36,8 @@ def ensure_importable(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and (given := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        named = given.get()
     if not named:
         named = Path(tempfile.mkdtemp(prefix="tracewright-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", named)
