@@ -29,5 +29,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_suffix_automaton": oracles.OP2_SUFFIX_AUTOMATON,
+    "op4_minhash": oracles.OP4_MINHASH,
     "op9_zip_warc": oracles.OP9_ZIP_WARC,
 }
