@@ -6,12 +6,13 @@ that fans out matches; none shuffles. Facts share one wide schema.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import c_type, clean_code, first_argument, first_identifier, matches, slug
+from ..functions.text import c_type, clean_code, first_argument, first_identifier, lookup_name, matches, slug
 from ..plans import kit
 
 FACT = {
@@ -161,6 +162,15 @@ def extract_collections(chunks: DataFrame) -> DataFrame:
 EXTRACTORS = (extract_iterations, extract_calls, extract_sync, extract_assignments, extract_rcu)
 
 
-def extract_facts(chunks: DataFrame) -> DataFrame:
-    """All facts of prepared chunks, in one wide table; ``extractor`` and ``ordinal`` keep the order of discovery."""
-    return reduce(DataFrame.unionByName, (f(chunks) for f in EXTRACTORS))
+def extract_facts(chunks: DataFrame, extractors: Sequence[Callable[[DataFrame], DataFrame]] = EXTRACTORS) -> DataFrame:
+    """All facts of prepared chunks, in one wide table; ``extractor`` and ``ordinal`` keep the order of discovery.
+
+    An extractor of one's own takes prepared chunks and returns rows of the FACT columns.
+    """
+    return reduce(DataFrame.unionByName, (f(chunks) for f in extractors))
+
+
+def bind_collections(collections: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Collections with the first registered symbol of their name, if any; a leading & does not matter."""
+    first = symbols.groupBy(F.col("symbol_name").alias("bare")).agg(F.min_by("symbol_id", "seq").alias("symbol_id"))
+    return collections.withColumn("bare", lookup_name(F.col("name"))).join(first, "bare", "left").drop("bare")

@@ -116,3 +116,20 @@ def line_audit(sources: DataFrame) -> DataFrame:
     rows = sources.select("file", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     problem = F.when((F.trim("line") == "") & (F.col("line") != ""), "blank").when(F.col("line").rlike(r"[ \t]+$"), "trailing").when(F.col("line").contains("\t"), "tab")
     return rows.select("file", (F.col("at") + 1).alias("line"), problem.alias("problem")).filter("problem is not null")
+
+
+def definitions(names: DataFrame, sources: DataFrame) -> DataFrame:
+    """Function definitions of the names (column name) in sources, with their code: a line that has the
+    name before a parenthesis, does not end in a semicolon, and is not indented."""
+    lines = sources.select("file", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    heads = lines.filter(F.col("line").rlike(r"^[A-Za-z_].*\b\w+\s*\([^;]*$")).select("file", (F.col("at") + 1).alias("line"), F.regexp_extract("line", r"\b(\w+)\s*\(", 1).alias("symbol"))
+    found = heads.join(names.select(F.col("name").alias("symbol")).distinct(), "symbol", "left_semi").withColumn("symbol_type", F.lit("function"))
+    return bodies(found, sources)
+
+
+def provider_kind(symbol: Column, profile) -> Column:
+    """Kind of the first provider pattern whose suffix ends the name."""
+    out = F.when(F.lit(False), F.lit(""))
+    for p in profile.providers:
+        out = out.when(symbol.endswith(p.suffix), p.kind)
+    return out

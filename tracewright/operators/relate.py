@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,9 +63,11 @@ def scopes(facts: DataFrame, timeline: str = "source") -> DataFrame:
     return folded.select("symbol_id", "file", F.col("e.line").alias("line"), "e.type", F.col("e.source").alias("source_semantic_id"), F.col("e.target").alias("target_semantic_id"), F.concat_ws(":", F.lit("rel"), "file", "e.line", "e.type", guard).alias("relationship_id"))
 
 
-def relationships(facts: DataFrame, timeline: str = "source", explosion: int = EXPLOSION) -> DataFrame:
-    """All relationships; a function with more than ``explosion`` of them has none."""
+def relationships(facts: DataFrame, timeline: str = "source", explosion: int = EXPLOSION, passes: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
+    """All relationships, those of further passes too; a function with more than ``explosion`` of them has none."""
     every = writes(facts).select(*_COLUMNS).unionByName(describes(facts).select(*_COLUMNS)).unionByName(scopes(facts, timeline).select(*_COLUMNS))
+    for more in passes:
+        every = every.unionByName(more(facts).select(*_COLUMNS))
     counted = every.withColumn("n", F.count("*").over(Window.partitionBy("symbol_id")))
     return counted.filter(F.col("n") <= explosion).drop("n")
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans import kit
 
@@ -110,3 +114,25 @@ def trace_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes by depth with the first edge that leaves each."""
     first = edges.groupBy(F.col("src").alias("symbol_id")).agg(F.min_by("edge_type", "edge_id").alias("via"))
     return nodes.join(first, "symbol_id", "left").orderBy("depth", "symbol_id").select("depth", "symbol_id", F.format_string("%2d %s %s", "depth", "symbol_id", F.coalesce("via", F.lit("-"))).alias("line"))
+
+
+def embed(chunks: DataFrame, text: str, model: Callable[[list[str]], Iterable[Iterable[float]]], batch: int = 64) -> DataFrame:
+    """chunks with an ``embedding``; the model is called with ``batch`` texts at a time, in the workers."""
+    names = chunks.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for part in (rows.slice(i, batch) for i in range(0, len(rows), batch)):
+                made = [[float(x) for x in v] for v in model([t or "" for t in part.column(text).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.list_(pa.float32()))], names=[*names, "embedding"])
+
+    return chunks.mapInArrow(run, T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
+
+
+def numbered(vectors: DataFrame, order: str) -> DataFrame:
+    """vectors with ``vec_no``, the running ordinal from 0 in which a store would have added them."""
+    from .store import intern
+
+    keyed = vectors.withColumn("_key", F.col(order).cast("string"))
+    ids = intern(keyed.select("_key", order), "_key", order, empty_zero=False)
+    return keyed.join(ids.select(F.col("value").alias("_key"), (F.col("id") - 1).alias("vec_no")), "_key").drop("_key")

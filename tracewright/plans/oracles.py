@@ -210,4 +210,10 @@ ORACLE_SQL: dict[str, str] = {
       SELECT query, symbols, length(prompt) AS length, md5(prompt) AS prompt_md5 FROM j""",
     "context_expansion": f"""WITH {_P}, {_CALLS}, c AS (SELECT DISTINCT 'g_' || (call_id % 30) AS symbol, callee FROM calls WHERE callee NOT IN (SELECT symbol_name FROM s WHERE seq < 60)),
       r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY callee) AS r FROM c), h AS (SELECT symbol_name, min(file_path) AS code FROM s GROUP BY 1) SELECT symbol, callee, code FROM r JOIN h ON symbol_name = callee WHERE r <= 8""",
+    "collection_bind": f"""WITH {_P}, u AS (SELECT symbol_name, arg_min(symbol_id, seq) AS symbol_id FROM s GROUP BY 1)
+      SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '&' ELSE '' END || 'fn_' || (p_partkey % 130) AS name, u.symbol_id FROM part LEFT JOIN u ON u.symbol_name = 'fn_' || (p_partkey % 130)""",
+    "provider_suffix": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'scheduler_class' END AS kind FROM part",
+    "definition_scan": f"""WITH {_ITEMS} SELECT 'fn_order_' || l_orderkey AS symbol, file, md5('void fn_order_' || l_orderkey || '(struct order *o, int cpu)' || chr(10) || '{{' || chr(10) || 'struct line_item *it;' || chr(10) || 'int total;' || chr(10) || 'rcu_read_lock();' || chr(10) || 'spin_lock(&o->lock);' || chr(10)
+      || string_agg('   o->qty = ' || CAST(l_quantity AS BIGINT) || ';' || chr(10) || 'fn_' || (l_partkey % 50) || '(o);', chr(10) ORDER BY rn) || chr(10) || 'spin_unlock(&o->lock);' || chr(10) || 'rcu_read_unlock();' || chr(10) || '}}') AS code_md5 FROM f WHERE l_orderkey % 9 = 2 GROUP BY l_orderkey, file""",
+    "vector_numbers": "SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS vec_no FROM embeddings WHERE vec_id % 3 = 1",
 }

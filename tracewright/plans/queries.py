@@ -602,3 +602,29 @@ def context_expansion(spark, d):
     have = corpora.symbols(spark, d).filter("seq < 60").select(F.col("symbol_name").alias("symbol"))
     chunks = corpora.symbols(spark, d).groupBy("symbol_name").agg(F.min("file_path").alias("code")).select(F.col("symbol_name").alias("symbol"), "code")
     return retrieve.expand_context(calls, have, chunks)
+
+
+@query
+def collection_bind(spark, d):
+    names = corpora.table(spark, d, "part").select(F.concat(F.when(F.col("p_partkey") % 2 == 0, F.lit("&")).otherwise(F.lit("")), F.lit("fn_"), F.col("p_partkey") % 130).alias("name"), "p_partkey")
+    return extract.bind_collections(names, corpora.symbols(spark, d)).select("p_partkey", "name", "symbol_id")
+
+
+@query
+def provider_suffix(spark, d):
+    name = F.concat(F.lit("x"), F.col("p_partkey"), F.when(F.col("p_partkey") % 3 == 0, F.lit("_sched_class")).otherwise(F.lit("_fops")))
+    return corpora.table(spark, d, "part").select("p_partkey", frontend.provider_kind(name, SCHED).alias("kind"))
+
+
+@query
+def definition_scan(spark, d):
+    """Definitions of some names in whole files; calls of the same names are none."""
+    f = corpora.functions(spark, d)
+    whole = f.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "code"))), lambda x: x["code"]), "\n").alias("text"))
+    names = f.filter("seq % 9 = 2").select(F.col("symbol").alias("name"))
+    return frontend.definitions(names, whole).select("symbol", "file", F.md5("code").alias("code_md5"))
+
+
+@query
+def vector_numbers(spark, d):
+    return retrieve.numbered(corpora.table(spark, d, "embeddings").filter("vec_id % 3 = 1").select("vec_id"), "vec_id").select("vec_id", "vec_no")
