@@ -20,12 +20,21 @@ def directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
-def locality_rank(reference: Column, candidate: Column) -> Column:
-    """5 for one file, else the common leading directories, at most 4; -5 for a stranger under tools/."""
-    same = F.zip_with(F.split(directory(reference), "/", -1), F.split(directory(candidate), "/", -1), lambda a, b: F.coalesce(a == b, F.lit(False)))
+def parts(path: Column) -> Column:
+    """Directories of a path, as locality_rank compares them."""
+    return F.split(directory(path), "/", -1)
+
+
+def locality_rank(reference: Column, candidate: Column, reference_parts: Column | None = None, candidate_parts: Column | None = None) -> Column:
+    """5 for one file, else the common leading directories, at most 4; -5 for a stranger under tools/.
+
+    Give the parts where many pairs are compared: they are then made once a path, before the join.
+    """
+    a = parts(reference) if reference_parts is None else reference_parts
+    b = parts(candidate) if candidate_parts is None else candidate_parts
+    same = F.zip_with(F.slice(a, 1, 4), F.slice(b, 1, 4), lambda x, y: F.coalesce(x == y, F.lit(False)))
     first_other = F.array_position(same, False)
-    depth = F.when(first_other > 0, first_other - 1).otherwise(F.size(same)).cast("int")
-    near = F.least(depth, F.lit(4))
+    near = F.when(first_other > 0, first_other - 1).otherwise(F.size(same)).cast("int")
     return F.when(F.coalesce(reference, F.lit("")) == "", 0).when(reference == candidate, 5).when((near == 0) & candidate.startswith("tools/"), -5).otherwise(near).cast("int")
 
 

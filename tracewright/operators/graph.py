@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import edge_id, symbol_id
-from ..functions.paths import directory, locality_rank, subsystem
+from ..functions.paths import locality_rank, parts, subsystem
 from ..plans import kit
 from ..plans.kit import Profile
 from .store import first_wins
@@ -39,9 +39,9 @@ def resolve_unique(calls: DataFrame, symbols: DataFrame, callee: str) -> DataFra
 
 def resolve_best(refs: DataFrame, symbols: DataFrame, key: str, name: str, file: str) -> DataFrame:
     """Per reference the one candidate, or the best by 100 * (same file) + 10 * locality; null if the best is not above 0 or tied."""
-    cand = symbols.select(F.col("symbol_name").alias("_n"), F.col("file_path").alias("_f"), F.col("symbol_id").alias("_id"))
-    score = F.when(F.col(file) == F.col("_f"), 100).otherwise(0) + 10 * locality_rank(F.col(file), F.col("_f"))
-    scored = refs.join(cand, F.col(name) == F.col("_n"), "left").withColumn("_score", F.when(F.col("_id").isNotNull(), score))
+    cand = symbols.select(F.col("symbol_name").alias("_n"), F.col("file_path").alias("_f"), F.col("symbol_id").alias("_id"), parts(F.col("file_path")).alias("_cp"))
+    score = F.when(F.col(file) == F.col("_f"), 100).otherwise(0) + 10 * locality_rank(F.col(file), F.col("_f"), F.col("_rp"), F.col("_cp"))
+    scored = refs.withColumn("_rp", parts(F.col(file))).join(cand, F.col(name) == F.col("_n"), "left").withColumn("_score", F.when(F.col("_id").isNotNull(), score))
     # two scores a reference are enough: the best, and how often it occurs
     counts = scored.groupBy(key, "_score").agg(F.count("_id").alias("_times"), F.min("_id").alias("_id"))
     best = counts.groupBy(key).agg(F.sum("_times").alias("candidates"), F.max(F.struct("_score", "_times", "_id")).alias("b"))
@@ -51,10 +51,10 @@ def resolve_best(refs: DataFrame, symbols: DataFrame, key: str, name: str, file:
 
 def alias_best(calls: DataFrame, aliases: DataFrame, key: str, callee: str, file: str) -> DataFrame:
     """Per call the alias's target: the one, or the best by same file, locality and same directory; the first registered of equals; else the callee."""
-    a = aliases.select(F.col("seq").alias("_seq"), F.col("alias").alias("_alias"), F.col("target").alias("_target"), F.col("file_path").alias("_f"))
-    same_dir = directory(F.col(file)) == directory(F.col("_f"))
-    score = F.when(F.col(file) == F.col("_f"), 100).otherwise(0) + 10 * locality_rank(F.col(file), F.col("_f")) + F.when(same_dir, 100).otherwise(0)
-    best = calls.join(a, F.col(callee) == F.col("_alias"), "left").groupBy(key, callee).agg(F.max_by("_target", F.struct(score.alias("s"), (-F.col("_seq")).alias("q"))).alias("_t"))
+    a = aliases.select(F.col("seq").alias("_seq"), F.col("alias").alias("_alias"), F.col("target").alias("_target"), F.col("file_path").alias("_f"), parts(F.col("file_path")).alias("_cp"))
+    same_dir = F.col("_rp") == F.col("_cp")
+    score = F.when(F.col(file) == F.col("_f"), 100).otherwise(0) + 10 * locality_rank(F.col(file), F.col("_f"), F.col("_rp"), F.col("_cp")) + F.when(same_dir, 100).otherwise(0)
+    best = calls.withColumn("_rp", parts(F.col(file))).join(a, F.col(callee) == F.col("_alias"), "left").groupBy(key, callee).agg(F.max_by("_target", F.struct(score.alias("s"), (-F.col("_seq")).alias("q"))).alias("_t"))
     return best.select(key, callee, F.coalesce("_t", callee).alias("target"))
 
 

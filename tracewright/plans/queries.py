@@ -127,7 +127,7 @@ def rel_describes(spark, d):
 @query
 def rel_explosion(spark, d):
     """Relationships a function, none for functions over the limit."""
-    return relate.relationships(_facts(spark, d), explosion=40).groupBy("symbol_id").agg(F.count("*").alias("n"))
+    return relate.relationships(_facts(spark, d).persist(), explosion=40).groupBy("symbol_id").agg(F.count("*").alias("n"))
 
 
 @query
@@ -185,7 +185,7 @@ def store_nodes(spark, d):
 
 @query
 def store_edges(spark, d):
-    facts = _facts(spark, d)
+    facts = _facts(spark, d).persist()  # a compile writes them; each relationship reads them
     return store.edge_rows(facts, relate.relationships(facts)).groupBy("edge_kind").agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("sources"), F.countDistinct("target_id").alias("targets"))
 
 
