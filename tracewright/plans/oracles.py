@@ -217,3 +217,6 @@ ORACLE_SQL: dict[str, str] = {
       || string_agg('   o->qty = ' || CAST(l_quantity AS BIGINT) || ';' || chr(10) || 'fn_' || (l_partkey % 50) || '(o);', chr(10) ORDER BY rn) || chr(10) || 'spin_unlock(&o->lock);' || chr(10) || 'rcu_read_unlock();' || chr(10) || '}}') AS code_md5 FROM f WHERE l_orderkey % 9 = 2 GROUP BY l_orderkey, file""",
     "vector_numbers": "SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS vec_no FROM embeddings WHERE vec_id % 3 = 1",
 }
+
+_RELATED = " UNION ALL ".join(f"SELECT '{kind}' AS edge_kind, source_semantic_id AS s, target_semantic_id AS t FROM ({ORACLE_SQL[f'rel_{kind}']})" for kind in ("writes", "matches", "protects"))
+ORACLE_SQL["store_edges"] = f"WITH r AS ({_RELATED}) SELECT edge_kind, count(DISTINCT (s, t)) AS n, count(DISTINCT s) AS sources, count(DISTINCT t) AS targets FROM r GROUP BY 1"
