@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only
+from .common import Scratch, having, only
 from .components import connected_components
 from .polyhash import mix
 from .shingles import normal_form, shingle_sets
@@ -103,9 +103,9 @@ def near_components(docs: DataFrame, owner: str = "minhash", bands: int = BANDS,
     in_band = forms.select("rep", F.explode("bands").alias("band"))
     shared = in_band.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     buckets = Scratch.write(in_band.join(shared, "band"), owner, "buckets")
-    searched = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    searched = Scratch.write(buckets.select(F.col("rep").alias("doc_id")).distinct(), owner, "searched")
     # equal doc_ids: the one row whose form it represents
-    texts = docs.join(searched, "doc_id", "left_semi")
+    texts = having(docs, searched, "doc_id")
     sets = texts.mapInArrow(set_batches, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
     sets = Scratch.write(sets, owner, "sets")
     own = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
