@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.bpe import bpe_round_trip, tokenizer_file
-from tracewright.llm.common import Scratch, ensure_importable, having, table
+from tracewright.llm.common import Scratch, ensure_importable, table
 from tracewright.llm.decontam import remove_contamination
-from tracewright.llm.minhash import near_components
+from tracewright.llm.minhash import without_near
 from tracewright.llm.quality import keep_good
 from tracewright.llm.substrings import remove_repeats
 
@@ -34,10 +34,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates."""
+    """One row, that of the smallest doc_id, of each group of near-duplicates; repeated and null doc_ids are told apart by row."""
     _begin(spark)
-    found = near_components(docs, "pipeline").filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return having(docs, Scratch.write(found, "pipeline", "dropped"), "doc_id", "left_anti")
+    return without_near(docs, "pipeline")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

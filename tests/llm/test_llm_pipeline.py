@@ -57,3 +57,30 @@ def test_run_and_entry(spark):
 
     assert e.queries()["pipeline"](spark, DATA).count() > 0
     assert [n for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10) if not any(q.startswith(f"op{n}_") for q in e.queries())] == []
+
+
+def test_repeated_rows_and_ids_keep_one_copy(spark):
+    """Stages 2 and 3 on repeated rows, repeated ids and null ids: one copy of each text stays, and no other text goes."""
+    import random
+
+    rng = random.Random(3)
+    prose = [" ".join("".join(rng.choice("abcdeio") for _ in range(6)) for _ in range(100)) for _ in range(9)]
+    near = prose[5].split(" ")
+    near[30] = "changed"
+    rows = [(1, prose[0]), (1, prose[0])]  # a repeated row
+    rows += [(None, prose[1]), (None, prose[1])]  # all copies without an id
+    rows += [(2, prose[2]), (None, prose[2])]  # a copy without an id
+    rows += [(3, prose[3]), (4, prose[3]), (4, prose[4])]  # another text under an id that loses its group
+    rows += [(5, prose[5]), (6, prose[6]), (6, " ".join(near))]  # a near copy under a repeated id
+    rows += [(None, prose[7]), (None, prose[8]), (None, None), (7, ""), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [(1, 0), (None, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (None, 7), (None, 8)]
+    order = lambda pairs: sorted(pairs, key=repr)
+    kept = corpus_pipeline.near_duplicates(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    path = corpus_pipeline.Scratch.path(spark, "test", "near")
+    kept.write.parquet(path)
+    kept = spark.read.parquet(path)
+    assert order((r.doc_id, r.text) for r in kept.collect()) == order([(i, prose[k]) for i, k in want] + [(None, None), (7, ""), (7, "")])
+    read = corpus_pipeline.repeated_passages(spark, kept, DATA).collect()
+    assert order((r.doc_id, r.text) for r in read if r.text) == order((i, prose[k]) for i, k in want)

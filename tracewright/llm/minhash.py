@@ -5,7 +5,8 @@ least value. After as many rounds as there are bins, round bins + k puts all shi
 every bin fills. Two sketches agree in a bin with the probability of their sets' similarity, with
 concentration as for independent hashes.
 
-Equal texts (by words) are one representative. Representatives that share a band are candidates.
+Equal texts (by words) are one representative, numbered for the search: doc_ids may repeat or be null,
+so they take no part in it. Representatives that share a band are candidates.
 Within a band's bucket not all pairs are made: the member with the fewest shingles of its own is
 compared with all others, components are formed, and only members outside the bucket's main
 component that could still reach the threshold, by bounds on the intersection, are compared on.
@@ -19,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, having, only
+from .common import MAX_BROADCAST_ROWS, Scratch, having, only
 from .components import connected_components
 from .polyhash import mix
 from .shingles import normal_form, shingle_sets
@@ -62,56 +63,71 @@ def band_keys(sketched: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def form_digest(text: bytes) -> bytes | None:
+    form = normal_form(text)
+    return hashlib.blake2b(form, digest_size=16).digest() if form else None
+
+
+def row_key() -> Column:
+    """128 bits of doc_id (null or not) and text: rows of one key are repeated rows."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("h"), F.xxhash64(F.lit(1), "text", "doc_id").alias("g")).alias("key")
+
+
 def sketch_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t or b"" for t in pc.cast(batch.column("text"), pa.binary()).to_pylist()]
         forms, sizes, keys = [], [], []
         for text, own in zip(texts, shingle_sets(texts), strict=True):
-            form = normal_form(text)
-            forms.append(hashlib.blake2b(form, digest_size=16).digest() if form else None)
+            forms.append(form_digest(text))
             sizes.append(len(own))
             keys.append(band_keys(sketch(own, bands * rows), bands, rows) if len(own) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(forms, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "form", "n_shingles", "bands"])
+        made = [pa.array(forms, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *made], names=["doc_id", "key", "form", "n_shingles", "bands"])
 
 
 def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of representatives, of those rows whose text has the representative's form."""
     for batch in batches:
         texts = [t or b"" for t in pc.cast(batch.column("text"), pa.binary()).to_pylist()]
-        sets = pa.array([s.view(np.int64) for s in shingle_sets(texts)], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], names=["doc_id", "shingles"])
+        own = [k for k, (t, form) in enumerate(zip(texts, batch.column("form").to_pylist(), strict=True)) if form_digest(t) == form]
+        sets = pa.array([s.view(np.int64) for s in shingle_sets([texts[k] for k in own])], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(own, pa.int64())), sets], names=["rep", "shingles"])
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with the size of their full sets' intersection, and whether they reach the threshold."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(right, "b").join(left, "a").withColumn("both", F.size(F.array_intersect("sa", "sb")).cast("long"))
     return both.select("a", "b", "both", (DENOMINATOR * F.col("both") >= NUMERATOR * (F.size("sa") + F.size("sb") - F.col("both"))).alias("near"))
 
 
-def near_components(docs: DataFrame, owner: str = "minhash", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id.
-
-    Null, empty and blank texts have no shingles, and are components of their own, as are rows of a
-    null doc_id. Rows of equal words are one document to the search. The component is the smallest
-    doc_id that links reach.
-    """
+def _search(docs: DataFrame, owner: str, bands: int, rows: int, nulls: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs (doc_id, text) as (doc_id, key, form, n_shingles, bands), and for every form that is not
+    alone (form, winner): of all rows that links reach, the first by doc_id (nulls last) and key. Rows of a
+    null doc_id take part where ``nulls``."""
     docs = only(docs, "doc_id", "text")
-    sketches = Scratch.write(docs.mapInArrow(lambda it: sketch_batches(it, bands, rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, form binary, n_shingles long, bands array<long>"), owner, "sketches")
-    known = sketches.filter("form is not null and doc_id is not null")
-    forms = Scratch.write(known.groupBy("form").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min_by("bands", "doc_id").alias("bands")), owner, "forms")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sketches = Scratch.write(docs.select("doc_id", row_key(), "text").mapInArrow(lambda it: sketch_batches(it, bands, rows), f"doc_id {kind}, key struct<h:long,g:long>, form binary, n_shingles long, bands array<long>"), owner, "sketches")
+    known = sketches.filter("form is not null" if nulls else "form is not null and doc_id is not null")
+    winner = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("winner")
+    forms = known.groupBy("form").agg(winner, F.count("*").alias("n"), F.first("bands").alias("bands"))
+    # numbered once: what is written does not change
+    forms = Scratch.write(forms.withColumn("rep", F.monotonically_increasing_id()), owner, "forms")
     in_band = forms.select("rep", F.explode("bands").alias("band"))
     shared = in_band.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     buckets = Scratch.write(in_band.join(shared, "band"), owner, "buckets")
-    searched = Scratch.write(buckets.select(F.col("rep").alias("doc_id")).distinct(), owner, "searched")
-    # equal doc_ids: the one row whose form it represents
-    texts = having(docs, searched, "doc_id")
-    sets = texts.mapInArrow(set_batches, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
+    searched = having(forms.select("rep", "form", F.col("winner.key.h").alias("h")), buckets.select("rep").distinct(), "rep")
+    searched = Scratch.write(searched, owner, "searched")
+    # one row of each form gives its text; where hashes clash, the form tells
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    texts = texts.join(F.broadcast(searched) if searched.count() <= MAX_BROADCAST_ROWS else searched, "h").select("rep", "form", "text")
+    sets = texts.mapInArrow(set_batches, "rep long, shingles array<long>").groupBy("rep").agg(F.first("shingles").alias("shingles"))
     sets = Scratch.write(sets, owner, "sets")
-    own = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
-    facts = sets.select("doc_id", F.size("shingles").cast("long").alias("size")).join(own, "doc_id", "left")
+    own = sets.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("rep").alias("rep"), F.count("*").alias("n")).filter("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    facts = sets.select("rep", F.size("shingles").cast("long").alias("size")).join(own, "rep", "left")
     # common: shingles that any other candidate has; the most that an intersection can be
-    facts = facts.select(F.col("doc_id").alias("rep"), "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    facts = facts.select("rep", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
     # common / (size + other - common) >= threshold bounds the other's size
     facts = facts.withColumn("most", F.floor(F.col("common") * (NUMERATOR + DENOMINATOR) / NUMERATOR) - F.col("size"))
     facts = Scratch.write(facts.filter(F.col("most") * DENOMINATOR >= F.col("size") * NUMERATOR), owner, "facts")
@@ -142,11 +158,41 @@ def near_components(docs: DataFrame, owner: str = "minhash", bands: int = BANDS,
     more = overlaps(rest, sets).filter("near").select("a", "b")
     joined = Scratch.write(links.union(more), owner, "links")
     found = connected_components(joined, owner)
-    target = forms.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").filter("n > 1 or component is not null").select("form", F.coalesce("component", "rep").alias("target"))
-    rows_out = sketches.select("doc_id", "form", "n_shingles").join(target, "form", "left")
+    labelled = forms.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    linked = labelled.filter("component is not null").select("form", "winner", "component")
+    first = linked.groupBy("component").agg(F.min("winner").alias("winner"))
+    target = linked.drop("winner").join(first, "component").select("form", "winner")
+    return sketches, target.union(labelled.filter("component is null and n > 1").select("form", "winner"))
+
+
+def near_components(docs: DataFrame, owner: str = "minhash", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id.
+
+    Null, empty and blank texts have no shingles, and are components of their own, as are rows of a
+    null doc_id. Rows of equal words are one document to the search. The component is the smallest
+    doc_id that links reach.
+    """
+    sketches, target = _search(docs, owner, bands, rows, False)
+    rows_out = sketches.select("doc_id", "form", "n_shingles").join(target.select("form", F.col("winner.doc_id").alias("target")), "form", "left")
     return rows_out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("target", "doc_id")).alias("component_id"))
 
 
+def without_near(docs: DataFrame, owner: str = "minhash", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row of each group of near-duplicates, that of the smallest doc_id, a null one only where there is no other.
+
+    Decided by row, so repeated rows, other texts under a used doc_id and rows of a null doc_id are
+    told apart. Texts without words stay.
+    """
+    sketches, target = _search(docs, owner, bands, rows, True)
+    found = sketches.select("form", "key").join(target.select("form", F.col("winner.key").alias("first")), "form")
+    counted = Scratch.write(found.groupBy("key").agg(F.min("first").alias("first"), F.count("*").alias("n")).filter("key <> first or n > 1"), owner, "counted")
+    kept = having(docs.select(row_key().alias("_key"), "*"), counted.filter("key <> first").select(F.col("key").alias("_key")), "_key", "left_anti")
+    again = counted.filter("key = first").select(F.col("key").alias("_key"))
+    if not again.isEmpty():
+        kept = having(kept, again, "_key", "left_anti").union(having(kept, again, "_key").dropDuplicates(["_key"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op4_minhash(spark, sf_dir):
     """All documents at a similarity of 0.85 over 5-word shingles."""
     from .common import table
