@@ -200,3 +200,28 @@ def test_op10_all_rows_and_accuracy(spark, tables):
     held = [(read[r.doc_id].accepted, r.quality) for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect() if read[r.doc_id].held_out]
     assert sum(a == bool(q) for a, q in held) >= 0.98 * len(held)
     assert all(a for a, q in held if q)
+
+
+def test_op1_scores_do_not_follow_the_sampling_rates(spark):
+    """A cap that binds on clean rows alone leaves the scores of rows without decisive evidence where they are."""
+    import random
+
+    from tracewright.llm.toxicity import toxicity_scores
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bcdfgl") + rng.choice("aeiou") for _ in range(3))
+    data = []
+    for i in range(3600):
+        toxic = i % 8 == 0
+        said = [word() for _ in range(20)]
+        # the stem stands in three quarters of the toxic and a tenth of the clean texts
+        if rng.random() < (0.75 if toxic else 0.1):
+            said[rng.randrange(20)] = "stupid"
+        data.append((i, " ".join(said), int(toxic)))
+    docs = spark.createDataFrame([x[:2] for x in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in data], "doc_id long, toxic int")
+    whole, capped = ({r.doc_id: r.score for r in toxicity_scores(docs, labels, "t", **bounds).collect()} for bounds in ({}, {"fit_clean": 500}))
+    hit, plain = ([i for i, t, _ in data if ("stupid" in t) == x] for x in (True, False))
+    for ids in (hit, plain):
+        a, b = (np.mean([s[i] for i in ids]) for s in (whole, capped))
+        assert abs(a - b) < 0.12

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .fitting import bounded_sample, fit_logistic, held_out, sigmoid
 
-#: The model is fitted on at most so many toxic and so many other labelled documents.
+#: The model is fitted on at most so many toxic and so many other labelled documents, each kind weighed by
+#: the inverse of its sampling rate, so the kinds' shares in the sample do not move the scores.
 FIT_TOXIC, FIT_CLEAN = 3_000, 6_000
 #: Stems are whole words or beginnings of these lengths, in at least LEAST_DOCS toxic documents.
 LENGTHS, CANDIDATES, STEMS, LEAST_DOCS, RIDGE = (4, 5, 6, 7, 8), 2_000, 64, 4, 1e-3
@@ -188,6 +189,7 @@ def learn_stems(docs: DataFrame, labels: DataFrame, shared, owner: str, fit_toxi
     """Held-out rows, null labels and repeated texts do not take part. The driver gets CANDIDATES stems and
     STEMS counts for each document of the sample, whatever the input."""
     known = labels.select("doc_id", "toxic").na.drop().filter(~held_out("doc_id")).dropDuplicates(["doc_id"])
+    of = known.agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") != 1).alias("c")).first()
     sample = bounded_sample(known.filter("toxic = 1"), "doc_id", fit_toxic).union(bounded_sample(known.filter("toxic <> 1"), "doc_id", fit_clean))
     own = docs.join(F.broadcast(sample), "doc_id").dropDuplicates(["text"]).select("doc_id", (F.col("toxic") == 1).alias("toxic"), "text")
     read = Scratch.write(own.mapInArrow(lambda it: restore_batches(it, shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic boolean, tokens long, stems map<string,long>"), owner, "restored")
@@ -206,7 +208,9 @@ def learn_stems(docs: DataFrame, labels: DataFrame, shared, owner: str, fit_toxi
             chosen.append(row["f"])
     counts = read.select("toxic", "tokens", F.array(*(F.coalesce(F.col("stems")[x], F.lit(0)) for x in chosen)).alias("counts") if chosen else F.array().cast("array<long>").alias("counts")).toPandas()
     x = inputs(np.stack(counts["counts"].to_numpy()).astype(float).reshape(len(counts), len(chosen)), counts["tokens"].to_numpy(float))
-    w, mean, scale = fit_logistic(x, counts["toxic"].to_numpy(float), RIDGE)
+    y = counts["toxic"].to_numpy(float)
+    stands_for = np.where(y > 0, max(1.0, of["t"] / max(1, fit_toxic)), max(1.0, of["c"] / max(1, fit_clean)))
+    w, mean, scale = fit_logistic(x, y, RIDGE, counts_for=stands_for)
     raw = w[:-1] / scale
     return ToxicModel(chosen, np.append(raw, w[-1] - float((raw * mean).sum())))
 
