@@ -197,3 +197,32 @@ def test_restoration():
     assert restored("good,", model)[0] == "good"
     assert spelled_apart("an i d i o t here") == ["idiot"]
     assert restored("12,345", model) == []
+
+
+def restoring_model(text: str) -> np.ndarray:
+    import pyarrow as pa
+
+    (made,) = trigram_batches(iter([pa.RecordBatch.from_pydict({"text": [text]})]))
+    counts = np.zeros(CLASSES**3)
+    counts[made.column("gram").to_numpy()] = made.column("n").to_numpy()
+    tri = counts.reshape(CLASSES, CLASSES, CLASSES)
+    bi = tri.sum(axis=0) + 0.1
+    bi /= bi.sum(axis=1, keepdims=True)
+    return np.log((tri + 5 * bi[None]) / (tri.sum(axis=2, keepdims=True) + 5))
+
+
+SPOKEN = " ".join(["you are a stupid man and the idiot said stupid things to a clown in the trash", "what a loser said the other and left i am an idiot"] * 50)
+
+
+def test_spelled_apart_finds_the_words():
+    model = restoring_model(SPOKEN)
+    for text, want in (
+        ("you are a s t u p i d man", ["a", "stupid"]),
+        ("y o u   s t u p i d   i d i o t", ["you", "stupid", "idiot"]),
+        ("so s t u p i d, he said", ["stupid"]),
+        ("an i d i o t! he said", ["idiot"]),
+        ("an i d 1 o t here", ["idiot"]),
+        ('"i d i o t" s/he said', ["idiot"]),
+    ):
+        assert spelled_apart(text, model) == want
+    assert spelled_apart("rows 1 2 3 4 5 and * * * * here", model) == []

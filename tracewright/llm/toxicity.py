@@ -37,7 +37,11 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Character classes of the model: 0 none, 1-26 letters, 27 any letter beyond.
 CLASSES = 28
 _CLASS = bytes(c - 96 if 97 <= c <= 122 else c - 64 if 65 <= c <= 90 else 27 if c >= 128 else 0 for c in range(256))
-_APART = re.compile(r"(?<!\S)(?:[^\W\d_]|[0-9@$!|+*])(?:[ \t]+(?:[^\W\d_]|[0-9@$!|+*])){3,}(?!\S)")
+_OPENS, _CLOSES, _ALONE = r"[\"'\[{<]*", r"[.,;:?!\"')\]}>]*", r"(?:[^\W\d_]|[0-9@$!|+*])"
+_UNIT = re.compile(rf"({_OPENS})({_ALONE})({_CLOSES})([ \t]*)")
+_APART = re.compile(rf"(?<!\S){_OPENS}{_ALONE}{_CLOSES}(?:[ \t]+{_OPENS}{_ALONE}{_CLOSES}){{3,}}(?!\S)")
+#: Channel of the space after a letter that stands alone: nothing, or the end of a word.
+_NARROW, _WIDE = [("", -0.3), (" ", -1.2)], [(" ", -0.1), ("", -4.0)]
 _LONG = re.compile(r"([^\W\d_])\1\1")
 _WORDS = re.compile(r"[^\W\d_]+")
 _EDGES = " \t.,;:?!\"'()[]{}<>#%&*$|~-_=/\\"
@@ -86,16 +90,32 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def apart_lattice(run: str) -> list[list[tuple[str, float]]]:
+    """The lattice of a run of letters that stand alone; wide gaps and punctuation make a word's end likelier."""
+    units = list(_UNIT.finditer(run.lower()))
+    while units and units[-1][2] in _EDGES:
+        units.pop()
+    while units and units[0][2] in _EDGES and units[0][2] not in "$@":
+        units.pop(0)
+    out: list[list[tuple[str, float]]] = []
+    for k, m in enumerate(units):
+        if k:
+            last = units[k - 1]
+            out.append(_WIDE if last[3] or len(last[4]) > 1 or m[1] else _NARROW)
+        out += lattice(m[2])
+    return out
+
+
 def class_of(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 27
+    return ord(c) - 96 if "a" <= c <= "z" else 27 if c != " " else 0
 
 
-def viterbi(token: str, model: np.ndarray) -> str:
+def viterbi(lattice_of: list[list[tuple[str, float]]], model: np.ndarray) -> str:
     """The likeliest reading. States are the last two classes; ties go to the reading first in order."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for ways in lattice(token):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for ways in lattice_of:
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in states.items():
             for reading, cost in ways:
                 x, y, s = a, b, score + cost
                 for c in reading:
@@ -103,9 +123,13 @@ def viterbi(token: str, model: np.ndarray) -> str:
                     s += model[x, y, k]
                     x, y = y, k
                 if (x, y) not in after or s > after[x, y][0]:
-                    after[x, y] = s, text + reading
+                    after[x, y] = s, (path, reading)
         states = after
-    return max(states.items(), key=lambda kv: kv[1][0] + model[kv[0][0], kv[0][1], 0])[1][1]
+    path, out = max(states.items(), key=lambda kv: kv[1][0] + model[kv[0][0], kv[0][1], 0])[1][1], []
+    while path:
+        path, reading = path
+        out.append(reading)
+    return "".join(reversed(out))
 
 
 def restored(token: str, model: np.ndarray) -> list[str]:
@@ -119,17 +143,21 @@ def restored(token: str, model: np.ndarray) -> list[str]:
     letters = sum(map(len, words))
     if letters < 2 or len(core) > 64 or not (not core.isalpha() or _LONG.search(core)):
         return words
-    return [*words, viterbi(core, model)]
+    return [*words, viterbi(lattice(core), model)]
 
 
-def spelled_apart(text: str) -> list[str]:
-    """Words whose letters stand alone, put together."""
-    return ["".join(x.split()) for x in _APART.findall(text)] if " " in text else []
+def spelled_apart(text: str, model: np.ndarray | None = None) -> list[str]:
+    """Words whose letters stand alone, put together; the model finds where they end, without it only wide gaps do."""
+    if " " not in text and "\t" not in text:
+        return []
+    lattices = [apart_lattice(x) for x in _APART.findall(text) if sum(map(len, _WORDS.findall(x))) > 1]  # as restored()
+    read = ("".join(ways[0][0] for ways in x) if model is None else viterbi(x, model) for x in lattices)
+    return [w for x in read for w in x.split()]
 
 
-def token_counts(text: str) -> Counter[str]:
+def token_counts(text: str, model: np.ndarray) -> Counter[str]:
     """How often each token occurs; words spelled apart count as tokens too."""
-    return Counter([*text.split(), *spelled_apart(text)])
+    return Counter([*text.split(), *spelled_apart(text, model)])
 
 
 def stems_of(token: str, model: np.ndarray) -> set[str]:
@@ -158,7 +186,7 @@ def restore_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Re
         for batch in (whole.slice(i, 50) for i in range(0, len(whole), 50)):  # a text has many stems
             tokens, stems = [], []
             for text in batch.column("text").to_pylist():
-                own = token_counts(text or "")
+                own = token_counts(text or "", shared.value)
                 found: Counter[str] = Counter()
                 for t, n in own.items():
                     if t not in seen:
@@ -223,7 +251,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], shared, learned: ToxicModel
         for row, text in enumerate(texts):
             if not text:
                 continue
-            own = token_counts(text)
+            own = token_counts(text, model)
             tokens[row] = sum(own.values())
             for t in [t for t in own if t not in seen]:
                 seen[t] = places_of(t, model, place)
