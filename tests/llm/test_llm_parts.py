@@ -226,3 +226,11 @@ def test_spelled_apart_finds_the_words():
     ):
         assert spelled_apart(text, model) == want
     assert spelled_apart("rows 1 2 3 4 5 and * * * * here", model) == []
+
+
+def test_long_tokens_are_restored():
+    model = restoring_model(SPOKEN)
+    assert restored("id" + "i" * 70 + "ot", model)[-1] == "idiot"
+    for mark in "_.-":
+        found = restored(mark.join(["y0u", "4re", "a", "stup1d", "m4n"] * 4), model)
+        assert found.count("stupid") == 4

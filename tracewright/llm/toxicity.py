@@ -40,7 +40,7 @@ _CLASS = bytes(c - 96 if 97 <= c <= 122 else c - 64 if 65 <= c <= 90 else 27 if
 _OPENS, _CLOSES, _ALONE = r"[\"'\[{<]*", r"[.,;:?!\"')\]}>]*", r"(?:[^\W\d_]|[0-9@$!|+*])"
 _UNIT = re.compile(rf"({_OPENS})({_ALONE})({_CLOSES})([ \t]*)")
 _APART = re.compile(rf"(?<!\S){_OPENS}{_ALONE}{_CLOSES}(?:[ \t]+{_OPENS}{_ALONE}{_CLOSES}){{3,}}(?!\S)")
-#: Channel of the space after a letter that stands alone: nothing, or the end of a word.
+#: Channel of separators, and of the space after a letter that stands alone: nothing, or the end of a word.
 _NARROW, _WIDE = [("", -0.3), (" ", -1.2)], [(" ", -0.1), ("", -4.0)]
 _LONG = re.compile(r"([^\W\d_])\1\1")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -86,7 +86,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         elif c in CENSORED:
             out.append([("", -1.5)] + ([(x, -3.0) for x in LETTERS] if n == 1 else []))
         else:
-            out.append([("", -0.3 if c in SEPARATORS else -1.0)])
+            out.append(_NARROW if c in SEPARATORS else [("", -1.0)])
     return out
 
 
@@ -141,9 +141,9 @@ def restored(token: str, model: np.ndarray) -> list[str]:
     core = token.strip(_EDGES)
     core = token[token.find(core) - 1] + core if core and token[:1] in "$@" and token.find(core) else core
     letters = sum(map(len, words))
-    if letters < 2 or len(core) > 64 or not (not core.isalpha() or _LONG.search(core)):
+    if letters < 2 or not (not core.isalpha() or _LONG.search(core)):
         return words
-    return [*words, viterbi(lattice(core), model)]
+    return [*words, *viterbi(lattice(core), model).split()]
 
 
 def spelled_apart(text: str, model: np.ndarray | None = None) -> list[str]:
