@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import weakref
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only after its row count was measured and is no larger than this.
 MAX_BROADCAST_ROWS = 200_000
-#: Documents may be long, so a batch to a Python worker has at most so many.
-ARROW_ROWS = 1_000
+#: Documents may be long, so a batch to a Python worker has at most so many rows and, of these, bytes.
+ARROW_ROWS, ARROW_BYTES = 1_000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,21 +25,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_importable(spark: SparkSession) -> None:
-    """Python workers resolve this package by name, wherever the driver was started."""
+    """Python workers resolve this package by name, wherever the driver was started, and get bounded batches.
+
+    Called by every operator that has work for Python workers. The bounds stay set in the session.
+    """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key))
+        if now and not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset: on one machine a
+    temporary folder, on a cluster an error, as its machines would not see each other's files."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named and (given := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         named = given.get()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = Path(tempfile.mkdtemp(prefix="tracewright-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

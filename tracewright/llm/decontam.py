@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import ensure_importable, only, table
+
 WINDOW = 10
 #: Items are put into automata of at most so many bytes of text each; documents pass through one after another.
 BLOCK_BYTES = 1 << 20
@@ -203,6 +205,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", id_
     occur, rows of a null id are ignored, repeated items count once. Without items nothing is hit.
     Each automaton is built once on the driver; its size is bounded by block_bytes.
     """
+    ensure_importable(docs.sparkSession)
     blocks = item_blocks(items, id_col, item_text_col, window, block_bytes)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     slim = docs.select((F.struct(*rest) if rest else F.struct(F.lit(None).alias("none"))).alias("row"), F.col(f"`{text_col}`").alias("text"))
@@ -222,8 +225,6 @@ def remove_contamination(docs: DataFrame, items: DataFrame, max_words: int = 0,
 
 def op2_suffix_automaton(spark, sf_dir):
     """Every document against every benchmark item; windows of ten words."""
-    from .common import only, table
-
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
     read = decontaminate(docs, table(spark, sf_dir, "benchmark"), cut_over=None)
     r = "report."

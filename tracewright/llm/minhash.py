@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, Scratch, having, only
+from .common import MAX_BROADCAST_ROWS, Scratch, ensure_importable, having, only, table
 from .components import connected_components
 from .polyhash import mix
 from .shingles import normal_form, shingle_sets
@@ -106,6 +106,7 @@ def _search(docs: DataFrame, owner: str, bands: int, rows: int, nulls: bool) ->
     """Rows of docs (doc_id, text) as (doc_id, key, form, n_shingles, bands), and for every form that is not
     alone (form, winner): of all rows that links reach, the first by doc_id (nulls last) and key. Rows of a
     null doc_id take part where ``nulls``."""
+    ensure_importable(docs.sparkSession)
     docs = only(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketches = Scratch.write(docs.select("doc_id", row_key(), "text").mapInArrow(lambda it: sketch_batches(it, bands, rows), f"doc_id {kind}, key struct<h:long,g:long>, form binary, n_shingles long, bands array<long>"), owner, "sketches")
@@ -195,7 +196,5 @@ def without_near(docs: DataFrame, owner: str = "minhash", bands: int = BANDS, ro
 
 def op4_minhash(spark, sf_dir):
     """All documents at a similarity of 0.85 over 5-word shingles."""
-    from .common import table
-
     found = near_components(table(spark, sf_dir, "documents"), "op4")
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))

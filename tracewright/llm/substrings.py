@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, having, only
+from .common import Scratch, ensure_importable, having, only, table
 from .polyhash import PrefixHash, chunks, mix
 from .suffixes import repeated
 
@@ -283,6 +283,7 @@ def remove_repeats(docs: DataFrame, owner: str = "substrings", length: int = LEN
     bytes). Equal texts of at least length bytes go whole. Rows of a null doc_id are searched too.
     Columns of the names above are replaced.
     """
+    ensure_importable(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     uid = F.conv(F.substring(F.sha2(body, 256), 1, 16), 16, -10).cast("long").alias("uid")
@@ -307,7 +308,5 @@ def remove_repeats(docs: DataFrame, owner: str = "substrings", length: int = LEN
 
 def op3_suffix_repeats(spark, sf_dir):
     """All documents, strings of 200 bytes."""
-    from .common import table
-
     read = remove_repeats(only(table(spark, sf_dir, "documents"), "doc_id", "text"), "op3")
     return read.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import zip64
-from .common import Scratch, lookup_join
+from .common import Scratch, ensure_importable, lookup_join, table
 from .files import Ranged, put
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.tsv"
@@ -117,11 +117,12 @@ def archive_pages(pages: DataFrame, owner: str = "warc", min_bytes: int = MIN_RE
     whole group's smallest page_id are all responses. An empty table makes no package.
     """
     spark = pages.sparkSession
+    ensure_importable(spark)
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     repeated = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
     repeated = Scratch.write(repeated, owner, "repeated")
-    found = lookup_join(rows, repeated, ["digest"]).withColumn("refers_to", F.when(F.col("first_id") != F.coalesce("page_id", F.lit(-1)), F.col("first_id")))
+    found = lookup_join(rows, repeated, ["digest"]).withColumn("refers_to", F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id")))
     folder = Scratch.path(spark, owner, "packages")
     made = found.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(lambda it: write_packages(it, folder, package_bytes), "package string, records long, bytes long")
     return Scratch.write(made, owner, "manifest")
@@ -129,12 +130,11 @@ def archive_pages(pages: DataFrame, owner: str = "warc", min_bytes: int = MIN_RE
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """Every record of the packages, a task for about each package."""
+    ensure_importable(manifest.sparkSession)
     return manifest.select("package").repartition(max(1, min(manifest.count(), 20_000))).mapInArrow(read_packages, RECORDS)
 
 
 def op9_zip_warc(spark, sf_dir):
     """Every page through a package and back; see archive_pages for nulls, ties and empty tables."""
-    from .common import table
-
     read = read_archives(archive_pages(table(spark, sf_dir, "pages"), "op9"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
