@@ -22,11 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import ensure_importable, only, table
+
 #: The word pattern of byte-level BPE (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a worker remembers, and the longest that it does.
-CACHED_WORDS, CACHED_CHARS = 600_000, 64
+#: Words of a generation that a worker remembers, and the longest that it does.
+CACHED_WORDS, CACHED_CHARS = 300_000, 64
 NO_RANK = np.int64(1 << 60)
+#: ASCII marks; the apostrophe, which may begin a word of letters, is left out.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def byte_chars() -> dict[str, int]:
@@ -107,17 +111,20 @@ class ByteBPE:
 class CachedEncoder:
     """Texts to little-endian uint32 ids, through an encoder of many words and a bounded memory of words.
 
-    A space with no white space after it always begins a word, so texts without other spaces are cut
-    there first; what stands between is remembered too, and only new pieces are split by the pattern.
+    A space with no white space after it always begins a word, so texts are cut there first, and what
+    stands between is remembered whole; only new pieces are split by the pattern. What is remembered
+    has two generations: when the younger is full it becomes the older, and a piece that is met again
+    moves back into the younger without being encoded again.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], added: dict[str, int]):
         self.encode_words, self.added = encode, {k: np.uint32(v).tobytes() for k, v in added.items()}
-        self.pattern, self.wide = regex.compile(PATTERN), re.compile(r" \s")
+        self.pattern, self.wide, self.begins = regex.compile(PATTERN), re.compile(r" \s"), re.compile(r" (?=\S)")
         self.cut = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.words: dict[str, bytes] = dict(self.added)
-        self.pieces: dict[str, bytes] = {}  # of a space and the piece
-        self.again: set[str] = set()  # pieces that occurred again since the last clearing
+        self.after: dict[str, bytes] = {}  # pieces that follow a space, with that space
+        self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = dict(self.added)  # words that do not begin with a space
+        self.long: list[str] = []  # of this call, not to be remembered
 
     def split(self, text: str) -> list[str]:
         """Words, and added tokens as words."""
@@ -130,61 +137,71 @@ class CachedEncoder:
             at = m.end()
         return out + self.pattern.findall(text[at:])
 
+    def pieces(self, text: str) -> tuple[list[str], list[str]]:
+        """Words of the beginning (of a text with added tokens: of all), and the pieces after spaces."""
+        if any(x in text for x in self.added):
+            return self.split(text), []
+        first, *tail = self.begins.split(text) if self.wide.search(text) else text.split(" ")
+        return self.pattern.findall(first), tail
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        heads, tails = [], []
-        for text in texts:
-            if self.wide.search(text) or any(x in text for x in self.added):
-                head, tail = self.split(text), []
+        cut = [self.pieces(text) for text in texts]
+        known = self.after.get
+        coded = [list(map(known, tail)) for _, tail in cut]
+        gaps = [[k for k, own in enumerate(row) if own is None] for row in coded]
+        new = {tail[k] for (_, tail), own in zip(cut, gaps, strict=True) for k in own}
+        met = {x: self.older[x] for x in new if x in self.older}
+        self.after |= met
+        new.difference_update(met)
+        self._learn(new, set().union(*(head for head, _ in cut)))
+        out = []
+        for (head, tail), row, own in zip(cut, coded, gaps, strict=True):
+            for k in own:
+                row[k] = self.after[tail[k]]
+            out.append(b"".join([*map(self._word, head), *row]))
+        self._forget()
+        return out
+
+    def _learn(self, new: set[str], words: set[str]) -> None:
+        """Encode pieces that follow a space, and words."""
+        whole, ended, split = set(), {}, {}
+        for x in new:
+            if x.isalpha():  # one word with the space before it
+                whole.add(x)
+            elif (body := x.rstrip(_MARKS)).isalpha():  # marks after letters are a word of their own
+                ended[x] = body, x[len(body) :]
+            elif len(own := self.pattern.findall(" " + x)) > 1:
+                split[x] = own
             else:
-                first, *tail = text.split(" ")
-                head = self.pattern.findall(first)
-            heads.append(head)
-            tails.append(tail)
-        pieces, words = set().union(*tails), set().union(*heads)
-        new = pieces.difference(self.pieces)
-        self.again |= pieces
-        self.again -= new
-        # letters alone are one word with the space before them
-        split = {x: self.pattern.findall(" " + x) for x in new if not x.isalpha()}
-        for x, own in split.items():
-            if len(own) > 1:
-                words.update(own)
-                new.discard(x)
-        spaced = {w for w in words if len(w) > 1 and w[0] == " "}  # kept under what follows the space
-        words -= spaced
-        fresh = list(new.union(w[1:] for w in spaced).difference(self.pieces))
-        fresh_words = list(words.difference(self.words))
+                whole.add(x)
+        words = words.union(*split.values())
+        words.update(marks for _, marks in ended.values())
+        spaced = {w[1:] for w in words if len(w) > 1 and w[0] == " "}.union(body for body, _ in ended.values())
+        whole.update(x for x in spaced if x not in self.after)
+        fresh = list(whole)
+        fresh_words = [w for w in words if w not in self.words and (len(w) == 1 or w[0] != " ")]
         coded = self.encode_words([*(" " + x for x in fresh), *fresh_words])
-        self.pieces |= zip(fresh, coded, strict=False)
+        self.after |= zip(fresh, coded, strict=False)
         self.words |= zip(fresh_words, coded[len(fresh) :], strict=True)
+        for x, (body, marks) in ended.items():
+            self.after[x] = self.after[body] + self.words[marks]
         for x, own in split.items():
-            if len(own) > 1:
-                self.pieces[x] = b"".join(map(self._word, own))
-        get = self.pieces.__getitem__
-        out = [b"".join([*map(self._word, head), *map(get, tail)]) for head, tail in zip(heads, tails, strict=True)]
-        for w in (w for w in fresh_words if len(w) > CACHED_CHARS):
-            del self.words[w]
+            self.after[x] = b"".join(map(self._word, own))
+        self.long += [x for x in (*fresh, *ended, *split, *fresh_words) if len(x) > CACHED_CHARS and x not in self.added]
+
+    def _forget(self) -> None:
+        """Long strings at once, others when a generation is full."""
+        for x in self.long:
+            self.after.pop(x, None)
+            self.words.pop(x, None)
+        self.long.clear()
+        if len(self.after) > CACHED_WORDS:
+            self.older, self.after = self.after, {}
         if len(self.words) > CACHED_WORDS:
             self.words = dict(self.added)
-        long = [w for w in (*new, *fresh, *split) if len(w) > CACHED_CHARS]
-        for w in long:
-            self.pieces.pop(w, None)
-        if len(self.pieces) > CACHED_WORDS:  # those that came once go
-            self.pieces = {w: self.pieces[w] for w in self.again if w in self.pieces} if len(self.again) < CACHED_WORDS // 2 else {}
-            self.again = set()
-        return out
 
     def _word(self, word: str) -> bytes:
-        return self.pieces[word[1:]] if len(word) > 1 and word[0] == " " else self.words[word]
-
-    @staticmethod
-    def _bounded(known: dict[str, bytes], new: list[str], used: set[str]) -> dict[str, bytes]:
-        if len(known) > CACHED_WORDS:  # those of the last texts stay: the common ones are among them
-            return {w: known[w] for w in used if len(w) <= CACHED_CHARS}
-        for w in new:
-            if len(w) > CACHED_CHARS:
-                known.pop(w, None)
-        return known
+        return self.after[word[1:]] if len(word) > 1 and word[0] == " " else self.words[word]
 
 
 def slices(texts: list[str], limit: int = 1 << 20) -> Iterator[list[str]]:
@@ -216,6 +233,7 @@ _shipped: set[tuple[str, str]] = set()
 
 def ship(spark, path: str) -> str:
     """Send the vocabulary file to the executors of this application; its name there."""
+    ensure_importable(spark)
     known = (spark.sparkContext.applicationId, path)
     if known not in _shipped:
         spark.sparkContext.addFile(path)
@@ -262,8 +280,6 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 def op5_numpy_bpe(spark, sf_dir):
     """Every document encoded and decoded again, with the public 50k byte-level vocabulary."""
-    from .common import only, table
-
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
     read = bpe_round_trip(docs, tokenizer_file(), with_ids=False)
     return read.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

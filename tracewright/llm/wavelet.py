@@ -5,15 +5,17 @@ stably before those with a 1. Access, counting and occurrence lookup walk the pl
 way back by select. The file is succinct (about one bit for each bit of an id) and is the only copy.
 
 File: magic, then little-endian uint64 header (ids, planes, documents, bytes of the document table),
-uint64 zeros a plane, the zlib-compressed document table (int64 keys, int64 counts), then for each
-plane its bits in uint8, padded to whole blocks, and the uint32 number of ones before each block.
+uint64 zeros a plane, the zlib-compressed document table (int64 keys, int64 counts, int64 1 for null
+keys), then for each plane its bits in uint8, padded to whole blocks, and the uint32 number of ones before each block.
 """
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
+from functools import partial
+from operator import attrgetter
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +23,16 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import CachedEncoder, ship, slices, tokenizer_file
-from .common import Scratch
+from .bpe import CachedEncoder, byte_chars, ship, slices, tokenizer_file
+from .common import Scratch, ensure_importable, table
 from .files import Ranged, put
 
 MAGIC, BLOCK_BITS = b"TWWAVEL1", 512
-SHARD_TOKENS, END_ID, WORDS_A_CALL = 1 << 21, 2, 256
+SHARD_TOKENS, END_ID, LOOKUPS = 1 << 21, 2, 1 << 13
 
 
-def build(ids: np.ndarray, keys: list[int], counts: list[int]) -> list[bytes]:
-    """The parts of a file. ids below 2^32; keys and counts tell the documents in order."""
+def build(ids: np.ndarray, keys: list[int | None], counts: list[int]) -> list[bytes]:
+    """The parts of a file. ids below 2^32; keys (null or not) and counts tell the documents in order."""
     planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     kind = np.uint16 if planes <= 16 else np.uint32
     ids, zeros, body = ids.astype(kind), [], []
@@ -46,7 +48,8 @@ def build(ids: np.ndarray, keys: list[int], counts: list[int]) -> list[bytes]:
         body += [packed.tobytes(), before.astype("<u4").tobytes()]
         zeros.append(len(ids) - int(ones.sum()))
         ids = np.concatenate([np.compress(~ones, ids), np.compress(ones, ids)])
-    table = zlib.compress(np.array([keys, counts], "<i8").tobytes(), 3)
+    nulls = [k is None for k in keys]
+    table = zlib.compress(np.array([[k or 0 for k in keys], counts, nulls], "<i8").tobytes(), 3)
     return [MAGIC, np.array([len(ids), planes, len(keys), len(table), *zeros], "<u8").tobytes(), table, *body]
 
 
@@ -61,7 +64,7 @@ class WaveletMatrix:
         at = len(head)
         self.zeros = np.frombuffer(file.read(at, 8 * self.planes), "<u8").astype(np.int64)
         at += 8 * self.planes
-        self.keys, self.counts = np.frombuffer(zlib.decompress(file.read(at, table)), "<i8").reshape(2, docs)
+        self.keys, self.counts, self.nulls = np.frombuffer(zlib.decompress(file.read(at, table)), "<i8").reshape(3, docs)
         self.body, self.blocks, self._plane = at + table, -(-self.n // BLOCK_BITS), {}
 
     def plane(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,39 +150,27 @@ _library: dict[str, CachedEncoder] = {}
 
 
 def library_encoder(name: str) -> CachedEncoder:
-    """The tokenizers library, asked once for each distinct word while a worker remembers it."""
+    """The tokenizers library's model, asked once for each distinct word while a worker remembers it."""
     if name not in _library:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(SparkFiles.get(name))
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
         added = {x.content: i for i, x in tokenizer.get_added_tokens_decoder().items()}
-        opening = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
-        for token, i in tokenizer.get_vocab().items():
-            opening[i] = token.startswith(chr(256 + 32))  # a space, as byte-level vocabularies write it
-        _library[name] = CachedEncoder(lambda words: encode_words(tokenizer, opening, words), added)
+        _library[name] = CachedEncoder(partial(encode_words, tokenizer.model), added)
     return _library[name]
 
 
-def encode_words(tokenizer, opening: np.ndarray, words: list[str]) -> list[bytes]:
-    """Ids of each word. Words of a space and letters are asked for many at a time, as the library cuts them apart again."""
-    out: list[bytes] = [b""] * len(words)
-    plain = [k for k, w in enumerate(words) if w[0] == " " and w[1:].isalpha()]
-    for i in range(0, len(plain), WORDS_A_CALL):
-        own = plain[i : i + WORDS_A_CALL]
-        got = tokenizer.encode_batch_fast(["".join([words[k] for k in own])], add_special_tokens=False)[0]
-        ids = np.array(got.ids, "<u4")
-        starts = np.flatnonzero(opening[ids]) * 4  # the space is in each word's first token, and nowhere else
-        if len(starts) != len(own):
-            raise ValueError("the library cut words otherwise than expected")
-        raw = ids.tobytes()
-        for k, a, b in zip(own, starts.tolist(), [*starts[1:].tolist(), len(raw)], strict=True):
-            out[k] = raw[a:b]
-    rest = sorted(set(range(len(words))).difference(plain))
-    for k, got in zip(rest, tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
-        out[k] = np.array(got.ids, "<u4").tobytes()
+#: The character that stands for each byte that has none of its own, as byte-level vocabularies write it.
+_AS_WRITTEN = {b: c for c, b in byte_chars().items()}
+
+
+def encode_words(model, words: list[str]) -> list[bytes]:
+    """Ids of each word. The words are cut already, so they go to the library's model without its own cutting."""
+    out, ask, of = [], model.tokenize, attrgetter("id")
+    for w in words:
+        written = "\u0120" + w[1:] if w[0] == " " and w.isascii() and w[1:].isalpha() else w.encode().decode("latin-1").translate(_AS_WRITTEN)
+        ids = [*map(of, ask(written))]
+        out.append(pack(f"<{len(ids)}I", *ids))
     return out
 
 
@@ -187,7 +178,7 @@ def write_shards(batches: Iterator[pa.RecordBatch], name: str, folder: str, end_
     encoder, end = library_encoder(name), np.uint32(end_id).tobytes()
     made: list[tuple] = []
     coded: list[bytes] = []
-    keys: list[int] = []
+    keys: list[int | None] = []
     counts: list[int] = []
     part = TaskContext.get().partitionId()
 
@@ -216,47 +207,60 @@ def write_shards(batches: Iterator[pa.RecordBatch], name: str, folder: str, end_
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made, strict=True)], names=["shard", "part", "seq", "tokens"])
 
 
-def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def read_shards(batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[pa.RecordBatch]:
+    """Documents of each shard. Their ends are first looked up by rank: each must hold the end id."""
     for batch in batches:
         for uri, base in zip(batch.column("shard").to_pylist(), batch.column("base").to_pylist(), strict=True):
             with Ranged(uri) as file:
                 matrix = WaveletMatrix(file)
+                ends = np.cumsum(matrix.counts)
+                if matrix.count(end_id) < len(ends) or any((matrix.access(at) != end_id).any() for at in np.split(ends - 1, range(LOOKUPS, len(ends), LOOKUPS))):
+                    raise ValueError(f"{uri} is damaged: a document does not end with the end id")
                 raw = memoryview(matrix.all().astype("<u4").tobytes())
-            ends = np.cumsum(matrix.counts)
             starts = ends - matrix.counts
             sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            columns = [pa.array(matrix.keys, pa.int64()), pa.array(base + starts), pa.array(matrix.counts, pa.int64()), pa.array(sums, pa.int64()), pa.array([uri] * len(sums), pa.string()), pa.array(starts)]
+            keys = pa.array(matrix.keys, pa.int64(), mask=matrix.nulls.astype(bool))
+            columns = [keys, pa.array(base + starts), pa.array(matrix.counts, pa.int64()), pa.array(sums, pa.int64()), pa.array([uri] * len(sums), pa.string()), pa.array(starts)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "shard", "shard_start"])
 
 
-def write_token_shards(docs: DataFrame, tokenizer_path: str, owner: str = "tokens", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write_token_shards(
+    docs: DataFrame,
+    tokenizer_path: str,
+    owner: str = "tokens",
+    end_id: int = END_ID,
+    shard_tokens: int = SHARD_TOKENS,
+) -> DataFrame:
     """Encode docs (doc_id, text) in ascending doc_id order into files; the manifest, with ``base``, the ids before a shard.
 
-    Null text is empty and has the end id alone. Equal doc_ids stand in order of their texts. Rows of
-    a null doc_id come first, under the smallest long. An empty table makes no file.
+    Null text is empty and has the end id alone. Rows of a null doc_id come first and are read back
+    with a null one. Equal doc_ids stand in order of their texts' hashes, so many rows of one doc_id
+    are dealt over tasks. An empty table makes no file.
     """
     spark = docs.sparkSession
     name, folder = ship(spark, tokenizer_path), Scratch.path(spark, owner, "shards")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.xxhash64(text).alias("h"), text.alias("text"))
+    dealt = rows.repartitionByRange("key", "h").sortWithinPartitions("key", "h", "text").select("key", "text")
     made = dealt.mapInArrow(lambda it: write_shards(it, name, folder, end_id, shard_tokens), "shard string, part long, seq long, tokens long")
     made = Scratch.write(made, owner, "manifest")
     # one row a partition, then one a shard
-    parts = made.groupBy("part").agg(F.sum("tokens").alias("own")).withColumn("before", F.sum("own").over(Window.orderBy("part")) - F.col("own"))
+    parts = made.groupBy("part").agg(F.sum("tokens").alias("own"))
+    parts = parts.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("before"))
     within = F.sum("tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("tokens")
-    return made.join(parts.select("part", "before"), "part").select("shard", "tokens", (F.col("before") + within).alias("base"))
+    return made.join(parts, "part").select("shard", "tokens", (F.col("before") + within).alias("base"))
 
 
-def read_token_shards(manifest: DataFrame) -> DataFrame:
+def read_token_shards(manifest: DataFrame, end_id: int = END_ID) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32, and where it lies."""
+    ensure_importable(manifest.sparkSession)
     n = max(1, min(manifest.count(), 20_000))
-    return manifest.select("shard", "base").repartition(n).mapInArrow(read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string, shard_start long")
+    fields = "doc_id long, start long, n_tokens long, ids_crc32 long, shard string, shard_start long"
+    return manifest.select("shard", "base").repartition(n).mapInArrow(lambda it: read_shards(it, end_id), fields)
 
 
 def op6_wavelet_matrix(spark, sf_dir):
     """All documents' ids through wavelet-matrix shards."""
-    from .common import table
-
     manifest = write_token_shards(table(spark, sf_dir, "documents"), tokenizer_file(), "op6")
     read = read_token_shards(manifest)
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
