@@ -8,7 +8,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,11 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import ensure_importable, only, table
+from .polyhash import chunks
+
 EXTENSION, CONTROL, IMAGE, TRAILER = 0x21, 0xF9, 0x2C, 0x3B
 INTERLACE = ((0, 8), (4, 8), (2, 4), (1, 2))
 BACKGROUND, PREVIOUS = 2, 3
-ROW_BYTES, FRAME_ROWS, LITERALS = 64, 65_535, 254
-GREYS = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+ROW_BYTES, FRAME_ROWS, MOST_CODES = 64, 64, 4096
+KEEP = 1
+#: The colour of each sample: three bits of red, three of green, two of blue.
+COLOURS = np.stack([(np.arange(256) >> 5) * 36, (np.arange(256) >> 2 & 7) * 36, (np.arange(256) & 3) * 85], axis=1).astype(np.uint8)
 
 
 @dataclass
@@ -37,115 +42,128 @@ class Frame:
     canvas: np.ndarray  # height x width x RGB of the whole screen
 
 
-def pack_codes(codes: np.ndarray, width: int) -> bytes:
-    bits = np.unpackbits(codes.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, count=width, bitorder="little")
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+def code_bits(codes: np.ndarray, width: int) -> np.ndarray:
+    """Bits of codes of one width, the lowest first."""
+    return np.unpackbits(codes.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, count=width, bitorder="little").ravel()
 
 
-def unpack_codes(data: bytes, width: int, bit: int = 0, most: int | None = None) -> np.ndarray:
-    """Codes of one width from a bit offset on."""
-    n = (8 * len(data) - bit) // width if most is None else min(most, (8 * len(data) - bit) // width)
-    raw = np.unpackbits(np.frombuffer(data, np.uint8, (bit + n * width + 7) // 8 - bit // 8, bit // 8), bitorder="little")[bit % 8 : bit % 8 + n * width]
-    full = np.zeros((n, 16), np.uint8)
-    full[:, :width] = raw.reshape(n, width)
-    return np.packbits(full.ravel(), bitorder="little").view("<u2")
+def code_width(clear: int, nth: int) -> int:
+    """Bits of the nth code (from 1) after a clear code: enough for every entry that the table has by then."""
+    return min(12, (clear + nth).bit_length())
 
 
-def lzw_literals(data: np.ndarray) -> bytes:
-    """A valid stream of 8-bit samples that never refers back: the table is cleared before codes widen."""
-    n = len(data)
-    groups = -(-n // LITERALS)
-    codes = np.full((groups, LITERALS + 1), 256, np.uint16)
-    flat = np.zeros(groups * LITERALS, np.uint16)
-    flat[:n] = data
-    codes[:, 1:] = flat.reshape(groups, LITERALS)
-    return pack_codes(np.append(codes.ravel()[: n + groups], np.uint16(257)), 9)
+def width_groups(clear: int, first: int = 1) -> Iterator[tuple[int, int]]:
+    """Widths in their order, with how many codes have each; those of the last width are without end."""
+    width = code_width(clear, first)
+    while width < 12:
+        last = (1 << width) - 1 - clear
+        yield width, last - first + 1
+        first, width = last + 1, width + 1
+    yield 12, 1 << 62
 
 
-def lzw_compress(data: bytes, bits: int = 8) -> bytes:
-    """The usual greedy stream, with a clear code when the table is full."""
-    clear, out, held, width_of = 1 << bits, 0, 0, bits + 1
-    parts = bytearray()
-
-    def put(code: int) -> None:
-        nonlocal out, held
-        out |= code << held
-        held += width_of
-        while held >= 8:
-            parts.append(out & 255)
-            out >>= 8
-            held -= 8
-
-    put(clear)
-    table: dict[tuple[int, int], int] = {}
-    fresh, prefix = clear + 2, -1
-    for c in data:
-        if prefix < 0:
-            prefix = c
-        elif (code := table.get((prefix, c))) is not None:
-            prefix = code
+def lzw_codes(data: bytes, bits: int) -> list[list[int]]:
+    """Codes of each table, greedy; a table that is full is followed by a clear code and another.
+
+    A node of the table is a dict of its continuations, with its own code under -1.
+    """
+    clear, tables, codes = 1 << bits, [], []
+    if not data:
+        return [[clear + 1]]
+    fresh, put = clear + 2, codes.append
+    roots: list[dict] = [{-1: i} for i in range(clear)]
+    node = roots[data[0]]
+    for c in memoryview(data)[1:]:
+        longer = node.get(c)
+        if longer is not None:
+            node = longer
+            continue
+        put(node[-1])
+        if fresh < MOST_CODES:
+            node[c] = {-1: fresh}
+            fresh += 1
         else:
-            put(prefix)
-            if fresh < 4096:
-                table[prefix, c] = fresh
-                if fresh == 1 << width_of and width_of < 12:
-                    width_of += 1
-                fresh += 1
-            else:
-                put(clear)
-                table, fresh, width_of = {}, clear + 2, bits + 1
-            prefix = c
-    if prefix >= 0:
-        put(prefix)
-        if fresh == 1 << width_of and width_of < 12:
-            width_of += 1
-    put(clear + 1)
-    if held:
-        parts.append(out & 255)
-    return bytes(parts)
-
-
-def lzw_decode(data: bytes, bits: int, most: int) -> np.ndarray:
-    """At most ``most`` samples. A stream that ends early gives what it holds; a bad code raises."""
-    clear, end = 1 << bits, (1 << bits) + 1
-    codes = unpack_codes(data, bits + 1)
-    stop = np.flatnonzero(codes == end)[:1]
-    codes = codes[: stop[0]] if len(stop) else codes
-    cleared = np.flatnonzero(codes == clear)
-    gaps = np.diff(cleared, prepend=-1 if len(cleared) and cleared[0] == 0 else 0, append=len(codes))
-    # no code refers to the table, and it is cleared before codes would widen: the samples stand as they are
-    if len(cleared) and int(codes.max(initial=0)) <= clear and int(gaps.max()) <= clear - 1:
-        return codes[codes < clear].astype(np.uint8)[:most]
-    out = bytearray()
-    table: list[bytes] = []
-    width, held, have, last = bits + 1, 0, 0, b""
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table = list(base)
-    for byte in data:
-        held |= byte << have
-        have += 8
-        while have >= width:
-            code = held & ((1 << width) - 1)
-            held >>= width
-            have -= width
-            if code == clear:
-                table, width, last = list(base), bits + 1, b""
-                continue
-            if code == end or len(out) >= most:
-                return np.frombuffer(bytes(out[:most]), np.uint8)
-            if code < len(table):
-                own = table[code]
-            elif code == len(table) and last:
-                own = last + last[:1]
-            else:
-                raise ValueError("LZW code out of range")
-            if last and len(table) < 4096:
-                table.append(last + own[:1])
-                if len(table) == 1 << width and width < 12:
-                    width += 1
-            out += own
-            last = own
-    return np.frombuffer(bytes(out[:most]), np.uint8)
+            put(clear)
+            tables.append(codes)
+            codes, fresh, roots = [], clear + 2, [{-1: i} for i in range(clear)]
+            put = codes.append
+        node = roots[c]
+    codes += [node[-1], clear + 1]
+    return [*tables, codes]
+
+
+def lzw_compress(data: bytes, bits: int = 8) -> bytes:
+    """The usual stream: a clear code, then the codes of each table, which widen as the table grows."""
+    clear = 1 << bits
+    parts = [code_bits(np.array([clear], np.uint16), bits + 1)]
+    for codes in lzw_codes(data, bits):
+        own, at = np.array(codes, np.uint16), 0
+        for width, n in width_groups(clear):
+            parts.append(code_bits(own[at : at + n], width))
+            at += n
+            if at >= len(own):
+                break
+    return np.packbits(np.concatenate(parts), bitorder="little").tobytes()
+
+
+def table_codes(bits: np.ndarray, at: int, clear: int) -> tuple[np.ndarray, int, bool]:
+    """Codes of one table from a bit on, where what follows its clear code begins, and whether the stream ends."""
+    parts = []
+    for width, n in width_groups(clear):
+        n = min(n, (len(bits) - at) // width)
+        full = np.zeros((n, 16), np.uint8)
+        full[:, :width] = bits[at : at + n * width].reshape(n, width)
+        codes = np.packbits(full.ravel(), bitorder="little").view("<u2")
+        stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        if len(stop):
+            k = int(stop[0])
+            return np.concatenate([*parts, codes[:k]]), at + (k + 1) * width, bool(codes[k] == clear + 1)
+        parts.append(codes)
+        at += n * width
+        if len(bits) - at < width:
+            break
+    return np.concatenate(parts), len(bits), True
+
+
+def lzw_decode(streams: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
+    """At most ``most`` samples of each stream (data, bits, most). One that ends early gives what it holds; a bad code raises.
+
+    All streams are decoded together. The entry that the nth code of a table makes is that code's string
+    and the first sample of the next one's, so a code is a sample, or refers to an earlier code of its
+    table: strings are chains of references, whose lengths and beginnings are found by doubling.
+    """
+    parts, clears, owners = [], [], []
+    for k, (data, bits, _) in enumerate(streams):
+        stream, at, ended = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little"), 0, False
+        while not ended:
+            codes, at, ended = table_codes(stream, at, 1 << bits)
+            parts.append(codes)
+            clears.append(1 << bits)
+            owners.append(k)
+    sizes = np.array([len(x) for x in parts], np.int64)
+    codes = np.concatenate([np.zeros(0, np.uint16), *parts]).astype(np.int64)
+    clear, start = np.repeat(clears, sizes).astype(np.int64), np.repeat(np.cumsum(sizes) - sizes, sizes)
+    own = np.arange(len(codes))
+    plain = codes < clear
+    parent = np.where(plain, own, start + codes - clear - 2)
+    if ((parent > own) | (parent < start) | (~plain & (parent == own))).any():
+        raise ValueError("LZW code out of range")
+    depth, root = (~plain).astype(np.int64), parent
+    while depth[root].any():
+        depth, root = depth + depth[root], root[root]
+    first = codes[root]
+    last = np.where(plain, codes, first[np.minimum(parent + 1, own)]).astype(np.uint8)
+    ends = np.cumsum(depth + 1)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    at, node = ends - 1, own
+    while len(node):  # the samples of each string, from its last
+        out[at] = last[node]
+        longer = ~plain[node]
+        at, node = at[longer] - 1, parent[node[longer]]
+    held = np.zeros(len(streams), np.int64)
+    np.add.at(held, np.repeat(owners, sizes).astype(np.int64), depth + 1)
+    cuts = np.cumsum(held)
+    return [out[e - n : e][:most] for e, n, (_, _, most) in zip(cuts.tolist(), held.tolist(), streams, strict=True)]
 
 
 def sub_blocks(data: bytes) -> bytes:
@@ -165,26 +183,76 @@ def join_blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def encode_gif(samples: bytes, width: int = ROW_BYTES, palette: bytes = GREYS, compress: bool = False, delay_ms: int = 100) -> bytes:
-    """Rows of 8-bit samples as palette indices; frames of at most FRAME_ROWS rows, top to bottom."""
-    flat = np.frombuffer(samples, np.uint8)
-    rows = len(flat) // width
-    height = min(rows, FRAME_ROWS)
-    parts = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), palette]
-    for top in range(0, rows, FRAME_ROWS):
-        own = flat[top * width : (top + FRAME_ROWS) * width]
-        parts.append(struct.pack("<BBBBHBB", EXTENSION, CONTROL, 4, 1 << 2, delay_ms // 10, 0, 0))
-        parts.append(struct.pack("<BHHHHB", IMAGE, 0, 0, width, len(own) // width, 0) + b"\x08")
-        parts.append(sub_blocks(lzw_compress(own.tobytes()) if compress else lzw_literals(own)))
+def frame_parts(own: np.ndarray, screen: np.ndarray, disposal: int, delay_ms: int) -> list[bytes]:
+    """One frame of samples over what the screen shows: samples that already stand there are transparent.
+
+    The local palette has the colours of the other samples only, so codes are as narrow as these allow.
+    """
+    same = own == screen
+    used = np.flatnonzero(np.bincount(own[~same], minlength=256))
+    clear = len(used) if len(used) < 256 and same.any() else -1
+    if clear < 0:
+        used = np.flatnonzero(np.bincount(own.ravel(), minlength=256))
+    colours = len(used) + (clear >= 0)
+    bits = max(2, (colours - 1).bit_length())
+    index = np.zeros(256, np.uint8)
+    index[used] = np.arange(len(used))
+    coded = index[own]
+    if clear >= 0:
+        coded[same] = clear
+    palette = np.zeros((1 << bits, 3), np.uint8)
+    palette[: len(used)] = COLOURS[used]
+    height, width = own.shape
+    return [
+        struct.pack("<BBBBHBB", EXTENSION, CONTROL, 4, disposal << 2 | (clear >= 0), delay_ms // 10, max(0, clear), 0),
+        struct.pack("<BHHHHB", IMAGE, 0, 0, width, height, 0x80 | bits - 1),
+        palette.tobytes() + bytes([bits]),
+        sub_blocks(lzw_compress(coded.tobytes(), bits)),
+    ]
+
+
+def encode_gif(samples: bytes, width: int = ROW_BYTES, frame_rows: int = FRAME_ROWS, delay_ms: int = 100) -> bytes:
+    """Rows of 8-bit samples as an animation, ``frame_rows`` rows a frame, each drawn over the one before it.
+
+    After a frame the screen is kept, or cleared where the next frame has more samples of the cleared
+    colour (0) than of those that stand there.
+    """
+    flat = np.frombuffer(samples, np.uint8).reshape(-1, width)
+    pages = [flat[top : top + frame_rows] for top in range(0, len(flat), frame_rows)]
+    parts = [b"GIF89a", struct.pack("<HHBBB", width, min(len(flat), frame_rows), 0x70, 0, 0)]
+    screen = np.zeros((min(len(flat), frame_rows), width), np.uint8)
+    for own, after in zip(pages, [*pages[1:], None], strict=True):
+        cleared = after is not None and np.count_nonzero(after == 0) > np.count_nonzero(after == own[: len(after)])
+        parts += frame_parts(own, screen[: len(own)], BACKGROUND if cleared else KEEP, delay_ms)
+        screen[: len(own)] = 0 if cleared else own
     return b"".join([*parts, bytes([TRAILER])])
 
 
-def decode_gif(data: bytes) -> Iterator[Frame]:
-    """Frames with the screen as shown after each, by palette, transparency and the disposal before it."""
+def shown_samples(frame: Frame) -> np.ndarray:
+    """The samples that encode_gif() put where a frame stands, from the colours that the screen shows there."""
+    high = frame.canvas[frame.top : frame.top + frame.height, frame.left : frame.left + frame.width] // np.array([36, 36, 85], np.uint8)
+    return high[:, :, 0] << 5 | high[:, :, 1] << 2 | high[:, :, 2]
+
+
+@dataclass
+class Coded:
+    """A frame as it stands in a file."""
+
+    box: tuple[int, int, int, int]  # left, top, width, height
+    screen: tuple[int, int]  # height, width
+    colours: np.ndarray
+    interlaced: bool
+    delay_ms: int
+    disposal: int
+    clear: int  # the transparent index, or -1
+    stream: tuple[bytes, int, int]  # for lzw_decode()
+
+
+def coded_frames(data: bytes) -> Iterator[Coded]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
-    at, common = 13, np.zeros((256, 3), np.uint8)
+    at = 13
 
     def palette(flags: int) -> np.ndarray:
         nonlocal at
@@ -194,52 +262,57 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
         at += 3 * n
         return colours
 
-    if flags & 0x80:
-        common = palette(flags)
-    screen = np.zeros((height, width, 3), np.uint8)
+    common = palette(flags) if flags & 0x80 else np.zeros((256, 3), np.uint8)
     delay, disposal, clear = 0, 0, -1
     while at < len(data) and data[at] != TRAILER:
-        kind = data[at]
-        if kind == EXTENSION:
+        if data[at] == EXTENSION:
             label = data[at + 1]
             body, at = join_blocks(data, at + 2)
             if label == CONTROL:
                 packed, ticks, index = struct.unpack_from("<BHB", body)
                 delay, disposal, clear = ticks * 10, packed >> 2 & 7, index if packed & 1 else -1
             continue
-        if kind != IMAGE:
-            raise ValueError(f"unknown block {kind}")
+        if data[at] != IMAGE:
+            raise ValueError(f"unknown block {data[at]}")
         left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
         at += 10
         colours = palette(flags) if flags & 0x80 else common
         bits = data[at]
         stream, at = join_blocks(data, at + 1)
-        samples = lzw_decode(stream, bits, w * h)
+        yield Coded((left, top, w, h), (height, width), colours, bool(flags & 0x40), delay, disposal, clear, (stream, bits, w * h))
+        delay, disposal, clear = 0, 0, -1
+
+
+def shown_frames(frames: Iterable[tuple[Coded, np.ndarray]]) -> Iterator[Frame]:
+    """Frames with the screen as shown after each, by palette, transparency and the disposal before it."""
+    screen = None
+    for f, samples in frames:
+        left, top, w, h = f.box
+        screen = np.zeros((*f.screen, 3), np.uint8) if screen is None else screen
         indices = np.zeros(w * h, np.uint8)
         indices[: len(samples)] = samples
         indices = indices.reshape(h, w)
-        if flags & 0x40:
+        if f.interlaced:
             order = np.concatenate([np.arange(a, h, b) for a, b in INTERLACE])
             straight = np.empty_like(indices)
             straight[order] = indices
             indices = straight
-        before = screen.copy() if disposal == PREVIOUS else None
+        before = screen.copy() if f.disposal == PREVIOUS else None
         part = screen[top : top + h, left : left + w]
         own = indices[: part.shape[0], : part.shape[1]]
-        if clear >= 0:
-            shown = own != clear
-            part[shown] = colours[own[shown]]
+        if f.clear >= 0:
+            np.copyto(part, f.colours[own], where=(own != f.clear)[:, :, None])
         else:
-            part[...] = colours[own]
-        yield Frame(left, top, w, h, delay, disposal, indices, screen)
-        if disposal == BACKGROUND:
-            screen = screen.copy()
+            part[...] = f.colours[own]
+        yield Frame(left, top, w, h, f.delay_ms, f.disposal, indices, screen)
+        screen = screen.copy() if before is None else before
+        if f.disposal == BACKGROUND:
             screen[top : top + h, left : left + w] = 0
-        elif before is not None:
-            screen = before
-        else:
-            screen = screen.copy()
-        delay, disposal, clear = 0, 0, -1
+
+
+def decode_gif(data: bytes) -> Iterator[Frame]:
+    """A file's frames as shown, up to where it is damaged; then it raises."""
+    return shown_frames((f, lzw_decode([f.stream])[0]) for f in coded_frames(data))
 
 
 def histogram(canvas: np.ndarray) -> np.ndarray:
@@ -270,6 +343,7 @@ def gif_frames(df: DataFrame, media_col: str) -> DataFrame:
 
     What is no GIF (null and empty too), or is damaged, gives its frames so far and a row with ``error``.
     """
+    ensure_importable(df.sparkSession)
     rest = [F.col(f"`{c}`") for c in df.columns if c != media_col]
     slim = df.select((F.struct(*rest) if rest else F.struct(F.lit(None).alias("none"))).alias("row"), F.col(f"`{media_col}`").alias("media"))
     kinds = {"int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "string": pa.string()}
@@ -281,31 +355,34 @@ def padded(text: bytes) -> bytes:
     return text + bytes(-len(text) % ROW_BYTES if text else ROW_BYTES)
 
 
+MEDIA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
 def text_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Store each text as a GIF, read the GIF back, and describe what was read."""
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    """Store each text as a GIF, read the GIFs back, and describe what was read."""
+    names = [x.split(" ")[0] for x in MEDIA.split(", ")]
+    kinds = [pa.string() if x.endswith("string") else pa.int64() for x in MEDIA.split(", ")]
     for batch in batches:
+        texts = [t or b"" for t in pc.cast(batch.column("text"), pa.binary()).to_pylist()]
         rows = []
-        for text in pc.cast(batch.column("text"), pa.binary()).to_pylist():
-            media = encode_gif(padded(text or b""))
-            parts, bins, length = [], np.zeros(64, np.int64), 0
-            for frame in decode_gif(media):
-                shown = frame.canvas[: frame.height]
-                parts.append(np.ascontiguousarray(shown[:, :, 0]).tobytes())
-                bins += histogram(shown)
-                length += frame.delay_ms
-            payload = b"".join(parts)
-            feature = f"frames={len(parts)};ms={length};" + ",".join(f"{k}:{n}" for k, n in enumerate(bins.tolist()) if n)
-            rows.append((len(text or b""), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-        made = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)]
+        for i, j in chunks([len(t) for t in texts]):
+            media = [encode_gif(padded(t)) for t in texts[i:j]]
+            coded = [list(coded_frames(m)) for m in media]
+            samples = iter(lzw_decode([f.stream for frames in coded for f in frames]))
+            for text, stored, frames in zip(texts[i:j], media, coded, strict=True):
+                parts, bins, length = [], np.zeros(64, np.int64), 0
+                for frame in shown_frames((f, next(samples)) for f in frames):
+                    parts.append(shown_samples(frame).tobytes())
+                    bins += histogram(frame.canvas[: frame.height])
+                    length += frame.delay_ms
+                payload = b"".join(parts)
+                feature = f"frames={len(parts)};ms={length};" + ",".join(f"{k}:{n}" for k, n in enumerate(bins.tolist()) if n)
+                rows.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
+        made = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", *names])
 
 
 def op7_gif(spark, sf_dir):
-    """Every text as grey samples of a GIF and back. Null texts are empty: 64 zero bytes."""
-    from .common import only, table
-
+    """Every text as coloured samples of a GIF, in frames of 64 rows of 64, and back. Null texts are empty: 64 zero bytes."""
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
-    more = T._parse_datatype_string("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return docs.mapInArrow(text_media, T.StructType([docs.schema["doc_id"], *more]))
+    return docs.mapInArrow(text_media, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(MEDIA)]))
