@@ -19,14 +19,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, ensure_importable, table
 from .fitting import bounded_sample, fit_logistic, held_out, sigmoid
 
 #: The model is fitted on at most so many toxic and so many other labelled documents, each kind weighed by
 #: the inverse of its sampling rate, so the kinds' shares in the sample do not move the scores.
 FIT_TOXIC, FIT_CLEAN = 3_000, 6_000
-#: Stems are whole words or beginnings of these lengths, in at least LEAST_DOCS toxic documents.
-LENGTHS, CANDIDATES, STEMS, LEAST_DOCS, RIDGE = (4, 5, 6, 7, 8), 2_000, 64, 4, 1e-3
+#: Stems are whole words or beginnings of these lengths, in at least LEAST_DOCS toxic documents, and commoner
+#: there by a log likelihood ratio of SIGNIFICANT nats: less than one of a hundred million reaches it by chance.
+LENGTHS, SIGNIFICANT, LEAST_DOCS, RIDGE = (4, 5, 6, 7, 8), 18.0, 4, 1e-3
 THRESHOLD = 0.7
 CACHED = 400_000
 
@@ -39,11 +40,12 @@ CLASSES = 28
 _CLASS = bytes(c - 96 if 97 <= c <= 122 else c - 64 if 65 <= c <= 90 else 27 if c >= 128 else 0 for c in range(256))
 _OPENS, _CLOSES, _ALONE = r"[\"'\[{<]*", r"[.,;:?!\"')\]}>]*", r"(?:[^\W\d_]|[0-9@$!|+*])"
 _UNIT = re.compile(rf"({_OPENS})({_ALONE})({_CLOSES})([ \t]*)")
-_APART = re.compile(rf"(?<!\S){_OPENS}{_ALONE}{_CLOSES}(?:[ \t]+{_OPENS}{_ALONE}{_CLOSES}){{3,}}(?!\S)")
+_APART = re.compile(rf"(?<!\S){_OPENS}{_ALONE}{_CLOSES}(?:[ \t]+{_OPENS}{_ALONE}{_CLOSES}){{2,}}(?!\S)")
 #: Channel of separators, and of the space after a letter that stands alone: nothing, or the end of a word.
 _NARROW, _WIDE = [("", -0.3), (" ", -1.2)], [(" ", -0.1), ("", -4.0)]
 _LONG = re.compile(r"([^\W\d_])\1\1")
 _WORDS = re.compile(r"[^\W\d_]+")
+_NUMBER = re.compile(r"[$€£]?\d[\d.,:/%+-]*|[^\w@$|€£¡]*")
 _EDGES = " \t.,;:?!\"'()[]{}<>#%&*$|~-_=/\\"
 
 
@@ -140,8 +142,7 @@ def restored(token: str, model: np.ndarray) -> list[str]:
     words = _WORDS.findall(token)
     core = token.strip(_EDGES)
     core = token[token.find(core) - 1] + core if core and token[:1] in "$@" and token.find(core) else core
-    letters = sum(map(len, words))
-    if letters < 2 or not (not core.isalpha() or _LONG.search(core)):
+    if _NUMBER.fullmatch(core) or (core.isalpha() and not _LONG.search(core)):
         return words
     return [*words, *viterbi(lattice(core), model).split()]
 
@@ -214,26 +215,34 @@ class ToxicModel:
 
 
 def learn_stems(docs: DataFrame, labels: DataFrame, shared, owner: str, fit_toxic: int = FIT_TOXIC, fit_clean: int = FIT_CLEAN) -> ToxicModel:
-    """Held-out rows, null labels and repeated texts do not take part. The driver gets CANDIDATES stems and
-    STEMS counts for each document of the sample, whatever the input."""
+    """Held-out rows, null labels and repeated texts do not take part. The driver gets the significant stems of the
+    sample, and their counts for each of its documents: as many as the sample gives, whatever the input."""
     known = labels.select("doc_id", "toxic").na.drop().filter(~held_out("doc_id")).dropDuplicates(["doc_id"])
     of = known.agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") != 1).alias("c")).first()
     sample = bounded_sample(known.filter("toxic = 1"), "doc_id", fit_toxic).union(bounded_sample(known.filter("toxic <> 1"), "doc_id", fit_clean))
     own = docs.join(F.broadcast(sample), "doc_id").dropDuplicates(["text"]).select("doc_id", (F.col("toxic") == 1).alias("toxic"), "text")
     read = Scratch.write(own.mapInArrow(lambda it: restore_batches(it, shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic boolean, tokens long, stems map<string,long>"), owner, "restored")
-    tokens = read.agg(F.sum(F.when(F.col("toxic"), F.col("tokens"))).alias("t"), F.sum(F.when(~F.col("toxic"), F.col("tokens"))).alias("c")).first()
-    t, c = float(tokens["t"] or 0), float(tokens["c"] or 0)
+    read_of = read.agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c")).first()
+    t, c = float(read_of["t"]), float(read_of["c"])
     if not t or not c:
         return ToxicModel([], np.array([-3.0 if not t else 0.0]))
-    found = read.select("toxic", F.explode("stems").alias("f", "n")).groupBy("f").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("b"), F.count_if("toxic").alias("docs")).filter(F.col("docs") >= LEAST_DOCS)
+    # documents, not occurrences: one text may repeat a word at will
+    found = read.select("toxic", F.explode(F.map_keys("stems")).alias("f")).groupBy("f")
+    found = found.agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b")).filter(F.col("a") >= LEAST_DOCS)
     due = (F.col("a") + F.col("b")) * (t / (t + c))
-    gain = F.col("a") * F.log(F.col("a") / due) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (F.col("a") + F.col("b") - due))).otherwise(0.0)
-    ranked = found.filter(F.col("a") > due).orderBy(F.desc(F.round(gain, 6)), "f").limit(CANDIDATES)
+    beyond = F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (F.col("a") + F.col("b") - due))).otherwise(0.0)
+    gain = F.col("a") * F.log(F.col("a") / due) + beyond
+    ranked = found.filter(F.col("a") > due).select("f", F.round(gain, 6).alias("gain")).filter(F.col("gain") >= SIGNIFICANT)
     chosen: list[str] = []
-    for row in ranked.select("f").collect():
+    taken: set[str] = set()
+    begun: set[str] = set()  # all beginnings of the taken
+    for row in ranked.orderBy(F.desc("gain"), "f").collect():
         # of a beginning and its continuations only the best
-        if len(chosen) < STEMS and not any(row["f"].strip().startswith(x.strip()) or x.strip().startswith(row["f"].strip()) for x in chosen):
+        stem = row["f"].strip()
+        if stem not in begun and not any(stem[:n] in taken for n in range(1, len(stem))):
             chosen.append(row["f"])
+            taken.add(stem)
+            begun.update(stem[:n] for n in range(1, len(stem) + 1))
     counts = read.select("toxic", "tokens", F.array(*(F.coalesce(F.col("stems")[x], F.lit(0)) for x in chosen)).alias("counts") if chosen else F.array().cast("array<long>").alias("counts")).toPandas()
     x = inputs(np.stack(counts["counts"].to_numpy()).astype(float).reshape(len(counts), len(chosen)), counts["tokens"].to_numpy(float))
     y = counts["toxic"].to_numpy(float)
@@ -270,6 +279,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, owner: str = "toxicity",
     Null and empty texts have the score of documents without any stem. Without labels of both kinds
     all scores are equal. Repeated rows have equal scores.
     """
+    ensure_importable(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(train_characters(docs))
     learned = learn_stems(docs, labels, shared, owner, **bounds)
@@ -278,7 +288,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, owner: str = "toxicity",
 
 def op1_deobfuscated_toxicity(spark, sf_dir):
     """Every document, with labels from outside of the held-out third."""
-    from .common import table
-
     read = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "op1")
     return read.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
