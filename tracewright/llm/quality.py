@@ -1,28 +1,33 @@
 """Quality by hierarchical empirical Bayes: document evidence, then host and path, shrunk to the whole.
 
-A logistic regression on surface features gives each document's probability of good quality. Hosts
-(source) and paths (lang within source) have Beta posteriors whose prior strengths are estimated by
-moments from the grouped sums of these probabilities: a sparse path leans on its host, a sparse host
-on the whole. A document's own share is taken out of its groups before they speak for it.
+A logistic regression gives each document's probability of good quality, from surface features and
+from the log odds of its words, which are learned in hashed buckets on the other half of the sample.
+Hosts and paths have Beta posteriors whose prior strengths are estimated by moments from the grouped
+sums of these probabilities: a sparse path leans on its host, a sparse host on the whole. A document's
+own share is taken out of its groups before they speak for it.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import Scratch, having, lookup_join
-from .fitting import bounded_sample, fit_logistic, held_out
+from .common import Scratch, ensure_importable, having, lookup_join
+from .common import table as read_table
+from .fitting import bounded_sample, fit_logistic, held_out, sigmoid
+from .shingles import shingle_sets
 
 #: The model is fitted on at most so many labelled documents.
 FIT_ROWS, ACCEPT = 20_000, 0.5
-FEATURES = ("marks", "bars", "shouts", "capitals", "digits", "distinct_words", "distinct_lines", "repeats", "log_words", "word_length", "empty")
+#: Words fall into 2^BUCKET_BITS buckets, each with so many documents of either kind beforehand.
+BUCKET_BITS, BEFOREHAND = 14, 8.0
+FEATURES = ("marks", "bars", "shouts", "capitals", "digits", "distinct_words", "distinct_lines", "repeats", "log_words", "word_length", "empty", "words")
 _MARKS = re.compile(r"[#$%&*]")
 
 
@@ -39,10 +44,83 @@ _NO_CAPITALS = dict.fromkeys(range(65, 91))
 _DIGITS = re.compile(r"\d")
 
 
-def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def buckets(texts: list[str | None]) -> list[np.ndarray]:
+    """The buckets of each text's distinct words, A-Z in lower case."""
+    return [np.unique(x >> np.uint64(64 - BUCKET_BITS)).astype(np.int64) for x in shingle_sets([(t or "").encode() for t in texts], 1)]
+
+
+def bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many good and other texts each bucket occurs."""
+    counts = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+    for batch in batches:
+        for own, good in zip(buckets(batch.column("text").to_pylist()), batch.column("good").to_pylist(), strict=True):
+            counts[int(good), own] += 1
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(1 << BUCKET_BITS)), pa.array(counts[1]), pa.array(counts[0])], names=["bucket", "good", "other"])
+
+
+def word_odds(sample: DataFrame) -> np.ndarray:
+    """Log odds of each bucket from labelled texts (text, good). The driver gets 2^BUCKET_BITS rows, whatever the input."""
+    rows = sample.select("text", "good").mapInArrow(bucket_batches, "bucket long, good long, other long")
+    found = rows.groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("other").alias("other")).orderBy("bucket").collect()
+    counts = np.array([(r["good"], r["other"]) for r in found], float).reshape(-1, 2)
+    share = sample.agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("o")).first()
+    odds = np.zeros(1 << BUCKET_BITS)
+    if len(counts):
+        odds[:] = np.log((counts[:, 0] + BEFOREHAND) / (share["g"] + 2 * BEFOREHAND)) - np.log((counts[:, 1] + BEFOREHAND) / (share["o"] + 2 * BEFOREHAND))
+    return odds
+
+
+def inputs(texts: list[str | None], odds: np.ndarray) -> np.ndarray:
+    """One row of FEATURES a text."""
+    words = [[float(odds[own].mean()) if len(own) else 0.0] for own in buckets(texts)]
+    return np.array([[*features(t or ""), *w] for t, w in zip(texts, words, strict=True)], float).reshape(len(texts), len(FEATURES))
+
+
+def input_batches(batches: Iterator[pa.RecordBatch], odds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = inputs(batch.column("text").to_pylist(), odds)
+        yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(list(made), pa.list_(pa.float64()))], names=["good", "x"])
+
+
+@dataclass
+class Evidence:
+    """The probability that a text alone speaks for."""
+
+    odds: np.ndarray
+    weights: np.ndarray | None = None  # of FEATURES, then the intercept
+
+    def of(self, texts: list[str | None]) -> np.ndarray:
+        if self.weights is None:
+            return np.full(len(texts), 0.5)
+        return sigmoid(np.clip(inputs(texts, self.odds) @ self.weights[:-1] + self.weights[-1], -30, 30))
+
+
+def learn_evidence(docs: DataFrame, labels: DataFrame, owner: str, fit_rows: int = FIT_ROWS) -> Evidence:
+    """From at most fit_rows labelled ids outside of the held-out third. Of an id's labels the least counts, of
+    its rows the one of the least hash, so the same tables give the same model."""
+    known = labels.select("doc_id", "quality").na.drop().filter(~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    sample = F.broadcast(bounded_sample(known, "doc_id", fit_rows))
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("quality").alias("quality"))
+    rows = Scratch.write(rows.select("doc_id", "text", (F.col("quality") == 1).alias("good")), owner, "labelled")
+    for_words = F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id").cast("string")), F.lit(2)) == 0
+    odds = word_odds(rows.filter(for_words))
+    fit = rows.filter(~for_words).mapInArrow(lambda it: input_batches(it, odds), "good boolean, x array<double>").toPandas()
+    if fit["good"].nunique() < 2:
+        return Evidence(odds)
+    w, mean, scale = fit_logistic(np.stack(fit["x"].to_numpy()), fit["good"].to_numpy(float))
+    raw = w[:-1] / scale
+    return Evidence(odds, np.append(raw, w[-1] - float((raw * mean).sum())))
+
+
+def evidence_batches(batches: Iterator[pa.RecordBatch], learned: Evidence) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = pa.array([features(t or "") for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "host", "path")), made], names=["doc_id", "host", "path", "x"])
+        made = pa.array(learned.of(batch.column("text").to_pylist()), pa.float64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "h", "hp")), made], names=["doc_id", "key", "h", "hp", "evidence"])
+
+
+def page_site(url: Column) -> tuple[Column, Column]:
+    """Host and first part of the path of a URL, for quality_scores()."""
+    return F.lower(F.call_function("try_parse_url", url, F.lit("HOST"))), F.substring_index(F.call_function("try_parse_url", url, F.lit("PATH")), "/", 2)
 
 
 def logit(p: Column) -> Column:
@@ -60,29 +138,27 @@ def strength(groups: DataFrame, mean: float) -> float:
     return min(1e6, max(1.0, mean * (1 - mean) / between - 1)) if between > 1e-12 else 1e6
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, owner: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Per row of docs (doc_id, text, source, lang): doc_id, evidence, site, score, held_out, accepted.
-
-    evidence: the document alone; site: its path's and host's posterior without it; score: both
-    combined. Null texts are empty, which is a feature; null hosts and paths are groups of their own.
-    Labels of unknown documents and null labels are ignored; without labels all evidence is 0.5.
+def quality_scores(
+    docs: DataFrame,
+    labels: DataFrame,
+    owner: str = "quality",
+    fit_rows: int = FIT_ROWS,
+    site: tuple[Column, Column] | None = None,
+) -> DataFrame:
+    """Per row of docs: doc_id, key, evidence, site, score, held_out, accepted.
+
+    key: 128 bits that tell rows of different ids, texts or sites apart. evidence: the document alone;
+    site: its path's and host's posterior without it; score: both combined. ``site`` names host and
+    path (default: columns source and lang; see page_site() for URLs). Null texts are empty, which is
+    a feature; null hosts and paths are groups of their own. Labels of unknown documents and null
+    labels are ignored; without labels of both kinds all evidence is 0.5.
     """
-    slim = docs.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), "text")
-    kind = slim.drop("text").schema
-    table = Scratch.write(slim.mapInArrow(feature_batches, kind.add("x", T.ArrayType(T.DoubleType()))), owner, "features")
-    known = labels.select("doc_id", "quality").na.drop().filter(~held_out("doc_id"))
-    sample = bounded_sample(known, "doc_id", fit_rows)
-    fit = table.join(F.broadcast(sample), "doc_id").select("x", "quality").limit(4 * fit_rows).toPandas()
-    if fit["quality"].nunique() == 2:
-        w, mean, scale = fit_logistic(np.stack(fit["x"].to_numpy()), fit["quality"].to_numpy(float))
-        raw = w[:-1] / scale
-        line = F.lit(float(w[-1] - (raw * mean).sum()))
-        for k, weight in enumerate(raw.tolist()):
-            line = line + F.col("x")[k] * weight
-        evidence = 1 / (1 + F.exp(-F.least(F.greatest(line, F.lit(-30.0)), F.lit(30.0))))
-    else:
-        evidence = F.lit(0.5)
-    table = table.select("doc_id", F.struct("host").alias("h"), F.struct("host", "path").alias("hp"), evidence.alias("evidence"))
+    ensure_importable(docs.sparkSession)
+    host, path = site or (F.col("source"), F.col("lang"))
+    learned = learn_evidence(docs, labels, owner, fit_rows)
+    place = F.struct(host.alias("host"), path.alias("path"))
+    slim = docs.select("doc_id", row_key(host, path).alias("key"), F.struct(host.alias("host")).alias("h"), place.alias("hp"), "text")
+    table = Scratch.write(slim.mapInArrow(lambda it: evidence_batches(it, learned), slim.drop("text").schema.add("evidence", "double")), owner, "evidence")
     sums = (F.sum("evidence").alias("total"), F.count("*").alias("n"), F.sum(F.col("evidence") * (1 - F.col("evidence"))).alias("within"))
     paths = Scratch.write(table.groupBy("hp").agg(*sums), owner, "paths")
     hosts = paths.groupBy(F.struct("hp.host").alias("h")).agg(*(F.sum(c).alias(c) for c in ("total", "n", "within")))
@@ -98,17 +174,23 @@ def quality_scores(docs: DataFrame, labels: DataFrame, owner: str = "quality", f
     site = (by_path * host + F.col("p_total") - own) / (by_path + F.col("p_n") - 1)
     read = read.withColumn("site", F.least(F.greatest(site, F.lit(1e-6)), F.lit(1 - 1e-6)))
     score = 1 / (1 + F.exp(-(logit(own) + logit(F.col("site")) - float(np.log(mean / (1 - mean))))))
-    return read.select("doc_id", F.round("evidence", 9).alias("evidence"), F.round("site", 9).alias("site"), F.round(score, 9).alias("score"), held_out("doc_id").alias("held_out")).withColumn("accepted", F.col("score") >= ACCEPT)
+    return read.select("doc_id", "key", F.round("evidence", 9).alias("evidence"), F.round("site", 9).alias("site"), F.round(score, 9).alias("score"), held_out("doc_id").alias("held_out")).withColumn("accepted", F.col("score") >= ACCEPT)
+
+
+def row_key(host: Column, path: Column) -> Column:
+    parts = ("doc_id", "text", host, path)
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts[::-1]).alias("b"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, owner: str = "quality") -> DataFrame:
-    """docs without those that are rejected, same columns. Rows of a null doc_id stay."""
-    bad = Scratch.write(quality_scores(docs, labels, owner).filter(~F.col("accepted")).select("doc_id").distinct(), owner, "rejected")
-    return having(docs, bad, "doc_id", "left_anti")
+    """docs without those rows that are rejected, same columns. Decided by row: other rows of an id, and rows of
+    a null one, are judged on their own text and site."""
+    scored = quality_scores(docs, labels, owner)
+    bad = Scratch.write(scored.filter(~F.col("accepted")).select(F.col("key").alias("_key")).distinct(), owner, "rejected")
+    kept = having(docs.select(row_key(F.col("source"), F.col("lang")).alias("_key"), "*"), bad, "_key", "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_empirical_bayes(spark, sf_dir):
     """Every document's quality, from labels outside of the held-out third."""
-    from .common import table
-
-    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "op10")
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "op10").drop("key")
