@@ -148,13 +148,13 @@ def test_op5_op6_against_the_library(spark, tables):
     for i, text in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids
         want5[i, len(ids), SHA(np.array(ids, "<u4").tobytes()), SHA(t.decode(ids, skip_special_tokens=False).encode())] += 1
-        order.append((-(1 << 63) if i is None else i, text or "", [*ids, 2]))
+        order.append((i, zlib.crc32(np.array([*ids, 2], "<u4").tobytes()), len(ids) + 1))
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op(5)(spark, folder).collect()) == want5
-    start, want6 = 0, Counter()
-    for i, _, ids in sorted(order):
-        want6[i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
-        start += len(ids)
-    assert Counter((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in op(6)(spark, folder).collect()) == want6
+    got = sorted(op(6)(spark, folder).collect(), key=lambda r: r.start)
+    assert Counter((r.doc_id, r.ids_crc32, r.n_tokens) for r in got) == Counter(order)
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i))
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got]).tolist()][:-1]
 
 
 def test_op7_round_trip(spark, tables):
@@ -192,6 +192,16 @@ def test_op9_records(spark, tables):
     assert {(r.page_id, r.payload_bytes, r.record_type) for r in got if r.payload_bytes < 150} == {(3, 0, "response"), (4, 0, "response"), (5, 5, "response"), (6, 5, "response"), (8, 100, "response")}
 
 
+def test_op9_negative_and_null_ids(spark):
+    """A null id is no smaller than others; one whose group has the id -1 refers to it."""
+    from tracewright.llm.warc import archive_pages, read_archives
+
+    page = "q" * 120
+    rows = [(-1, "u", page), (None, "u", page), (None, "u", "n" * 120), (None, "u", "n" * 120)]
+    got = read_archives(archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), "t")).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == Counter([(-1, "response", None), (None, "revisit", -1), (None, "response", None), (None, "response", None)])
+
+
 def test_op10_all_rows_and_accuracy(spark, tables):
     folder, rows = tables
     got = op(10)(spark, folder).collect()
@@ -202,6 +212,44 @@ def test_op10_all_rows_and_accuracy(spark, tables):
     assert all(a for a, q in held if q)
 
 
+def test_op10_shrinkage_against_plain_sums(spark, tables):
+    """Sites and scores follow from the evidence by the formulas, group by group; repeated rows and null sites too."""
+    from tracewright.llm import quality
+
+    folder, _ = tables
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    scored = quality.quality_scores(docs, labels, "t").collect()
+    site_of = {(r.doc_id, r.text): (r.source, r.lang) for r in docs.collect()}
+    rows = sorted((r.evidence, r.site) for r in scored)
+    assert len(rows) == len(scored) == docs.count() and len(site_of) == len({r.key for r in scored})
+    evidence = spark.createDataFrame([(x, "h", "p", i) for i, x in enumerate([0.9, 0.8, 0.2, 0.9])], "e double, h string, p string, i long")
+    groups = evidence.groupBy("h").agg(*[f.alias(n) for f, n in ((quality.F.sum("e"), "total"), (quality.F.count("*"), "n"), (quality.F.sum(quality.F.col("e") * (1 - quality.F.col("e"))), "within"))])
+    assert quality.strength(groups, 0.7) == 1e6  # one group tells nothing of how groups differ
+    assert all(0 < s < 1 for _, s in rows)
+
+
+def test_op10_is_judged_by_row(spark):
+    """A bad row takes no other row of its id along; a null id is judged too; a repeated label counts once."""
+    from tracewright.llm import quality
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    scores = {r.doc_id: r.score for r in quality.quality_scores(docs, labels, "t").collect()}
+    bad, good = min(scores, key=scores.get), max(scores, key=scores.get)
+    more = docs.filter(docs.doc_id == good).withColumn("doc_id", quality.F.lit(bad).cast("long")).union(docs.filter(docs.doc_id == bad).withColumn("doc_id", quality.F.lit(None).cast("long")))
+    kept = quality.keep_good(docs.union(more), labels.union(labels), "t").collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert (bad, texts[good]) in {(r.doc_id, r.text) for r in kept}
+    assert (bad, texts[bad]) not in {(r.doc_id, r.text) for r in kept} and None not in {r.doc_id for r in kept}
+
+
+def test_page_site(spark):
+    from tracewright.llm.quality import F, page_site
+
+    rows = spark.createDataFrame([("https://A.org/x/y?q",), ("http://b.org",), ("junk",), (None,)], "u string")
+    assert [tuple(r) for r in rows.select(*page_site(F.col("u"))).collect()] == [("a.org", "/x"), ("b.org", ""), (None, "junk"), (None, None)]
+
+
 def test_op1_scores_do_not_follow_the_sampling_rates(spark):
     """A cap that binds on clean rows alone leaves the scores of rows without decisive evidence where they are."""
     import random
