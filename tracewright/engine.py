@@ -78,7 +78,7 @@ class Engine:
             facts = self._write(project, "facts", extract_facts(code))
             made = {"facts": facts}
             made["nodes"] = self._write(project, "nodes", node_rows(facts), "node_id")
-            made["edges"] = self._write(project, "edges", edge_rows(facts, relationships(facts, timeline)), "source_id")
+            made["edges"] = self._write(project, "edges", edge_rows(relationships(facts, timeline)), "source_id")
             made["symbols"] = self._write(project, "symbols", symbol_rows(extract_locals(code)))
             made["collections"] = self._write(project, "collections", extract_collections(source))
             told = manifest(made, f"{project.workspace}/manifest.json", version=VERSION, commit=commit_of(project.source_dir), seconds=round(time.time() - began, 3))

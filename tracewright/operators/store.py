@@ -33,12 +33,13 @@ def connect(edges: DataFrame) -> DataFrame:
     return insert_ignore(edges.filter(ok).withColumn("edge_kind", F.upper("edge_kind")))
 
 
-def intern(values: DataFrame, value: str, order: str, empty_zero: bool = True, ranges: int = 64) -> DataFrame:
+def intern(values: DataFrame, value: str, order: str, empty_zero: bool = True, ranges: int | None = None) -> DataFrame:
     """Dense ids from 1 in order of first appearance; '' is 0.
 
-    Ids are counted within ranges of first appearance, then offset by the ranges before: the only
-    single-task step is over one row a range.
+    Ids are counted within ranges of first appearance (twice the session's shuffle partitions, unless
+    given), then offset by the ranges before: the only single-task step is over one row a range.
     """
+    ranges = ranges or min(10_000, 2 * int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     first = values.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.min(order).alias("first"))
     named = first.filter(F.col("value") != "") if empty_zero else first
     bounds = named.select(F.percentile_approx("first", [i / ranges for i in range(1, ranges)], 10_000).alias("b"))
@@ -65,14 +66,9 @@ def node_rows(facts: DataFrame) -> DataFrame:
     return last_wins(rows, ["node_id"], ["extractor", "ordinal", "symbol_id"]).drop("extractor", "ordinal")
 
 
-def edge_rows(facts: DataFrame, relationships: DataFrame) -> DataFrame:
-    """Relationships between node ids. Local targets are hashed from their URI; other unknown ends drop the edge."""
-    kind = F.coalesce("category", F.lit("unknown"))
-    known = facts.select("symbol_id", F.col("semantic_id").alias("uri"), node_id(F.col("domain"), F.col("file"), F.lit("global"), F.col("semantic_id"), kind).alias("id")).distinct()
-    ends = relationships.join(known.select("symbol_id", F.col("uri").alias("source_semantic_id"), F.col("id").alias("source_id")), ["symbol_id", "source_semantic_id"])
-    ends = ends.join(known.select("symbol_id", F.col("uri").alias("target_semantic_id"), F.col("id").alias("t")), ["symbol_id", "target_semantic_id"], "left")
-    local = F.when(F.col("target_semantic_id").startswith("sym:"), node_id(F.lit("symbol"), F.col("file"), F.col("symbol_id"), F.col("target_semantic_id"), F.lit("local")))
-    return insert_ignore(ends.select("source_id", F.coalesce("t", local).alias("target_id"), F.col("type").alias("edge_kind")).filter("target_id is not null"))
+def edge_rows(relationships: DataFrame) -> DataFrame:
+    """Relationships as edges between node ids, which they carry; each once. Edges without a target go."""
+    return insert_ignore(relationships.select("source_id", "target_id", F.col("type").alias("edge_kind")).filter("target_id is not null"))
 
 
 def symbol_rows(locals_: DataFrame) -> DataFrame:
@@ -82,9 +78,10 @@ def symbol_rows(locals_: DataFrame) -> DataFrame:
 
 
 def assignment_payload(facts: DataFrame) -> DataFrame:
-    """JSON of op, kind, lhs, for assignments that name an operator and a target."""
+    """JSON of op, kind, lhs, rhs, for assignments that name an operator and a target."""
     rows = facts.filter((F.col("domain") == "Assignment") & (F.length(F.trim("expr")) > 0) & (F.col("operator") != ""))
-    return rows.select("symbol_id", "semantic_id", F.to_json(F.struct(F.col("operator").alias("op"), F.col("kind").alias("kind"), F.col("expr").alias("lhs"))).alias("payload"))
+    payload = F.struct(F.col("operator").alias("op"), F.col("kind").alias("kind"), F.col("expr").alias("lhs"), F.coalesce("rhs", F.lit("")).alias("rhs"))
+    return rows.select("symbol_id", "semantic_id", F.to_json(payload).alias("payload"))
 
 
 def write_table(df: DataFrame, path: str, sort_by: str | None = None) -> None:

@@ -96,9 +96,30 @@ PROFILE_KEYWORDS = (
 # --- end of fixed values ---------------------------------------------------------------------
 
 
-def call_exclusions() -> list[str]:
-    """Names that are no calls: control words, iterators, and the lock, interrupt and RCU primitives."""
-    return sorted({*CONTROL, *ITERATORS, *ACQUIRE, *RELEASE, *INTERRUPT, *(x for names in RCU.values() for x in names)})
+#: Between the groups of a match that are kept in one column.
+GROUPS = "\u0002"
+
+
+@dataclass(frozen=True)
+class Kit:
+    """A dialect: the names and patterns that the extractors go by. Another dialect is another Kit."""
+
+    name: str
+    acquire: dict[str, bool]
+    release: dict[str, bool]
+    interrupt: dict[str, str]
+    iterators: dict[str, tuple[int, int, str]]
+    rcu: dict[str, tuple[str, ...]]
+    control: tuple[str, ...] = CONTROL
+    call: str = CALL
+    mutation: str = MUTATION
+
+    def call_exclusions(self) -> list[str]:
+        """Names that are no calls: control words, iterators, and the lock, interrupt and RCU primitives."""
+        return sorted({*self.control, *self.iterators, *self.acquire, *self.release, *self.interrupt, *(x for names in self.rcu.values() for x in names)})
+
+
+LINUX = Kit("linux", ACQUIRE, RELEASE, INTERRUPT, ITERATORS, RCU)
 
 
 def any_of(names) -> str:

@@ -110,7 +110,7 @@ ORACLE_SQL: dict[str, str] = {
       ), y AS (SELECT *, {_NODE.format("domain || ':' || file || ':global:' || id || ':' || k")} AS u FROM x)
       SELECT {_SIGNED.format('u')} AS node_id, any_value(k) AS ontology_kind, any_value(t) AS fact_type, any_value(token) AS token, CAST(any_value(l) AS INTEGER) AS line_number, max(symbol_id) AS symbol_id FROM y GROUP BY u""",
     "store_symbols": f"""WITH {_ITEMS} SELECT symbol_id || ':' || d.name || ':' || d.ordinal AS symbol_key, d.name, d.type, symbol_id AS scope_id FROM o, (VALUES ('o', 'order', 0), ('cpu', 'int', 1), ('it', 'line_item', 2), ('total', 'int', 3)) AS d(name, type, ordinal)""",
-    "assign_payload": """SELECT '{"op":"=","kind":"Struct Field","lhs":"o->qty"}' AS payload, count(*) AS n FROM lineitem""",
+    "assign_payload": """SELECT '{"op":"=","kind":"Struct Field","lhs":"o->qty","rhs":"' || CAST(l_quantity AS BIGINT) || '"}' AS payload, count(*) AS n FROM lineitem GROUP BY 1""",
     "node_decode": """SELECT c.c_custkey AS id, coalesce(CASE WHEN c.c_custkey % 4 <> 0 AND c.c_custkey % 3 <> 0 THEN n.n_name END, 'unknown_file') AS file,
       CASE WHEN c.c_custkey % 4 = 0 THEN '0x' || lpad(to_hex(c.c_custkey), 16, '0') ELSE coalesce(k.c_name, 'unknown_symbol') END AS name
       FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN (SELECT * FROM customer WHERE c_custkey < 50) k ON k.c_custkey = c.c_custkey % 60""",

@@ -23,7 +23,7 @@ def stream_chunks(spark: SparkSession, folder: str, files_a_batch: int = 10) ->
 
 def compile_batch(chunks: DataFrame) -> dict[str, DataFrame]:
     facts = extract_facts(prepared(chunks))
-    return {"nodes": node_rows(facts), "edges": edge_rows(facts, relationships(facts))}
+    return {"nodes": node_rows(facts), "edges": edge_rows(relationships(facts))}
 
 
 def ingest(chunks: DataFrame, out: str, checkpoint: str, on_batch: Callable[[int, dict[str, str]], None] | None = None) -> StreamingQuery:
