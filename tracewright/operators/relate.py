@@ -65,12 +65,12 @@ def scopes(facts: DataFrame, timeline: str = "source", explosion: int | None = N
     order = ["line", "semantic_id", "ordinal"] if timeline == "source" else ["extractor", "ordinal"]
     rows = facts.select("symbol_id", "file", "line", "semantic_id", "ordinal", "extractor", role.alias("role"), fact_node().alias("node")).filter("role is not null")
     function = Window.partitionBy("symbol_id", "file")
-    along = function.orderBy(*order, "role", "semantic_id", "line").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = function.orderBy(*order, "role", "semantic_id", "line")  # one order for all that follows, so rows are sorted once
+    along = ordered.rowsBetween(Window.unboundedPreceding, 0)
     delta = F.when(F.col("role") == "o", 1).when(F.col("role") == "c", -1).otherwise(0)
-    rows = rows.withColumn("sum", F.sum(delta).over(along)).withColumn("place", F.count("*").over(along))
-    by_place = function.orderBy("place")
-    rows = rows.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(by_place.rowsBetween(Window.unboundedPreceding, 0))))
-    rows = rows.withColumn("before", F.lag("depth", 1, 0).over(by_place))
+    rows = rows.withColumn("sum", F.sum(delta).over(along)).withColumn("place", F.row_number().over(ordered))
+    rows = rows.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(along)))
+    rows = rows.withColumn("before", F.lag("depth", 1, 0).over(ordered))
     if explosion is not None:
         own = F.when(F.col("role") == "n", F.col("depth")).when((F.col("role") == "c") & (F.col("before") > 0), 1).otherwise(0)
         rows = rows.withColumn("edges", F.sum(own).over(function)).filter(F.col("edges") <= explosion)

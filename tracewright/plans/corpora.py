@@ -25,7 +25,9 @@ def functions(spark: SparkSession, sf_dir: str, style: str = "locks") -> DataFra
     macro per item. comments: as locks, with block and line comments between.
     """
     item = F.struct(*ITEM_KEY)
-    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    # dealt by number: what is done with a function costs far more than its bytes, by which partitions would be merged
+    items = table(spark, sf_dir, "lineitem").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    orders = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
     key = F.col("l_orderkey").cast("string")
     call = lambda x: F.concat(F.lit("fn_"), (x["l_partkey"] % 50).cast("string"), F.lit("(o);"))
     store = lambda x: F.concat(F.lit("   o->qty = "), x["l_quantity"].cast("bigint").cast("string"), F.lit(";"))
