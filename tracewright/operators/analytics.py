@@ -48,16 +48,27 @@ def length_sums(values: DataFrame, column: str, key: str) -> DataFrame:
     return values.agg(F.count("*").alias("n"), F.countDistinct(key).alias("distinct_keys"), F.sum(F.length(column)).alias("characters"))
 
 
-def top_groups(rows: DataFrame, key: str, k: int = 3) -> DataFrame:
-    return rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(k)
+def top_groups(rows: DataFrame, key: str, k: int = 3, order: str | None = None) -> DataFrame:
+    """The commonest; of equals those first seen by ``order``, without it those of the smaller key."""
+    seen = F.min(order if order else key).alias("first")
+    return rows.groupBy(key).agg(F.count("*").alias("n"), seen).orderBy(F.desc("n"), "first", key).limit(k).drop("first")
 
 
-def token_counts(rows: DataFrame, column: str, k: int = 5) -> DataFrame:
-    """Commonest path-like and other parts of ids."""
-    parts = rows.select(F.explode(F.split(column, ":", -1)).alias("token")).filter(F.col("token") != "")
-    kind = F.when(F.col("token").contains("/"), "path").otherwise("domain")
-    counted = parts.groupBy(kind.alias("kind"), "token").agg(F.count("*").alias("n"))
-    return counted.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "token"))).filter(F.col("rank") <= k)
+def token_counts(rows: DataFrame, column: str, order: str, k: int = 5) -> DataFrame:
+    """The k commonest domains (first parts of ids with a colon) and path-like parts (with a slash, .c or .h); of equals those first seen."""
+    parts = F.split(column, ":", -1)
+    paths = F.filter(parts, lambda x: x.contains("/") | x.contains(".c") | x.contains(".h"))
+    token = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("token"))
+    found = rows.filter(F.col(column).contains(":")).select(order, F.explode(F.concat(F.array(token("domain", parts[0])), F.transform(paths, lambda x: token("path", x)))).alias("t"))
+    counted = found.groupBy("t.kind", "t.token").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    best = [counted.filter(F.col("kind") == kind).orderBy(F.desc("n"), "first", "token").limit(k) for kind in ("domain", "path")]
+    return best[0].union(best[1]).drop("first")
+
+
+def bytes_per_record(rows: DataFrame, *columns: str) -> DataFrame:
+    """Records, and their mean length over the columns."""
+    length = sum((F.coalesce(F.length(c), F.lit(0)) for c in columns), F.lit(0))
+    return rows.agg(F.count("*").alias("records"), F.round(F.sum(length) / F.greatest(F.count("*"), F.lit(1)), 1).alias("bytes_per_record"))
 
 
 def distinct_functions(ids: DataFrame, column: str) -> DataFrame:
@@ -103,9 +114,45 @@ def truncated_branches(edges: DataFrame, limit: int = 5) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("n")).agg(F.sum(F.greatest(F.lit(0), F.col("n") - limit)).alias("truncated"))
 
 
-def macro_frequency(aliases: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
-    counts = [F.count_if(F.col("file_path").startswith(p)).alias(f"in_{p.strip('/').replace('/', '_')}") for p in prefixes]
-    return aliases.groupBy("alias", "target").agg(F.count("*").alias("n"), *counts)
+#: The parts of the tree that macro aliases are counted by; a path counts for the first that it begins with.
+MACRO_PREFIXES = ("kernel/", "drivers/", "tools/", "include/", "arch/", "fs/")
+
+
+def macro_pairs(aliases: DataFrame) -> DataFrame:
+    """(pair, n, first, and a count for each prefix) of aliases (seq, alias, target, file_path)."""
+    under = F.when(F.lit(False), F.lit(""))
+    for p in MACRO_PREFIXES:
+        under = under.when(F.col("file_path").startswith(p), p)
+    counts = [F.count_if(under == p).alias(f"in_{p.strip('/')}") for p in MACRO_PREFIXES]
+    pair = F.concat("alias", F.lit(" -> "), "target")
+    return aliases.groupBy(pair.alias("pair")).agg(F.count("*").alias("n"), F.min("seq").alias("first"), *counts)
+
+
+def macro_totals(aliases: DataFrame, symbols: DataFrame, callable_names: DataFrame) -> DataFrame:
+    """Aliases, their distinct names, and how many distinct targets are symbols, and of these have code (column symbol)."""
+    targets = aliases.select("target").distinct().join(symbols.select(F.col("symbol_name").alias("target")).distinct(), "target", "left_semi")
+    coded = targets.join(callable_names.select(F.col("symbol").alias("target")).distinct(), "target", "left_semi")
+    sums = aliases.agg(F.count("*").alias("aliases"), F.countDistinct("alias").alias("names"))
+    return sums.crossJoin(targets.agg(F.count("*").alias("known_targets"))).crossJoin(coded.agg(F.count("*").alias("callable_targets")))
+
+
+def macro_report(pairs: DataFrame, totals: DataFrame, top: int = 50, top_each: int = 100) -> DataFrame:
+    """(section, place, line): totals, the commonest pairs of all and of each part of the tree, then all pairs."""
+
+    def section(number: int, rows: DataFrame, count: str, most: int | None, note: str) -> DataFrame:
+        rank = F.row_number().over(Window.orderBy(F.desc(count), "first", "pair"))
+        kept = rows.filter(F.col(count) > 0).orderBy(F.desc(count), "first", "pair")
+        kept = kept.limit(most).withColumn("place", rank) if most else kept.withColumn("place", F.lit(None).cast("int"))
+        line = F.concat(F.lit("  "), "pair", F.lit(f" ({note}"), F.col(count).cast("string"), F.lit(" times)"))
+        return kept.select(F.lit(number).alias("section"), "place", F.col(count).alias("n"), "first", line.alias("line"))
+
+    said = (("aliases", "Total raw aliases extracted"), ("names", "Unique alias names"), ("known_targets", "Targets resolving to known symbols"), ("callable_targets", "Targets resolving to callable symbols"))
+    heads = F.array(*(F.concat(F.lit(f"{text}: "), F.col(c).cast("string")) for c, text in said))
+    out = totals.select(F.lit(0).alias("section"), F.posexplode(heads).alias("place", "line")).select("section", "place", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("first"), "line")
+    out = out.unionByName(section(1, pairs, "n", top, "defined "))
+    for k, p in enumerate(MACRO_PREFIXES):
+        out = out.unionByName(section(2 + k, pairs, f"in_{p.strip('/')}", top_each, ""))
+    return out.unionByName(section(2 + len(MACRO_PREFIXES), pairs, "n", None, "")).orderBy("section", "place", F.desc("n"), "first", "line")
 
 
 def cursor_usage(facts: DataFrame) -> DataFrame:

@@ -154,11 +154,17 @@ def _iterations(dialect: Kit) -> dict[str, Column]:
     }
 
 
-ITERATIONS = Rule(1, lambda k: matches(F.col("clean_code"), kit.any_of(k.iterators), 2), _iterations)
+def _named(names: Sequence[str]) -> Column:
+    """Uses of the names; a chunk without any of them, as most are, is not searched by pattern."""
+    there = reduce(Column.__or__, (F.col("clean_code").contains(n) for n in sorted(names)))
+    return F.when(there, matches(F.col("clean_code"), kit.any_of(names), 2)).otherwise(F.array().cast("array<struct<line:int,g1:string,g2:string>>"))
+
+
+ITERATIONS = Rule(1, lambda k: _named(list(k.iterators)), _iterations)
 CALLS = Rule(2, _calls_found, _calls, lambda k: ~F.col("g1").isin(k.call_exclusions()))
-SYNC = Rule(3, lambda k: matches(F.col("clean_code"), kit.any_of([*k.acquire, *k.release, *k.interrupt]), 2), _sync)
+SYNC = Rule(3, lambda k: _named([*k.acquire, *k.release, *k.interrupt]), _sync)
 ASSIGNMENTS = Rule(4, _mutations_found, _assignments)
-RCU = Rule(5, lambda k: matches(F.col("clean_code"), kit.any_of({x for names in k.rcu.values() for x in names}), 2), _rcu)
+RCU = Rule(5, lambda k: _named(sorted({x for names in k.rcu.values() for x in names})), _rcu)
 RULES = (ITERATIONS, CALLS, SYNC, ASSIGNMENTS, RCU)
 
 

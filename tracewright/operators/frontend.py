@@ -63,30 +63,67 @@ def _next_at(asked: DataFrame, marks: DataFrame, keys: list[str], at: str, name:
     return both.withColumn(name, F.min(F.when(F.col("mark") == 1, F.col("pos"))).over(back)).filter("mark = 0").drop("mark", "pos")
 
 
-def bodies(symbols: DataFrame, sources: DataFrame, variable_suffix: str = "_sched_class") -> DataFrame:
-    """Code chunks: the brace block from each symbol's line; variables only with the suffix; sources are (file, text).
-
-    The brace depth after each line is summed once a file; a block ends on the first closing line, from
-    its first opening on, where the depth is back. One that never is runs to the end of its file, and
-    ends, as recorded, on its first line.
-    """
+def _depths(sources: DataFrame) -> DataFrame:
+    """(file, i, depth, opens, closes, ends) of each line: the brace depth after it, summed once a file, and whether it has {, } or ;."""
     lines = sources.select("file", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).withColumn("i", F.col("i") + 1)
     depth = F.sum(count_of(F.col("line"), "{") - count_of(F.col("line"), "}")).over(Window.partitionBy("file").orderBy("i"))
-    laid = lines.select("file", "i", depth.alias("depth"), F.col("line").contains("{").alias("opens"), F.col("line").contains("}").alias("closes"))
-    wanted = symbols.filter((F.col("symbol_type") == "function") | F.col("symbol").endswith(variable_suffix)).select("file", "symbol", "symbol_type", F.col("line").alias("start"))
+    return lines.select("file", "i", depth.alias("depth"), *(F.col("line").contains(c).alias(n) for c, n in (("{", "opens"), ("}", "closes"), (";", "ends"))))
+
+
+def _cut(asked: DataFrame, sources: DataFrame) -> DataFrame:
+    """Lines start to stop (null: to the file's end) of each symbol. A file's lines stand in one row, beside all that is asked of it."""
+    wanted = F.collect_list(F.struct("symbol", "symbol_type", "start", "stop"))
+    whole = asked.groupBy("file").agg(wanted.alias("asked")).join(sources.select("file", F.split("text", "\n", -1).alias("lines")), "file")
+    last = lambda s: F.coalesce(s["stop"], F.size("lines"))
+    cut = lambda s: F.array_join(F.slice("lines", s["start"], F.greatest(last(s) - s["start"] + 1, F.lit(0))), "\n")
+    return whole.select("file", F.explode(F.transform("asked", lambda s: F.struct(s.alias("s"), cut(s).alias("code")))).alias("r")).select("file", "r.s.*", "r.code")
+
+
+def function_blocks(symbols: DataFrame, sources: DataFrame) -> DataFrame:
+    """The brace block from each function's line. It ends on the first closing line, from its first opening on,
+    where the depth is back. One that never is runs to the end of its file, and has no stop."""
+    laid = _depths(sources)
     before = laid.select("file", (F.col("i") + 1).alias("start"), F.col("depth").alias("base"))
-    asked = wanted.join(before, ["file", "start"], "left").withColumn("base", F.coalesce("base", F.lit(0)))
+    asked = symbols.join(before, ["file", "start"], "left").withColumn("base", F.coalesce("base", F.lit(0)))
     asked = _next_at(asked, laid.filter("opens"), ["file"], "start", "opened")
     levels = asked.select("file", "base").distinct()
     closing = laid.filter("closes").join(levels, "file").filter("depth <= base").select("file", "base", "i")
     asked = _next_at(asked, closing, ["file", "base"], "opened", "end")
-    # a file's lines stand in one row, beside all that is asked of it
-    whole = asked.groupBy("file").agg(F.collect_list(F.struct("symbol", "symbol_type", "start", F.when(F.col("opened").isNotNull(), F.col("end")).alias("end"))).alias("asked")).join(sources.select("file", F.split("text", "\n", -1).alias("lines")), "file")
-    n = F.size("lines")
-    cut = lambda s: F.array_join(F.slice("lines", s["start"], F.greatest(F.coalesce(s["end"], n) - s["start"] + 1, F.lit(0))), "\n")
-    rows = whole.select("file", F.explode(F.transform("asked", lambda s: F.struct(s.alias("s"), cut(s).alias("code")))).alias("r")).select("file", "r.s.*", "r.code")
-    ident = F.concat(F.when(F.col("symbol_type") == "function", "func:").otherwise("var:"), "file", F.lit(":"), "symbol")
-    return rows.select(F.lit(2).alias("schema_version"), "symbol", "symbol_type", ident.alias("symbol_id"), "file", F.col("start").alias("start_line"), F.coalesce("end", "start").cast("int").alias("end_line"), "code").filter(F.trim("code") != "")
+    return asked.withColumn("stop", F.when(F.col("opened").isNotNull(), F.col("end"))).drop("opened", "end", "base")
+
+
+def initializer_blocks(symbols: DataFrame, sources: DataFrame) -> DataFrame:
+    """Initialised structs: from the file's first line that has the name between ``struct`` and ``=``, to where its braces balance.
+
+    One that is balanced on its first line ends there if that has a semicolon, else on the first later
+    line with balanced braces. A declaration without ``=`` is none, so such a symbol has no row.
+    """
+    head = F.regexp_extract("line", r"struct\s+(.*)=", 1)
+    lines = sources.select("file", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("file", (F.col("i") + 1).alias("i"), F.explode(F.array_distinct(F.regexp_extract_all(head, F.lit(r"(\w+)"), F.lit(1)))).alias("symbol"))
+    first = lines.groupBy("file", "symbol").agg(F.min("i").alias("start"))
+    laid = _depths(sources)
+    at = laid.select("file", F.col("i").alias("start"), F.col("depth").alias("own"), F.col("ends").alias("ends_here"))
+    before = laid.select("file", (F.col("i") + 1).alias("start"), F.col("depth").alias("base"))
+    asked = symbols.drop("start").distinct().join(first, ["file", "symbol"]).join(at, ["file", "start"]).join(before, ["file", "start"], "left")
+    asked = asked.withColumn("base", F.coalesce("base", F.lit(0))).withColumn("after", F.col("start") + 1)
+    level = laid.select("file", F.col("depth").alias("base"), "i").join(asked.select("file", "base").distinct(), ["file", "base"], "left_semi")
+    asked = _next_at(asked, level, ["file", "base"], "after", "end")
+    here = (F.col("own") == F.col("base")) & F.col("ends_here")
+    return asked.withColumn("stop", F.when(here, F.col("start")).otherwise(F.col("end"))).drop("own", "ends_here", "base", "after", "end")
+
+
+def bodies(symbols: DataFrame, sources: DataFrame, variable_suffix: str = "_sched_class") -> DataFrame:
+    """Code chunks of symbols (file, symbol, symbol_type, line) out of sources (file, text): functions by their
+    line, variables, of the suffix only, by their initializer. What never ends is recorded as ending on its first line (a
+    function) or on none (a variable)."""
+    wanted = symbols.select("file", "symbol", "symbol_type", F.col("line").alias("start"))
+    functions = _cut(function_blocks(wanted.filter(F.col("symbol_type") == "function"), sources), sources)
+    variables = _cut(initializer_blocks(wanted.filter((F.col("symbol_type") != "function") & F.col("symbol").endswith(variable_suffix)), sources), sources)
+    rows = functions.unionByName(variables)
+    function = F.col("symbol_type") == "function"
+    ident = F.concat(F.when(function, "func:").otherwise("var:"), "file", F.lit(":"), "symbol")
+    end = F.coalesce("stop", F.when(function, F.col("start")).otherwise(0)).cast("int")
+    return rows.select(F.lit(2).alias("schema_version"), "symbol", "symbol_type", ident.alias("symbol_id"), "file", F.col("start").alias("start_line"), end.alias("end_line"), "code").filter(F.trim("code") != "")
 
 
 def macro_aliases(sources: DataFrame) -> DataFrame:
@@ -95,20 +132,53 @@ def macro_aliases(sources: DataFrame) -> DataFrame:
     return sources.select(F.col("file").alias("file_path"), F.posexplode(pairs).alias("place", "m")).select(F.col("m.a").alias("alias"), F.col("m.t").alias("target"), "file_path", "place")
 
 
+def brace_block(text: Column) -> Column:
+    """text up to the brace that closes its first open one; nothing if none does. Read a closing brace at a time."""
+    pieces = F.split(text, "\\}", -1)
+    zero = F.struct(F.lit(0).alias("depth"), F.lit("").alias("block"), F.lit(False).alias("done"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        depth = acc["depth"] + count_of(piece, "{") - 1
+        return F.when(acc["done"], acc).otherwise(F.struct(depth.alias("depth"), F.concat(acc["block"], piece, F.lit("}")).alias("block"), (depth == 0).alias("done")))
+
+    # what follows the last closing brace closes nothing
+    closed = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), zero, step)
+    return F.when(closed["done"], closed["block"]).otherwise("")
+
+
+_HEAD, _NAMED = "\u0003", "\u0004"
+
+
 def provider_tables(sources: DataFrame, profile) -> DataFrame:
-    """Initialised operation tables of a profile's files: kind, provider, file, op, func."""
-    rows = sources.filter(F.col("file").isin(*profile.provider_files)).select("file", strip_comments(F.col("text")).alias("text"))
-    out = None
+    """Initialised operation tables of a profile's files: seq, kind, provider, file, op, func.
+
+    A table is a head, by macro or by struct type, and the brace block after it, nested braces
+    included. seq numbers slots by file, pattern and place.
+    """
+    place = F.array_position(F.array(*(F.lit(x) for x in profile.provider_files)), F.col("file"))
+    rows = sources.filter(F.col("file").isin(*profile.provider_files)).select("file", place.cast("long").alias("at"), strip_comments(F.col("text")).alias("text"))
+    heads = []
     for p in profile.providers:
-        heads = ([rf"{p.macro}\s*\(\s*(\w+)\s*\)\s*=\s*(\{{[^{{}}]*\}})"] if p.macro else []) + [rf"(?:static\s+)?(?:const\s+)?struct\s+{p.struct}\s+(\w+)\s*=\s*(\{{[^{{}}]*\}})"]
-        for head in heads:
-            found = F.arrays_zip(F.regexp_extract_all("text", F.lit(head), F.lit(1)).alias("provider"), F.regexp_extract_all("text", F.lit(head), F.lit(2)).alias("block"))
-            tables = rows.select("file", F.explode(found).alias("t"))
-            pair = r"\.(\w+)\s*=\s*(\w+)"
-            slots = F.arrays_zip(F.regexp_extract_all("t.block", F.lit(pair), F.lit(1)).alias("op"), F.regexp_extract_all("t.block", F.lit(pair), F.lit(2)).alias("func"))
-            part = tables.select(F.lit(p.kind).alias("kind"), F.col("t.provider").alias("provider"), "file", F.explode(slots).alias("s")).select("kind", "provider", "file", "s.op", "s.func").filter(F.col("op").isin(*profile.operations))
-            out = part if out is None else out.unionByName(part)
-    return out.distinct()
+        if p.macro:
+            heads.append((p, rf"{p.macro}\((\w+)\)\s*=\s*\{{", p.suffix))
+        if p.struct:
+            heads.append((p, rf"(?:static\s+)?(?:const\s+)?struct\s+{p.struct}\s+(\w+)\s*=\s*\{{", ""))
+    out = None
+    for n, (p, head, suffix) in enumerate(heads):
+        marked = F.split(F.regexp_replace("text", head, f"{_HEAD}$1{_NAMED}{{"), _HEAD, -1)
+        tables = rows.withColumn("parts", marked).select("file", "at", "parts", F.posexplode(F.slice("parts", 2, 1 << 30)).alias("nth", "own"))
+        # from this head's brace to the end of the file: a block may be longer than the way to the next head
+        rest = F.array_join(F.slice("parts", F.col("nth") + 2, 1 << 30), "")
+        block = brace_block(F.substring(rest, F.length(F.substring_index("own", _NAMED, 1)) + 2, F.length(rest)))
+        tables = tables.select("file", "at", "nth", F.concat(F.substring_index("own", _NAMED, 1), F.lit(suffix)).alias("provider"), block.alias("block"))
+        pair = r"\.(\w+)\s*=\s*(\w+)"
+        slots = F.arrays_zip(F.regexp_extract_all("block", F.lit(pair), F.lit(1)).alias("op"), F.regexp_extract_all("block", F.lit(pair), F.lit(2)).alias("func"))
+        seq = F.col("at") * (1 << 48) + F.lit(n) * (1 << 40) + F.col("nth") * (1 << 16) + F.col("slot")
+        part = tables.select("file", "at", "nth", "provider", F.posexplode(slots).alias("slot", "s")).select(seq.alias("seq"), F.lit(p.kind).alias("kind"), "provider", "file", "s.op", "s.func").filter(F.col("op").isin(*profile.operations))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return sources.sparkSession.createDataFrame([], "seq long, kind string, provider string, file string, op string, func string")
+    return out.groupBy("kind", "provider", "file", "op", "func").agg(F.min("seq").alias("seq")).select("seq", "kind", "provider", "file", "op", "func")
 
 
 def line_audit(sources: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import edge_id, symbol_id
-from ..functions.paths import locality_rank, parts, subsystem
+from ..functions.paths import parts, subsystem
 from ..plans import kit
 from ..plans.kit import Profile
 from .store import first_wins
@@ -37,24 +37,63 @@ def resolve_unique(calls: DataFrame, symbols: DataFrame, callee: str) -> DataFra
     return located.join(strict, (located["file_path"] == strict["file_path"]) & (F.col(callee) == F.col("_strict"))).drop("_strict", "file_path")
 
 
+def _levels(file: Column, *more: Column) -> Column:
+    """Keys by which paths are near each other: (level, key) for 0 to 4 leading directories, and any more levels."""
+    dirs = parts(file)
+    near = [F.when(F.size(dirs) >= k, F.struct(F.lit(k).alias("level"), F.array_join(F.slice(dirs, 1, k), "/").alias("key"))) for k in range(1, 5)]
+    whole = F.struct(F.lit(0).alias("level"), F.lit("").alias("key"))
+    return F.filter(F.array(whole, *near, *more), lambda x: x.isNotNull())
+
+
+def _at(level: int, key: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), key.alias("key"))
+
+
+def _near(refs: DataFrame, wanted: DataFrame, key: str, name: str, file: str, *more: tuple[int, Column]) -> DataFrame:
+    """Rows of a reference's key, its name, whether it has a file, and, for each level it shares with candidates, what ``wanted`` says of them.
+
+    Candidates are summed up by (name, level, key) beforehand, so a reference meets at most one row a
+    level, however many candidates its name has.
+    """
+    asked = refs.select(key, F.col(name).alias("_n"), (F.coalesce(file, F.lit("")) != "").alias("_filed"), F.explode(_levels(F.col(file), *(_at(n, c) for n, c in more))).alias("_l"))
+    asked = asked.select(key, "_n", "_filed", F.col("_l.level").alias("_level"), F.col("_l.key").alias("_key"))
+    return asked.join(wanted, ["_n", "_level", "_key"], "left")
+
+
 def resolve_best(refs: DataFrame, symbols: DataFrame, key: str, name: str, file: str) -> DataFrame:
-    """Per reference the one candidate, or the best by 100 * (same file) + 10 * locality; null if the best is not above 0 or tied."""
-    cand = symbols.select(F.col("symbol_name").alias("_n"), F.col("file_path").alias("_f"), F.col("symbol_id").alias("_id"), parts(F.col("file_path")).alias("_cp"))
-    score = F.when(F.col(file) == F.col("_f"), 100).otherwise(0) + 10 * locality_rank(F.col(file), F.col("_f"), F.col("_rp"), F.col("_cp"))
-    scored = refs.withColumn("_rp", parts(F.col(file))).join(cand, F.col(name) == F.col("_n"), "left").withColumn("_score", F.when(F.col("_id").isNotNull(), score))
-    # two scores a reference are enough: the best, and how often it occurs
-    counts = scored.groupBy(key, "_score").agg(F.count("_id").alias("_times"), F.min("_id").alias("_id"))
-    best = counts.groupBy(key).agg(F.sum("_times").alias("candidates"), F.max(F.struct("_score", "_times", "_id")).alias("b"))
-    fine = (F.col("candidates") == 1) | ((F.col("b._score") > 0) & (F.col("b._times") == 1))
-    return best.select(key, "candidates", F.col("b._score").alias("score"), F.when(fine, F.col("b._id")).alias("resolved_id"))
+    """Per reference the one candidate, or the best by 100 * (same file) + 10 * locality; null if the best is not above 0 or tied.
+
+    The best candidates are those of the deepest level that has any: one file, else the most common
+    leading directories (at most 4); without any in common those under tools/ come last.
+    """
+    tools = F.col("file_path").startswith("tools/")
+    cand = symbols.select(F.col("symbol_name").alias("_n"), F.col("symbol_id").alias("_id"), tools.alias("_tools"), F.explode(_levels(F.col("file_path"), _at(5, F.col("file_path")))).alias("_l"))
+    summed = cand.groupBy("_n", F.col("_l.level").alias("_level"), F.col("_l.key").alias("_key")).agg(
+        F.count("_id").alias("_all"), F.min("_id").alias("_first"), F.count(F.when(~F.col("_tools"), F.col("_id"))).alias("_out"), F.min(F.when(~F.col("_tools"), F.col("_id"))).alias("_first_out")
+    )
+    met = _near(refs, summed, key, name, file, (5, F.col(file)))
+    stranger = F.col("_filed") & (F.col("_level") == 0) & (F.col("_out") == 0)
+    outside = F.col("_filed") & (F.col("_level") == 0) & ~stranger
+    score = F.when(F.col("_level") == 5, F.when(F.col("_filed"), 150).otherwise(100)).when(~F.col("_filed"), 0).when(stranger, -50).otherwise(10 * F.col("_level"))
+    found = F.when(F.col("_all") > 0, F.struct(score.cast("int").alias("score"), F.when(outside, F.col("_out")).otherwise(F.col("_all")).alias("times"), F.when(outside, F.col("_first_out")).otherwise(F.col("_first")).alias("id"), F.col("_level").alias("level")))
+    best = met.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("_level") == 0, F.col("_all"))), F.lit(0)).alias("candidates"), F.max(found).alias("b"))
+    # where the reference has no file, all candidates are equal
+    fine = (F.col("candidates") == 1) | ((F.col("b.score") > 0) & (F.col("b.times") == 1))
+    return best.select(key, "candidates", F.col("b.score").alias("score"), F.when(fine, F.col("b.id")).alias("resolved_id"))
 
 
 def alias_best(calls: DataFrame, aliases: DataFrame, key: str, callee: str, file: str) -> DataFrame:
     """Per call the alias's target: the one, or the best by same file, locality and same directory; the first registered of equals; else the callee."""
-    a = aliases.select(F.col("seq").alias("_seq"), F.col("alias").alias("_alias"), F.col("target").alias("_target"), F.col("file_path").alias("_f"), parts(F.col("file_path")).alias("_cp"))
-    same_dir = F.col("_rp") == F.col("_cp")
-    score = F.when(F.col(file) == F.col("_f"), 100).otherwise(0) + 10 * locality_rank(F.col(file), F.col("_f"), F.col("_rp"), F.col("_cp")) + F.when(same_dir, 100).otherwise(0)
-    best = calls.withColumn("_rp", parts(F.col(file))).join(a, F.col(callee) == F.col("_alias"), "left").groupBy(key, callee).agg(F.max_by("_target", F.struct(score.alias("s"), (-F.col("_seq")).alias("q"))).alias("_t"))
+    own, there = F.array_join(parts(F.col("file_path")), "/"), F.array_join(parts(F.col(file)), "/")
+    cand = aliases.select("seq", "target", F.col("alias").alias("_n"), F.col("file_path").startswith("tools/").alias("_tools"), F.size(parts(F.col("file_path"))).alias("_deep"), F.explode(_levels(F.col("file_path"), _at(5, own), _at(6, F.col("file_path")))).alias("_l"))
+    first = lambda c: F.min(F.when(c, F.struct("seq", "target")))
+    summed = cand.groupBy("_n", F.col("_l.level").alias("_level"), F.col("_l.key").alias("_key")).agg(first(F.lit(True)).alias("_first"), first(~F.col("_tools")).alias("_out"), F.max("_deep").alias("_deep"))
+    met = _near(calls, summed, key, callee, file, (5, there), (6, F.col(file)))
+    low = F.col("_level")
+    filed = F.when(low == 6, 250).when(low == 5, 100 + 10 * F.least("_deep", F.lit(4))).when((low == 0) & F.col("_out").isNull(), -50).otherwise(10 * low)
+    score = F.when(F.col("_filed"), filed).otherwise(F.when(low == 6, 200).when(low == 5, 100).otherwise(0))
+    taken = F.when(F.col("_filed") & (low == 0) & F.col("_out").isNotNull(), F.col("_out")).otherwise(F.col("_first"))
+    best = met.withColumn("_t", taken).groupBy(key, F.col("_n").alias(callee)).agg(F.max_by("_t.target", F.when(F.col("_t").isNotNull(), F.struct(score.alias("s"), (-F.col("_t.seq")).alias("q")))).alias("_t"))
     return best.select(key, callee, F.coalesce("_t", callee).alias("target"))
 
 
@@ -77,7 +116,7 @@ def resolve_entry(entries: DataFrame, symbols: DataFrame, key: str, name: str, f
 def code_calls(chunks: DataFrame) -> DataFrame:
     """Names before a parenthesis in raw code, without stop-listed and non-execution names and self-calls; each once."""
     names = F.array_distinct(F.regexp_extract_all("code", F.lit(kit.PLAIN_CALL), F.lit(1)))
-    rows = chunks.select("symbol", "file", F.explode(names).alias("callee"))
+    rows = chunks.select(*(["seq"] if "seq" in chunks.columns else []), "symbol", "file", F.explode(names).alias("callee"))
     return rows.filter(~F.col("callee").isin(*kit.IGNORED_CALLS) & (F.col("callee") != F.col("symbol")) & ~F.col("callee").isin(*kit.NON_EXECUTION))
 
 
@@ -94,42 +133,70 @@ def confidence(caller: Column, callee: Column, profile: Profile) -> Column:
 def typed_edges(rows: DataFrame, edge_type: str, source: str, deterministic: bool = True) -> DataFrame:
     """(src, dst, confidence, seq) as edges; the first of an identity stays."""
     named = rows.withColumn("edge_type", F.lit(edge_type)).withColumn("edge_id", edge_id(F.col("src"), F.col("dst"), F.lit(edge_type)))
-    kept = first_wins(named.select("edge_id", "src", "dst", "edge_type", F.col("confidence").cast("double").alias("confidence"), "seq"), ["edge_id"], ["seq"])
-    file = F.substring_index("src", "::", 1)
-    return kept.select("edge_id", "src", "dst", "edge_type", "confidence", subsystem(file).alias("subsystem"), F.lit(source).alias("resolution_source"), F.lit(deterministic).alias("is_deterministic"), "seq")
+    of = F.col("subsystem") if "subsystem" in rows.columns else subsystem(F.substring_index("src", "::", 1))
+    kept = first_wins(named.select("edge_id", "src", "dst", "edge_type", F.col("confidence").cast("double").alias("confidence"), of.alias("subsystem"), "seq"), ["edge_id"], ["seq"])
+    return kept.select("edge_id", "src", "dst", "edge_type", "confidence", "subsystem", F.lit(source).alias("resolution_source"), F.lit(deterministic).alias("is_deterministic"), "seq")
 
 
-def call_edges(chunks: DataFrame, symbols: DataFrame, aliases: DataFrame, profile: Profile) -> DataFrame:
-    """Direct calls and calls through macro aliases."""
+def resolved_calls(chunks: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Calls of chunks (seq, symbol, file, code), with the name that each stands for after macro aliases, in the order of the chunks."""
     calls = code_calls(chunks).withColumn("call_id", F.concat_ws("|", "file", "symbol", "callee"))
+    calls = calls.groupBy("call_id", "symbol", "file", "callee").agg(F.min("seq").alias("seq"))
     through = alias_best(calls, aliases, "call_id", "callee", "file").select("call_id", "target")
-    calls = calls.join(through, "call_id").filter(~F.col("target").isin(*kit.NON_EXECUTION))
-    found = resolve_unique(calls, symbols, "target")
-    seq = F.xxhash64("call_id")
-    rows = found.select(symbol_id(F.col("file"), F.col("symbol")).alias("src"), F.col("target_id").alias("dst"), confidence(F.col("symbol"), F.col("target"), profile).alias("confidence"), seq.alias("seq"), (F.col("target") != F.col("callee")).alias("aliased"))
-    direct = typed_edges(rows.filter("not aliased"), "DIRECT_CALL", "call")
-    return direct.unionByName(typed_edges(rows.filter("aliased"), "MACRO_ALIAS", "macro"))
+    return calls.join(through, "call_id").filter(~F.col("target").isin(*kit.NON_EXECUTION))
+
+
+def unresolved_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(problem, callee, n, first): callees that no file has (missing) or several have (ambiguous), whatever their case."""
+    files = symbols.groupBy(F.lower("symbol_name").alias("_name")).agg((F.min("file_path") != F.max("file_path")).alias("_several"))
+    found = calls.join(files, F.lower("target") == F.col("_name"), "left")
+    problem = F.when(F.col("_name").isNull(), "missing").when(F.col("_several"), "ambiguous")
+    return found.select(problem.alias("problem"), F.col("target").alias("callee"), "seq").filter("problem is not null").groupBy("problem", "callee").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+
+
+def call_edges(chunks: DataFrame, symbols: DataFrame, aliases: DataFrame, profile: Profile) -> DataFrame:
+    """Direct calls and calls through macro aliases, of chunks whose own symbol is registered; numbered as the chunks are."""
+    found = resolve_unique(resolved_calls(chunks, aliases), symbols, "target")
+    rows = found.select(symbol_id(F.col("file"), F.col("symbol")).alias("src"), F.col("target_id").alias("dst"), confidence(F.col("symbol"), F.col("target"), profile).alias("confidence"), "seq", (F.col("target") != F.col("callee")).alias("aliased"))
+    rows = rows.join(symbols.select(F.col("symbol_id").alias("src")), "src", "left_semi")
+    direct = typed_edges(rows.filter("not aliased"), "DIRECT_CALL", "regex_call_parse")
+    return direct.unionByName(typed_edges(rows.filter("aliased"), "MACRO_ALIAS", "macro_expansion"))
+
+
+def interfaces(providers: DataFrame) -> DataFrame:
+    """The pseudo-symbols kind:op that dispatch goes through, as registered symbols; their subsystem is the kind."""
+    name, file = F.concat("kind", F.lit(":"), "op"), F.concat(F.lit("<"), "kind", F.lit("_interface>"))
+    rows = providers.groupBy("kind", "op").agg(F.min("seq").alias("seq"))
+    return rows.select(file.alias("file_path"), name.alias("symbol_name"), "seq", symbol_id(file, name).alias("symbol_id"), F.col("kind").alias("subsystem"))
 
 
 def dispatch_edges(providers: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Provider tables (kind, provider, file, op, func): from the pseudo-symbol kind:op to each implementation found."""
+    """Provider tables (seq, kind, provider, file, op, func): from the pseudo-symbol kind:op to each implementation found."""
     keyed = providers.withColumn("_k", F.concat_ws("|", "kind", "provider", "file", "op", "func"))
     found = resolve_best(keyed, symbols, "_k", "func", "file").filter("resolved_id is not null").select("_k", "resolved_id")
     interface = F.concat(F.lit("<"), F.col("kind"), F.lit("_interface>::"), F.col("kind"), F.lit(":"), F.col("op"))
-    rows = keyed.join(found, "_k").select(interface.alias("src"), F.col("resolved_id").alias("dst"), F.lit(1.0).alias("confidence"), F.xxhash64("_k").alias("seq"))
+    rows = keyed.join(found, "_k").select(interface.alias("src"), F.col("resolved_id").alias("dst"), F.lit(1.0).alias("confidence"), "seq", F.col("kind").alias("subsystem"))
     return typed_edges(rows, "FUNCTION_POINTER_DISPATCH", "provider")
 
 
 def bridge_edges(bridges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Synthetic continuations (a, b) whose two names are unique."""
+    """Synthetic continuations (a, b, seq) whose two names are unique; the interfaces' names count."""
     only = symbols.groupBy("symbol_name").agg(F.min("symbol_id").alias("id"), F.count("*").alias("k")).filter("k = 1").drop("k")
     a, b = only.select(F.col("symbol_name").alias("a"), F.col("id").alias("src")), only.select(F.col("symbol_name").alias("b"), F.col("id").alias("dst"))
-    rows = bridges.join(a, "a").join(b, "b").select("src", "dst", F.lit(100.0).alias("confidence"), F.xxhash64("a", "b").alias("seq"))
-    return typed_edges(rows, "SYNTHETIC_CONTINUATION", "bridge")
+    rows = bridges.join(a, "a").join(b, "b").select("src", "dst", F.lit(100.0).alias("confidence"), "seq")
+    return typed_edges(rows, "SYNTHETIC_CONTINUATION", "reconstructed_execution_continuity")
 
 
 def bridges_of(spark, profile: Profile) -> DataFrame:
-    return spark.createDataFrame(list(profile.bridges.items()), "a string, b string")
+    return spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(profile.bridges.items())], "a string, b string, seq long")
+
+
+def known_sources(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """edges, all of whose sources must be registered; the job fails at the first that is not."""
+    there = symbols.select(F.col("symbol_id").alias("src")).distinct().withColumn("_known", F.lit(True))
+    checked = edges.join(there, "src", "left")
+    fault = F.raise_error(F.concat(F.lit("unknown source symbol: "), F.col("src")))
+    return checked.withColumn("src", F.when(F.col("_known"), F.col("src")).otherwise(fault)).drop("_known")
 
 
 def ordered_out(edges: DataFrame, node: str = "src") -> DataFrame:
@@ -144,12 +211,30 @@ def adjacency(frontier: DataFrame, edges: DataFrame, forward: bool = True) -> Da
     return edges.join(frontier.select(F.col("id").alias(end)), end, "left_semi")
 
 
-def build_graph(chunks: DataFrame, symbols: DataFrame, aliases: DataFrame, providers: DataFrame | None, profile: Profile) -> DataFrame:
-    """All edges of a profile; of one identity the first registered: calls, dispatch, bridges."""
-    symbols = register_symbols(symbols)
-    parts = [call_edges(chunks, symbols, register_aliases(aliases, symbols), profile)]
+def candidates(symbols: DataFrame, name: str) -> DataFrame:
+    """All symbols of a name, by file."""
+    return symbols.filter(F.col("symbol_name") == name).orderBy("file_path")
+
+
+def symbols_in(symbols: DataFrame, file: str) -> DataFrame:
+    """All symbols of a file, by name."""
+    return symbols.filter(F.col("file_path") == file).orderBy("symbol_name")
+
+
+def build_graph(chunks: DataFrame, symbols: DataFrame, aliases: DataFrame, providers: DataFrame | None, profile: Profile) -> tuple[DataFrame, DataFrame]:
+    """Symbols and edges of a profile: calls, dispatch, bridges. Interfaces are registered before bridges, which may name them.
+
+    ``seq`` numbers edges as they are registered: first all calls by chunk, then dispatch, then bridges.
+    """
+    symbols = register_symbols(symbols).select("file_path", "symbol_name", "seq", "symbol_id", "subsystem")
+    made = [call_edges(chunks, symbols, register_aliases(aliases, symbols), profile)]
     if providers is not None:
-        parts.append(dispatch_edges(providers, symbols))
+        made.append(dispatch_edges(providers, symbols))
+        # only dispatch that is found registers its interface
+        used = made[1].select(F.col("src").alias("symbol_id")).distinct()
+        symbols = symbols.unionByName(interfaces(providers).join(used, "symbol_id", "left_semi"))
     if profile.bridges:
-        parts.append(bridge_edges(bridges_of(chunks.sparkSession, profile), symbols))
-    return reduce(DataFrame.unionByName, parts)
+        made.append(bridge_edges(bridges_of(chunks.sparkSession, profile), symbols))
+    staged = [e.withColumn("stage", F.lit(k)) for k, e in enumerate(made)]
+    edges = reduce(DataFrame.unionByName, staged).withColumn("seq", F.struct("stage", "seq")).drop("stage")
+    return symbols, known_sources(edges, symbols)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,50 @@ def top_k(vectors: DataFrame, key: str, column: str, query: list[float], k: int
     return vectors.select(key, F.round(cosine(F.col(column), wanted), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+#: So many query vectors go to the workers at a time.
+QUERY_BLOCK = 2_048
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, column: str, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, key, score, rank): for each of the queries, rows like those of vectors, the k nearest by cosine, exact.
+
+    Queries are taken in blocks of bounded size, each block one pass over the vectors; every batch of
+    rows gives its own k best to each query, so k rows a batch and query are exchanged, not pairs.
+    Ties go to the smaller key. Vectors of no length, and null ones, are near nothing.
+    """
+    kind = vectors.schema[key].dataType.simpleString()
+    numbered = queries.select(key, column).filter(F.col(column).isNotNull())
+    blocks = max(1, -(-numbered.count() // block))
+    out = None
+    for n in range(blocks):
+        own = numbered.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == n).toPandas()
+        ids = own[key].tolist()
+        wanted = np.array(own[column].tolist(), float).reshape(len(own), -1)
+        size = np.linalg.norm(wanted, axis=1, keepdims=True)
+        wanted = wanted / np.where(size > 0, size, 1)
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, wanted=wanted) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                rows = pa.Table.from_batches([rows]).filter(rows.column(1).is_valid()).combine_chunks()
+                if not len(rows) or not ids:
+                    continue
+                matrix = np.array(rows.column(1).to_pylist(), float)
+                length = np.linalg.norm(matrix, axis=1, keepdims=True)
+                keys = np.array(rows.column(0).to_pylist())
+                order = np.argsort(keys, kind="stable")
+                matrix, length, keys = matrix[order], length[order], keys[order]
+                scores = np.where(length > 0, np.round(matrix / np.where(length > 0, length, 1) @ wanted.T, 6), -2.0)
+                best = np.argsort(-scores, axis=0, kind="stable")[:k]  # of equal scores the smaller key
+                found = np.take_along_axis(scores, best, 0)
+                query = [q for _ in range(len(best)) for q in ids]
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(keys[best].ravel()), pa.array(found.ravel())], names=["query", key, "score"])
+
+        part = vectors.select(key, column).mapInArrow(run, f"query {kind}, {key} {kind}, score double")
+        out = part if out is None else out.union(part)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
+    return out.filter("score > -2").withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def tokens(text: Column) -> Column:
     """Distinct identifiers of a query, in lower case, without stop words."""
     found = F.regexp_extract_all(F.lower(text), F.lit("([a-z_][a-z0-9_]*)"), F.lit(1))
@@ -62,29 +108,83 @@ def profile_of(text: Column) -> Column:
     return out
 
 
-#: Keywords of domains, and where their traces begin.
-DOMAIN_WORDS = {"scheduler": ("sched", "task", "runqueue"), "memory": ("mm", "memory", "page", "alloc"), "filesystem": ("vfs", "file", "inode"), "network": ("net", "tcp", "socket", "skb"), "interrupt": ("irq", "interrupt")}
-DOMAIN_ENTRY = {"scheduler": "schedule", "memory": "handle_mm_fault", "filesystem": "vfs_read", "network": "netif_receive_skb", "interrupt": "handle_irq_event"}
+#: Domains of a question, in their order, with the words that tell them, and where traces of some begin.
+DOMAIN_WORDS = (
+    ("interrupt_entry", ("vector", "idt")),
+    ("interrupt", ("interrupt", "irq")),
+    ("timer", ("timer",)),
+    ("softirq", ("softirq",)),
+    ("wakeup", ("wake", "sleep")),
+    ("scheduler", ("schedule", "scheduler", "context switch")),
+)
+DOMAIN_ENTRY = (("interrupt_entry", "idtentry"), ("interrupt", "generic_handle_irq"), ("scheduler", "schedule"))
 
 
 def domains_of(text: Column) -> Column:
-    """All domains with a keyword in the text; kernel for none."""
+    """All domains with a word in the text; kernel for none."""
     low = F.lower(text)
-    found = F.filter(F.array(*(F.when(low.rlike("|".join(words)), F.lit(d)) for d, words in DOMAIN_WORDS.items())), lambda x: x.isNotNull())
+    found = [F.when(reduce(Column.__or__, (low.contains(w) for w in words)), F.lit(domain)) for domain, words in DOMAIN_WORDS]
+    found = F.filter(F.array(*found), lambda x: x.isNotNull())
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("kernel")))
 
 
-def entry_of(domain: Column) -> Column:
-    return F.create_map(*(F.lit(x) for kv in DOMAIN_ENTRY.items() for x in kv))[domain]
+def entry_of(symbol: Column, domains: Column) -> Column:
+    """Where a trace of the domains begins; the symbol itself where they name nothing."""
+    out = F.when(F.lit(False), F.lit(""))
+    for domain, entry in DOMAIN_ENTRY:
+        out = out.when(F.array_contains(domains, domain), entry)
+    return out.otherwise(symbol)
+
+
+def runtime_lines(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(query, place, line) of trace edges (query, place, src, dst, context); names are (symbol_id, name)."""
+    both = _named_ends(edges, names)
+    return both.select("query", "place", F.concat(F.lit("["), F.upper("context"), F.lit("] "), "a", F.lit("  -> "), "b").alias("line"))
+
+
+def dispatch_lines(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(place, line) of every dispatch edge (src, dst, edge_type, seq), in the order of registration."""
+    both = _named_ends(edges.filter(F.col("edge_type") == "FUNCTION_POINTER_DISPATCH"), names)
+    return both.select(F.col("seq").alias("place"), F.concat(F.lit("[DISPATCH] "), "a", F.lit(" -> "), "b").alias("line"))
+
+
+def _named_ends(edges: DataFrame, names: DataFrame) -> DataFrame:
+    a, b = names.select(F.col("symbol_id").alias("src"), F.col("name").alias("a")), names.select(F.col("symbol_id").alias("dst"), F.col("name").alias("b"))
+    return edges.join(a, "src").join(b, "dst")
+
+
+def _joined(*order: str, of: str = "line", by: str = "\n") -> Column:
+    """The column's values, in order, as one text."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, of))), lambda x: x[of]), by)
+
+
+#: What a reader of the prompt is told to do.
+INSTRUCTIONS = "Explain the path from the flow and the code above alone. Follow the flow's edges in order. Tell direct calls from dispatch. Add nothing that stands in neither."
+
+
+def prompts(questions: DataFrame, runtime: DataFrame, dispatch: DataFrame, code: DataFrame, instructions: str = INSTRUCTIONS) -> DataFrame:
+    """(query, prompt) of questions (query, question, subsystem), with the lines of each one's trace, all dispatch lines, and its code."""
+    flow = runtime.groupBy("query").agg(_joined("place").alias("flow"))
+    ways = dispatch.agg(_joined("place").alias("ways"))  # one row
+    rows = questions.join(flow, "query", "left").join(code.select("query", F.col("prompt").alias("code")), "query", "left").crossJoin(F.broadcast(ways))
+    parts = (("QUESTION", "question"), ("SUBSYSTEM", "subsystem"), ("RUNTIME EXECUTION FLOW", "flow"), ("SEMANTIC DISPATCH FLOW", "ways"), ("RELEVANT KERNEL CODE", "code"))
+    text = F.concat_ws("\n\n", *(F.concat(F.lit(f"{title}:\n"), F.coalesce(column, F.lit(""))) for title, column in parts), F.lit(f"Instructions:\n{instructions}"))
+    return rows.select("query", text.alias("prompt"))
 
 
 def prompt_code(trace: DataFrame, chunks: DataFrame, nodes: int = 8, per_block: int = 600, total: int = 6000) -> DataFrame:
-    """Of each trace (query, symbol, place): the code of its first distinct symbols, cut to budgets, and the lines joined."""
-    first = trace.groupBy("query", "symbol").agg(F.min("place").alias("place"))
-    near = first.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("place", "symbol"))).filter(F.col("r") <= nodes)
-    code = near.join(chunks.select("symbol", "code"), "symbol", "left").withColumn("block", F.left(F.coalesce("code", F.lit("")), F.lit(per_block)))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "symbol", "block"))), lambda x: F.concat(x["symbol"], F.lit(":\n"), x["block"])), "\n")
-    return code.groupBy("query").agg(F.left(joined, F.lit(total)).alias("prompt"), F.count("*").alias("symbols"))
+    """Of each trace (query, symbol, place): the code of its first distinct symbols under FILE and SYMBOL, cut to budgets.
+
+    Of the first ``nodes`` places, each symbol once; those without code are left out. Of several chunks
+    of a symbol the last by seq counts.
+    """
+    place = Window.partitionBy("query").orderBy("place", "symbol")
+    near = trace.withColumn("r", F.row_number().over(place)).filter(F.col("r") <= nodes).groupBy("query", "symbol").agg(F.min("r").alias("r"))
+    last = chunks.groupBy("symbol").agg(F.max_by(F.struct("file", "code"), "seq").alias("c"))
+    found = near.join(last, "symbol").filter(F.length("c.code") > 0)
+    block = F.concat(F.lit("FILE: "), "c.file", F.lit("\nSYMBOL: "), "symbol", F.lit("\n\n"), F.left("c.code", F.lit(per_block)))
+    code = found.select("query", "r", block.alias("block")).groupBy("query")
+    return code.agg(F.left(_joined("r", of="block", by="\n\n"), F.lit(total)).alias("prompt"), F.count("*").alias("symbols"))
 
 
 def expand_context(calls: DataFrame, present: DataFrame, chunks: DataFrame, limit: int = 8) -> DataFrame:
@@ -101,19 +201,27 @@ def concatenated_code(chunks: DataFrame) -> DataFrame:
     return rows.agg(F.array_join(parts, "\n").alias("code"), F.min_by("symbol", "seq").alias("symbol"), F.min_by("file", "seq").alias("file"), F.sort_array(F.collect_set("file")).alias("files"), F.max_by("code", "seq").alias("last_code"), F.count("*").alias("chunks"))
 
 
-def mermaid(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``graph TD`` lines of a trace: dotted for macro aliases, thick for dispatch, plain otherwise."""
-    short = F.substring_index("symbol_id", "::", -1)
-    named = nodes.select("symbol_id", short.alias("name"))
-    a, b = named.select(F.col("symbol_id").alias("src"), F.col("name").alias("a")), named.select(F.col("symbol_id").alias("dst"), F.col("name").alias("b"))
-    arrow = F.when(F.col("edge_type") == "MACRO_ALIAS", "-.->").when(F.col("edge_type") == "FUNCTION_POINTER_DISPATCH", "==>").otherwise("-->")
-    return edges.join(a, "src").join(b, "dst").select(F.concat_ws(" ", F.lit("   "), "a", arrow, "b").alias("line"))
-
-
-def trace_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes by depth with the first edge that leaves each."""
-    first = edges.groupBy(F.col("src").alias("symbol_id")).agg(F.min_by("edge_type", "edge_id").alias("via"))
-    return nodes.join(first, "symbol_id", "left").orderBy("depth", "symbol_id").select("depth", "symbol_id", F.format_string("%2d %s %s", "depth", "symbol_id", F.coalesce("via", F.lit("-"))).alias("line"))
+def mermaid(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(place, line): ``graph TD``, then a line an edge (place, src, dst, edge_type), labelled by its type; dotted for macro
+    aliases, thick for dispatch, plain otherwise."""
+    kind = F.col("edge_type")
+    arrow = F.when(kind == "MACRO_ALIAS", F.concat(F.lit("-. "), kind, F.lit(" .->"))).when(kind == "FUNCTION_POINTER_DISPATCH", F.concat(F.lit("== "), kind, F.lit(" ==>")))
+    arrow = arrow.otherwise(F.concat(F.lit("-- "), kind, F.lit(" -->")))
+    lines = _named_ends(edges, names).select(F.col("place").cast("long").alias("place"), F.concat(F.lit("    "), "a", arrow, "b").alias("line"))
+    return edges.sparkSession.createDataFrame([(-1, "graph TD")], "place long, line string").unionByName(lines)
+
+
+def trace_lines(nodes: DataFrame, edges: DataFrame, annotations: DataFrame, names: DataFrame) -> DataFrame:
+    """(depth, place, part, nth, line): each node (place, symbol_id, depth) by depth, then its annotations
+    (place, symbol_id, dst, edge_type), then the first edge (place, src, dst, edge_type) that leaves it."""
+    at = nodes.select("symbol_id", "depth", F.col("place").alias("node"))
+    name = names.select("symbol_id", "name")
+    head = nodes.join(name, "symbol_id").select("depth", F.col("place").alias("node"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("nth"), F.concat(F.lit("[Depth="), "depth", F.lit("] "), "name").alias("line"))
+    to = name.select(F.col("symbol_id").alias("dst"), "name")
+    noted = annotations.join(at, "symbol_id").join(to, "dst", "left").select("depth", "node", F.lit(1).alias("part"), F.col("place").cast("long").alias("nth"), F.concat(F.lit("    ├── ["), "edge_type", F.lit("] "), F.coalesce("name", "dst")).alias("line"))
+    first = edges.groupBy(F.col("src").alias("symbol_id")).agg(F.min_by(F.struct("dst", "edge_type"), "place").alias("e")).select("symbol_id", "e.*")
+    left = first.join(at, "symbol_id").join(to, "dst", "left").select("depth", "node", F.lit(2).alias("part"), F.lit(0).cast("long").alias("nth"), F.concat(F.lit("    └── ➔ ["), "edge_type", F.lit("] "), F.coalesce("name", "dst")).alias("line"))
+    return head.unionByName(noted).unionByName(left).orderBy("depth", "node", "part", "nth")
 
 
 def embed(chunks: DataFrame, text: str, model: Callable[[list[str]], Iterable[Iterable[float]]], batch: int = 64) -> DataFrame:

@@ -429,7 +429,7 @@ def entry_resolve(spark, d):
 
 @query
 def code_calls(spark, d):
-    return graph.code_calls(corpora.functions(spark, d))
+    return graph.code_calls(corpora.functions(spark, d)).drop("seq")
 
 
 @query
@@ -469,14 +469,14 @@ def register_symbols(spark, d):
 
 @query
 def dispatch_edges(spark, d):
-    rows = corpora.paths(spark, d).select(F.lit("scheduler_class").alias("kind"), F.concat(F.lit("c_"), F.col("seq") % 6, F.lit("_sched_class")).alias("provider"), F.col("path").alias("file"), F.concat(F.lit("op"), F.col("seq") % 4).alias("op"), F.concat(F.lit("fn_"), F.col("seq") % 97).alias("func"))
+    rows = corpora.paths(spark, d).select(F.lit("scheduler_class").alias("kind"), F.concat(F.lit("c_"), F.col("seq") % 6, F.lit("_sched_class")).alias("provider"), F.col("path").alias("file"), F.concat(F.lit("op"), F.col("seq") % 4).alias("op"), F.concat(F.lit("fn_"), F.col("seq") % 97).alias("func"), "seq")
     return graph.dispatch_edges(rows, corpora.symbols(spark, d)).select("src", "dst", "edge_type", "confidence")
 
 
 @query
 def bridges(spark, d):
     s = corpora.table(spark, d, "supplier").select(F.concat(F.lit("kernel/sched/s"), F.col("s_suppkey"), F.lit(".c::fn_"), F.col("s_suppkey") % 80).alias("symbol_id"), F.concat(F.lit("fn_"), F.col("s_suppkey") % 80).alias("symbol_name"))
-    pairs = spark.range(100).select(F.concat(F.lit("fn_"), "id").alias("a"), F.concat(F.lit("fn_"), (F.col("id") + 1) % 100).alias("b"))
+    pairs = spark.range(100).select(F.concat(F.lit("fn_"), "id").alias("a"), F.concat(F.lit("fn_"), (F.col("id") + 1) % 100).alias("b"), F.col("id").alias("seq"))
     return graph.bridge_edges(pairs, s).select("src", "dst", "confidence", "subsystem")
 
 
