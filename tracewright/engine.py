@@ -15,6 +15,7 @@ from .operators import traverse
 from .operators.extract import extract_collections, extract_facts, extract_locals, prepared
 from .operators.relate import relationships
 from .operators.store import edge_rows, manifest, node_rows, symbol_rows
+from .plans import kit
 from .plans.profiles import PROFILES, detect
 from .sources.readers import commit_of, mock_chunks, read_chunks
 
@@ -106,8 +107,11 @@ class Engine:
         return Session(self.spark, project)
 
     def trace(self, edges: DataFrame, query: str, start: str, **bounds) -> traverse.Trace:
-        """``N-question``: the number chooses the mode, the question's words the profile."""
-        mode = {"1": "runtime_spine", "2": "implementation_descent", "3": "dispatch_analysis", "4": "full_branch_expansion", "5": "generic_entrypoint"}.get(query[:1] if query[1:2] == "-" else "", "runtime_spine")
+        """``N-question``: the number chooses the mode, the question's words the profile; of ``5-file function``
+        these are where the trace begins."""
+        mode = kit.MODES.get(query[:2], "runtime_spine")
+        if mode == "generic_entrypoint":
+            return traverse.generic_entry(edges, query[2:], **bounds)
         return traverse.MODES[mode](edges, start, PROFILES[detect(query) or "generic"], **bounds)
 
 

@@ -1,8 +1,8 @@
 """Bounded graph questions: working sets, descents, dispatch traces and full branch expansion.
 
 A working set is a loop of frontier joins, a job a level. Ranked walks are inherently sequential and
-bounded (at most 75 nodes, 20 levels): each step asks for the edges of the nodes at hand only, so
-what reaches the driver is bounded by the budget and the out-degree limit, not by the graph.
+bounded (at most 75 nodes, 20 levels): each step asks for the edges of the nodes at hand only, ranked
+and cut in the cluster, so what reaches the driver is bounded by the budget, not by the graph.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections import deque
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import locality_rank
@@ -33,26 +33,28 @@ def working_set(edges: DataFrame, anchor: object, context: QueryContext) -> Data
     """Edges recorded by a breadth-first walk: src, dst, kind, depth of the source.
 
     Nodes nearer than max_depth are expanded; all their allowed edges are recorded; targets are
-    enqueued while fewer than max_nodes were visited.
+    enqueued, in the order in which they are met, while fewer than max_nodes were visited.
     """
     spark = edges.sparkSession
     allowed = edges.filter(F.col("kind").isin(*sorted(context.kinds))).select("src", "dst", "kind")
     kind = edges.schema["src"].dataType.simpleString()
-    visited, frontier = ({anchor} if context.max_depth > 0 else set()), [anchor] if context.max_depth > 0 else []
-    found: list[tuple] = []
+    visited, frontier = {anchor}, [anchor]
+    found = spark.createDataFrame([], f"src {kind}, dst {kind}, kind string, depth int")
     for depth in range(context.max_depth):
         if not frontier:
             break
-        ids = spark.createDataFrame([(x,) for x in frontier], f"src {kind}")  # at most max_nodes and one level's targets
-        rows = allowed.join(F.broadcast(ids), "src", "left_semi").orderBy("src", "dst", "kind").collect()
-        place = {x: k for k, x in enumerate(frontier)}
-        frontier = []
-        for r in sorted(rows, key=lambda r: place[r["src"]]):
-            found.append((r["src"], r["dst"], r["kind"], depth))
-            if r["dst"] not in visited and len(visited) < context.max_nodes:
-                visited.add(r["dst"])
-                frontier.append(r["dst"])
-    return spark.createDataFrame(found, f"src {kind}, dst {kind}, kind string, depth int")
+        # a frontier has at most max_nodes nodes; their edges stay in the cluster
+        ids = spark.createDataFrame([(x, k) for k, x in enumerate(frontier)], f"src {kind}, place int")
+        rows = allowed.join(F.broadcast(ids), "src")
+        found = found.unionByName(rows.select("src", "dst", "kind", F.lit(depth).alias("depth")))
+        known = spark.createDataFrame([(x,) for x in visited], f"dst {kind}")
+        room = context.max_nodes - len(visited)
+        if depth + 1 == context.max_depth or room <= 0:
+            break
+        new = rows.join(F.broadcast(known), "dst", "left_anti").groupBy("dst").agg(F.min(F.struct("place", "dst", "kind")).alias("met"))
+        frontier = [r["dst"] for r in new.orderBy("met").limit(room).collect()]
+        visited.update(frontier)
+    return found
 
 
 def reach(edges: DataFrame, anchors: DataFrame, depth: int) -> DataFrame:
@@ -81,31 +83,57 @@ def decode(ids: DataFrame, nodes: DataFrame, files: DataFrame, symbols: DataFram
 class Trace:
     nodes: list[tuple[str, int]] = field(default_factory=list)  # symbol id, depth
     edges: list[tuple[str, str, str, str]] = field(default_factory=list)  # src, dst, edge id, type
-    annotations: list[tuple[str, str]] = field(default_factory=list)  # node, edge type
+    annotations: list[tuple[str, str, str]] = field(default_factory=list)  # node, target, edge type
     stats: dict[str, object] = field(default_factory=dict)
 
     def frames(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-        return spark.createDataFrame(self.nodes, "symbol_id string, depth int"), spark.createDataFrame(self.edges, "src string, dst string, edge_id string, edge_type string")
+        """Nodes and edges with their place in the trace."""
+        nodes = spark.createDataFrame([(k, *n) for k, n in enumerate(self.nodes)], "place long, symbol_id string, depth int")
+        return nodes, spark.createDataFrame([(k, *e) for k, e in enumerate(self.edges)], "place long, src string, dst string, edge_id string, edge_type string")
+
+    def notes(self, spark: SparkSession) -> DataFrame:
+        rows = [(k, *n) for k, n in enumerate(self.annotations)]
+        return spark.createDataFrame(rows, "place long, symbol_id string, dst string, edge_type string")
+
+
+#: The order of a node's edges, and what is asked of an edge that a walk may take.
+_ORDER = (F.desc, "confidence"), (F.desc, "is_deterministic"), (F.asc, "seq")
+_EDGE = ("src", "dst", "edge_id", "edge_type", "confidence", "is_deterministic", "seq")
 
 
 class _Out:
-    """Outgoing edges by node, in their order; asked for once a node. A limit of rows a node keeps hubs off the driver."""
+    """Outgoing edges by node, in their order; asked for once a node.
 
-    def __init__(self, edges: DataFrame, per_node: int | None = None):
-        self.edges, self.held, self.per_node = edges, {}, per_node
+    Of each node's edges only the first ``most`` of each group come to the driver, in an order that puts
+    all that a walk can take among them; ``total`` is how many there were.
+    """
+
+    def __init__(self, edges: DataFrame, most: int, groups: tuple[str, ...], first: tuple[str, ...] = ()):
+        order = [f(c) for f, c in (*((F.desc, c) for c in first), *_ORDER)]
+        self.edges, self.most, self.groups, self.order = edges, most, groups, order
+        self.held: dict[str, list] = {}
 
     def __call__(self, ids: list[str]) -> dict[str, list]:
         new = [i for i in ids if i not in self.held]
         if new:
             self.held |= {i: [] for i in new}
-            rows = self.edges.filter(F.col("src").isin(*new)).orderBy("src", F.desc("confidence"), F.desc("is_deterministic"), "seq")
-            for r in rows.collect():
+            own = self.edges.filter(F.col("src").isin(*new)).withColumn("total", F.count("*").over(Window.partitionBy("src")))
+            own = own.withColumn("nth", F.row_number().over(Window.partitionBy("src", *self.groups).orderBy(*self.order))).filter(F.col("nth") <= self.most)
+            for r in own.orderBy("src", *(f(c) for f, c in _ORDER)).collect():
                 self.held[r["src"]].append(r)
         return {i: self.held[i] for i in ids}
 
 
+#: Annotations of a node that a walk keeps, by type.
+NOTES = 25
+
+
 def _walk(edges: DataFrame, start: str, order: tuple[str, ...], profile: Profile, depth: int, stop_at_terminals: bool, drop_low_signal: bool) -> Trace:
-    out, trace, visited, here, came = _Out(edges), Trace(), set(), start, None
+    # of a kind at most one edge to each visited node is in the way, and one more is taken
+    name = F.substring_index("dst", "::", -1)
+    quiet = name.isin(*profile.low_signal) if profile.low_signal and drop_low_signal else F.lit(False)
+    out = _Out(edges.withColumn("_quiet", quiet), max(depth + 1, NOTES), ("edge_type", "_quiet"))
+    trace, visited, here, came = Trace(), set(), start, None
     for level in range(depth):
         if here in visited:
             break
@@ -118,7 +146,7 @@ def _walk(edges: DataFrame, start: str, order: tuple[str, ...], profile: Profile
         if not leaving or (stop_at_terminals and name in profile.terminals and not any(e["edge_type"] == "SYNTHETIC_CONTINUATION" for e in leaving)):
             break
         open_ways = [e for e in leaving if e["edge_type"] in kit.TRAVERSABLE]
-        trace.annotations += [(here, e["edge_type"]) for e in leaving if e["edge_type"] not in kit.TRAVERSABLE]
+        trace.annotations += [(here, e["dst"], e["edge_type"]) for e in leaving if e["edge_type"] not in kit.TRAVERSABLE and e["nth"] <= NOTES]
         fresh = [e for e in open_ways if e["dst"] not in visited]
         if not fresh:
             break
@@ -167,7 +195,8 @@ def branch_scores(edges: DataFrame, root_file: str, profile: Profile) -> DataFra
 
 def full_branch(edges: DataFrame, start: str, profile: Profile = GENERIC, max_depth: int = 8, branches: int = 5, max_nodes: int = 75) -> Trace:
     """Breadth first: a node's best branches by score, less 25 for each earlier visit of the target; nodes up to a budget."""
-    out = _Out(branch_scores(edges, start.rpartition("::")[0], profile))
+    # a visited target has lost 25 a visit, so beyond the best branches one edge of each kind to each node may come before
+    out = _Out(branch_scores(edges, start.rpartition("::")[0], profile), branches + max_nodes * len(kit.PRIORITY), (), ("score",))
     trace, queue, depth_of, expanded, visits, signed, omitted = Trace(), deque([(start, 0)]), {start: 0}, set(), {}, set(), 0
     while queue and len(depth_of) < max_nodes:
         here, depth = queue.popleft()
@@ -176,7 +205,7 @@ def full_branch(edges: DataFrame, start: str, profile: Profile = GENERIC, max_de
         expanded.add(here)
         # a level's edges are fetched in one job
         leaving = out([here, *(x for x, d in queue if d < max_depth)])[here]
-        omitted += max(0, len(leaving) - branches)
+        omitted += max(0, leaving[0]["total"] - branches) if leaving else 0
         scored = [(e["score"] - 25 * visits.get(e["dst"], 0), e) for e in leaving]
         ranked = sorted(scored, key=lambda x: -x[0])
         for _, e in [x for x in ranked if x[0] >= 0][:branches]:
@@ -195,10 +224,12 @@ def full_branch(edges: DataFrame, start: str, profile: Profile = GENERIC, max_de
     return trace
 
 
-def generic_entry(edges: DataFrame, query: str) -> Trace:
+def generic_entry(edges: DataFrame, query: str, **bounds) -> Trace:
     """``file function`` as the start of a full branch expansion under the generic profile."""
-    file, function = query.split()
-    return full_branch(edges, f"{file}::{function}")
+    file, _, function = query.strip().partition(" ")
+    if not function.strip():
+        raise ValueError("a generic entry is a file and a function, with a blank between")
+    return full_branch(edges, f"{file}::{function.strip()}", GENERIC, **bounds)
 
 
-MODES = {"runtime_spine": runtime_spine, "implementation_descent": descent, "dispatch_analysis": dispatch_trace, "full_branch_expansion": full_branch, "generic_entrypoint": full_branch}
+MODES = {"runtime_spine": runtime_spine, "implementation_descent": descent, "dispatch_analysis": dispatch_trace, "full_branch_expansion": full_branch}

@@ -49,16 +49,100 @@ _SE = """se0 AS (
 ), se AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src, dst, edge_type ORDER BY seq) AS k FROM se0) WHERE k = 1)"""
 
 
-def _keywords(column: str) -> str:
-    from .kit import PROFILE_KEYWORDS
+def _says(column: str, words: str) -> str:
+    return "(" + " OR ".join(f"contains(lower({column}), '{w}')" for w in words.split("|")) + ")"
 
-    return f"CASE WHEN lower({column}) LIKE '5-%' THEN 'generic' " + " ".join("WHEN " + " OR ".join(f"contains(lower({column}), '{w}')" for w in words) + f" THEN '{key}'" for key, words in PROFILE_KEYWORDS) + " END"
 
+#: literal words, apart from the engine's own lists
+_PROFILE = (("sched", "sched|scheduler|task|context switch|runqueue"), ("vfs", "vfs|file|filesystem|read|write|inode|dentry"), ("irq", "irq|interrupt|softirq|hardirq"), ("net", "net|network|tcp|udp|socket|skb|packet"),
+    ("block", "block|bio|request|nvme|disk|storage"), ("mm", "mm|memory|page|fault|allocation|allocator|slab|folio"), ("workqueue", "workqueue"))
+_PROFILE_SQL = "CASE WHEN lower(text) LIKE '5-%' THEN 'generic' " + " ".join(f"WHEN {_says('text', w)} THEN '{k}'" for k, w in _PROFILE) + " END"
+_DOMAIN_SQL = f"""[CASE WHEN {_says('text', 'vector|idt')} THEN 'interrupt_entry' END, CASE WHEN {_says('text', 'interrupt|irq')} THEN 'interrupt' END, CASE WHEN {_says('text', 'timer')} THEN 'timer' END,
+  CASE WHEN {_says('text', 'softirq')} THEN 'softirq' END, CASE WHEN {_says('text', 'wake|sleep')} THEN 'wakeup' END, CASE WHEN {_says('text', 'schedule|scheduler|context switch')} THEN 'scheduler' END]"""
+_ALIASES = "al AS (SELECT seq, 'rd' || (seq % 5) AS alias, CASE WHEN seq % 10 = 0 THEN 'unknown_fn' ELSE symbol_name END AS target, file_path FROM s)"
+_PAIRS = """pr AS (SELECT alias || ' -> ' || target AS pair, count(*) AS n, min(seq) AS first, count(*) FILTER (file_path LIKE 'kernel/%') AS in_kernel, count(*) FILTER (file_path LIKE 'drivers/%') AS in_drivers, count(*) FILTER (file_path LIKE 'tools/%') AS in_tools,
+  count(*) FILTER (file_path LIKE 'include/%') AS in_include, count(*) FILTER (file_path LIKE 'arch/%') AS in_arch, count(*) FILTER (file_path LIKE 'fs/%') AS in_fs FROM al GROUP BY 1)"""
+_TOTALS = """tt AS (SELECT count(*) AS aliases, count(DISTINCT alias) AS names, (SELECT count(DISTINCT target) FROM al WHERE target IN (SELECT symbol_name FROM s)) AS known_targets,
+  (SELECT count(DISTINCT target) FROM al WHERE target IN (SELECT symbol_name FROM s WHERE seq % 2 = 0)) AS callable_targets FROM al)"""
 
-def _domains(column: str) -> str:
-    from ..operators.retrieve import DOMAIN_WORDS
 
-    return "[" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower({column}), '{w}')" for w in words) + f" THEN '{key}' END" for key, words in DOMAIN_WORDS.items()) + "]"
+def _section(number: int, column: str, most: int | None, note: str) -> str:
+    cut = f"LIMIT {most}" if most else ""
+    return f"SELECT * FROM (SELECT {number} AS section, '  ' || pair || ' ({note}' || {column} || ' times)' AS line FROM pr WHERE {column} > 0 ORDER BY {column} DESC, first, pair {cut})"
+
+
+_BODY = """body AS (
+        SELECT l_orderkey, file, 'void fn_order_' || l_orderkey || '(struct order *o, int cpu)' || chr(10) || '{' || chr(10) || 'struct line_item *it;' || chr(10) || 'int total;' || chr(10) || 'rcu_read_lock();' || chr(10) || 'spin_lock(&o->lock);' || chr(10)
+          || string_agg('   o->qty = ' || CAST(l_quantity AS BIGINT) || ';' || chr(10) || 'fn_' || (l_partkey % 50) || '(o);', chr(10) ORDER BY rn) || chr(10) || 'spin_unlock(&o->lock);' || chr(10) || 'rcu_read_unlock();' || chr(10) || '}' AS code FROM f GROUP BY 1, 2)"""
+_FACTS = """x AS (
+        SELECT symbol_id, 'Call' AS domain, 'call:' || file || ':' || (s + 2 * rn + 5) || ':fn_' || (l_partkey % 50) AS id, s + 2 * rn + 5 AS l FROM f
+        UNION ALL SELECT symbol_id, 'Assignment', 'assign:' || file || ':' || (s + 2 * rn + 4) || ':struct:o_qty', s + 2 * rn + 4 FROM f
+        UNION ALL SELECT symbol_id, 'Synchronization', 'sync:' || file || ':' || (s + 5) || ':acquire:spin_lock', s + 5 FROM o
+        UNION ALL SELECT symbol_id, 'Synchronization', 'sync:' || file || ':' || (s + 6 + 2 * n) || ':release:spin_unlock', s + 6 + 2 * n FROM o
+        UNION ALL SELECT symbol_id, 'RCU', 'rcu:' || file || ':' || (s + 4) || ':read_lock:rcu_read_lock', s + 4 FROM o
+        UNION ALL SELECT symbol_id, 'RCU', 'rcu:' || file || ':' || (s + 7 + 2 * n) || ':read_unlock:rcu_read_unlock', s + 7 + 2 * n FROM o)"""
+#: every name of the dialect, in the order of the generated function's lines: domain, fact type, name or operator, kind
+_EVERY = """Synchronization|LockAcquire|spin_lock|acquire
+Synchronization|LockAcquire|raw_spin_lock|acquire
+Synchronization|LockAcquire|mutex_lock|acquire
+Synchronization|LockAcquire|spin_lock_irqsave|acquire
+Synchronization|LockAcquire|rq_lock|acquire
+Synchronization|LockRelease|spin_unlock|release
+Synchronization|LockRelease|raw_spin_unlock|release
+Synchronization|LockRelease|mutex_unlock|release
+Synchronization|LockRelease|spin_unlock_irqrestore|release
+Synchronization|LockRelease|raw_spin_rq_unlock_irq|release
+Synchronization|InterruptState|local_irq_disable|disable
+Synchronization|InterruptState|raw_local_irq_disable|disable
+Synchronization|InterruptState|local_irq_enable|enable
+Synchronization|InterruptState|raw_local_irq_enable|enable
+RCU|RcuReadLock|rcu_read_lock|read_lock
+RCU|RcuReadLock|srcu_read_lock|read_lock
+RCU|RcuReadLock|rcu_read_lock_bh|read_lock
+RCU|RcuReadLock|rcu_read_lock_sched|read_lock
+RCU|RcuReadUnlock|rcu_read_unlock|read_unlock
+RCU|RcuReadUnlock|srcu_read_unlock|read_unlock
+RCU|RcuReadUnlock|rcu_read_unlock_bh|read_unlock
+RCU|RcuReadUnlock|rcu_read_unlock_sched|read_unlock
+RCU|RcuDereference|rcu_dereference|deref
+RCU|RcuDereference|rcu_access_pointer|deref
+RCU|RcuDereference|rcu_dereference_bh|deref
+RCU|RcuDereference|rcu_dereference_sched|deref
+RCU|RcuDereference|rcu_dereference_raw|deref
+RCU|RcuDereference|rcu_dereference_check|deref
+RCU|RcuPublish|rcu_assign_pointer|publish
+RCU|RcuPublish|RCU_INIT_POINTER|publish
+RCU|RcuGracePeriod|synchronize_rcu|grace_period
+RCU|RcuGracePeriod|synchronize_rcu_bh|grace_period
+RCU|RcuGracePeriod|synchronize_sched|grace_period
+RCU|RcuGracePeriod|call_rcu|grace_period
+RCU|RcuGracePeriod|kfree_rcu|grace_period
+RCU|RcuIteration|hlist_for_each_entry_rcu|loop
+RCU|RcuIteration|hlist_bl_for_each_entry_rcu|loop;Iteration|Iteration|hlist_bl_for_each_entry_rcu|hlist_bl
+RCU|RcuIteration|list_for_each_entry_rcu|loop;Iteration|Iteration|list_for_each_entry_rcu|list
+RCU|RcuIteration|list_for_each_entry_continue_rcu|loop
+RCU|RcuIteration|hlist_for_each_entry_rcu_bh|loop
+Iteration|Iteration|list_for_each_entry|list
+Iteration|Iteration|hlist_for_each_entry|hlist
+Iteration|Iteration|list_for_each_entry_safe|list
+Iteration|Iteration|hlist_for_each_entry_safe|hlist
+Iteration|Iteration|list_for_each_entry_rcu|list;RCU|RcuIteration|list_for_each_entry_rcu|loop
+Iteration|Iteration|hlist_bl_for_each_entry_rcu|hlist_bl;RCU|RcuIteration|hlist_bl_for_each_entry_rcu|loop
+Iteration|Iteration|hash_for_each|hash
+Iteration|Iteration|hash_for_each_rcu|hash
+Iteration|Iteration|rbtree_postorder_for_each_entry_safe|rbtree
+Assignment|Assignment|=|Struct Field
+Assignment|Assignment|+=|Struct Field
+Assignment|Assignment|-=|Struct Field
+Assignment|Assignment|*=|Struct Field
+Assignment|Assignment|/=|Struct Field
+Assignment|Assignment|OR=|Struct Field
+Assignment|Assignment|&=|Struct Field
+Assignment|Assignment|^=|Struct Field
+Assignment|Assignment|++|Struct Field
+Assignment|Assignment|--|Struct Field"""
+_EVERY_SQL = ", ".join("(" + ", ".join(f"'{x}'" for x in fact.split("|")).replace("OR=", "|=") + f", {line})" for line, facts in enumerate(_EVERY.split("\n"), 3) for fact in facts.split(";"))
+_K = "CAST(p_partkey AS VARCHAR)"
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -125,13 +209,13 @@ ORACLE_SQL: dict[str, str] = {
       SELECT CASE WHEN contains(s, ':') THEN 'colon' WHEN contains(s, '/') THEN 'slash' WHEN contains(s, '(') THEN 'paren' WHEN contains(s, ' ') THEN 'space' ELSE 'clean' END AS class, count(*) AS n FROM v GROUP BY 1""",
     "len_sums": f"WITH {_P} SELECT count(*) AS n, count(DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1)) AS distinct_keys, CAST(sum(length(path)) AS BIGINT) AS characters FROM p",
     "top_files": f"WITH {_ITEMS} SELECT file, count(*) AS n FROM f GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3",
-    "id_tokens": f"""WITH {_ITEMS}, t AS (SELECT unnest(['call', file, CAST(s + 2 * rn + 5 AS VARCHAR), 'fn_' || (l_partkey % 50)]) AS token FROM f), c AS (SELECT CASE WHEN contains(token, '/') THEN 'path' ELSE 'domain' END AS kind, token, count(*) AS n FROM t GROUP BY 1, 2)
-      SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY n DESC, token) AS INTEGER) AS rank FROM c) WHERE rank <= 5""",
+    "id_tokens": f"""WITH {_ITEMS}, c AS (SELECT file, count(*) AS n, min('call:' || file || ':' || (s + 2 * rn + 5) || ':fn_' || (l_partkey % 50)) AS first FROM f GROUP BY 1)
+      SELECT 'domain' AS kind, 'call' AS token, count(*) AS n FROM f UNION ALL SELECT * FROM (SELECT 'path', file, n FROM c ORDER BY n DESC, first LIMIT 5)""",
     "distinct_functions": "SELECT count(DISTINCT l_orderkey) AS functions, count(DISTINCT l_orderkey) AS n FROM lineitem",
     "distinct_symbols": f"WITH {_P} SELECT count(DISTINCT symbol_name) AS distinct_names, count(*) AS n FROM s",
     "storage_savings": f"""WITH {_P}, v AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM p), a AS (SELECT count(*) AS n, CAST(sum(strlen(dir)) AS BIGINT) AS string_bytes, 8 * count(*) AS id_bytes FROM v), b AS (SELECT CAST(sum(strlen(dir)) AS BIGINT) AS dictionary_bytes FROM (SELECT DISTINCT dir FROM v))
       SELECT *, round(1 - (id_bytes + dictionary_bytes) / greatest(string_bytes, 1), 6) AS saved_share FROM a, b""",
-    "macro_freq": f"WITH {_P} SELECT 'rd' || (seq % 5) AS alias, symbol_name AS target, count(*) AS n, count(*) FILTER (file_path LIKE 'drivers/%') AS in_drivers, count(*) FILTER (file_path LIKE 'net/%') AS in_net, count(*) FILTER (file_path LIKE 'kernel/sched%') AS in_kernel_sched, count(*) FILTER (file_path LIKE 'tools/%') AS in_tools FROM s GROUP BY 1, 2",
+    "macro_freq": f"WITH {_P}, {_ALIASES}, {_PAIRS} SELECT * FROM pr",
     "caller_report": f"WITH {_ITEMS} SELECT symbol_id, count(*) AS calls, CAST(count(DISTINCT l_partkey % 50) AS INTEGER) AS distinct_callees FROM f GROUP BY 1",
     "branch_truncation": f"WITH {_E} SELECT CAST(sum(greatest(0, n - 5)) AS BIGINT) AS truncated FROM (SELECT src, count(*) AS n FROM (SELECT DISTINCT src, dst, kind FROM e) GROUP BY 1)",
     "chunk_frequency": f"WITH {_P} SELECT symbol_name, count(*) AS chunks FROM s GROUP BY 1",
@@ -169,8 +253,9 @@ ORACLE_SQL: dict[str, str] = {
     "entry_resolve": f"""WITH {_P}, en AS (SELECT seq, path, 'fn_' || CASE WHEN seq % 2 = 0 THEN seq % 97 ELSE seq * 3 % 2000 END AS name, seq % 5 = 0 AS generic FROM p), u AS (SELECT symbol_name, min(symbol_id) AS symbol_id FROM s GROUP BY 1 HAVING count(*) = 1)
       SELECT en.seq, coalesce(s.symbol_id, CASE WHEN NOT generic THEN u.symbol_id END) AS symbol_id FROM en LEFT JOIN s ON s.file_path = en.path AND s.symbol_name = en.name LEFT JOIN u ON u.symbol_name = en.name""",
     "code_calls": f"WITH {_ITEMS} SELECT DISTINCT 'fn_order_' || l_orderkey AS symbol, file, 'fn_' || (l_partkey % 50) AS callee FROM f UNION ALL SELECT 'fn_order_' || l_orderkey, file, c.c FROM o, (VALUES ('rcu_read_lock'), ('rcu_read_unlock'), ('spin_lock'), ('spin_unlock')) AS c(c)",
-    "missing_callees": f"""WITH {_ITEMS}, {_P}, c AS (SELECT DISTINCT l_orderkey, 'fn_' || (l_partkey % 50) AS callee FROM f UNION ALL SELECT l_orderkey, c.c FROM o, (VALUES ('rcu_read_lock'), ('rcu_read_unlock'), ('spin_lock'), ('spin_unlock')) AS c(c))
-      SELECT callee, count(*) AS n FROM c WHERE callee NOT IN (SELECT symbol_name FROM s WHERE seq % 3 = 0) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25""",
+    "missing_callees": f"""WITH {_ITEMS}, {_P}, c AS (SELECT DISTINCT l_orderkey, 'fn_' || (l_partkey % 50) AS callee FROM f UNION ALL SELECT l_orderkey, c.c FROM o, (VALUES ('rcu_read_lock'), ('rcu_read_unlock'), ('spin_lock'), ('spin_unlock')) AS c(c)),
+      k AS (SELECT symbol_name, count(DISTINCT file_path) > 1 AS several FROM s GROUP BY 1), g AS (SELECT CASE WHEN symbol_name IS NULL THEN 'missing' WHEN several THEN 'ambiguous' END AS problem, callee, count(*) AS n, min(l_orderkey) AS first FROM c LEFT JOIN k ON symbol_name = callee GROUP BY 1, 2)
+      SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY problem ORDER BY n DESC, first, callee) AS INTEGER) AS rank FROM g WHERE problem IS NOT NULL) WHERE rank <= 25""",
     "edge_confidence": """WITH x AS (SELECT p_partkey, (['schedule', '__schedule', 'pick_next_task', 'WARN_ON', 'other'])[CAST(p_partkey % 5 + 1 AS INTEGER)] AS caller, (['schedule', '__schedule', 'pick_next_task', 'WARN_ON', 'other'])[CAST(p_size % 5 + 1 AS INTEGER)] AS callee FROM part)
       SELECT *, CAST(CASE WHEN callee = 'WARN_ON' THEN 0.1 ELSE 1.0 END + CASE WHEN callee IN ('schedule', '__schedule', 'pick_next_task') THEN 10 ELSE 0 END + CASE WHEN (caller, callee) IN (('schedule', '__schedule'), ('__schedule', 'pick_next_task')) THEN 20 ELSE 0 END AS DOUBLE) AS confidence FROM x""",
     "register_edges": f"""WITH {_E}, x AS (SELECT 'net/a.c::s' || (src % 200) AS src, 'fs/b.c::t' || (dst % 100) AS dst, confidence, seq FROM e)
@@ -180,43 +265,82 @@ ORACLE_SQL: dict[str, str] = {
     "dispatch_edges": f"WITH {_P} SELECT DISTINCT '<scheduler_class_interface>::scheduler_class:op' || (seq % 4) AS src, symbol_id AS dst, 'FUNCTION_POINTER_DISPATCH' AS edge_type, CAST(1 AS DOUBLE) AS confidence FROM s",
     "bridges": """WITH x AS (SELECT 'kernel/sched/s' || s_suppkey || '.c::fn_' || (s_suppkey % 80) AS id, s_suppkey % 80 AS k FROM supplier), u AS (SELECT k, min(id) AS id FROM x GROUP BY 1 HAVING count(*) = 1)
       SELECT a.id AS src, b.id AS dst, CAST(100 AS DOUBLE) AS confidence, 'scheduler' AS subsystem FROM u a JOIN u b ON b.k = (a.k + 1) % 100""",
-    "edge_order": f"WITH {_E} SELECT src, dst, kind, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY src ORDER BY confidence DESC, is_deterministic DESC, seq) AS INTEGER) AS rank FROM e) WHERE rank <= 5",
-    "adjacency_fwd": f"WITH {_E} SELECT src, dst, kind, seq FROM e WHERE src IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 97 = 3)",
-    "adjacency_rev": f"WITH {_E} SELECT src, dst, kind, seq FROM e WHERE dst IN (SELECT p_partkey FROM part WHERE p_partkey % 97 = 3)",
+    "edge_order": f"WITH {_E} SELECT src, dst, kind, CAST(row_number() OVER (PARTITION BY src ORDER BY confidence DESC, is_deterministic DESC, seq) AS INTEGER) AS rank FROM e",
+    "adjacency_fwd": f"WITH {_E} SELECT src, dst, kind, seq FROM e WHERE src IN (SELECT o_orderkey FROM orders)",
+    "adjacency_rev": f"WITH {_E} SELECT src, dst, kind, seq FROM e WHERE dst IN (SELECT p_partkey FROM part)",
     "graph_stats": f"WITH {_P}, {_E}, {_SE} SELECT (SELECT count(*) FROM s) AS symbols, count(*) AS edges, count(*) FILTER (edge_type = 'FUNCTION_POINTER_DISPATCH') AS dispatch, count(*) FILTER (edge_type = 'SYNTHETIC_CONTINUATION') AS synthetic FROM se",
     "working_set": f"""WITH RECURSIVE {_E}, {_GRAPH}, a AS (SELECT * FROM g WHERE kind IN ('AF', 'NO', 'RF')), r(id, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM r JOIN a ON a.src = r.id WHERE depth < 2)
       SELECT a.src, a.dst, a.kind, m.depth FROM (SELECT id, min(depth) AS depth FROM r GROUP BY 1) m JOIN a ON a.src = m.id""",
     "reach_levels": f"WITH RECURSIVE {_E}, {_GRAPH}, st AS (SELECT DISTINCT src, dst FROM g), r(id, depth) AS (SELECT v::BIGINT, 0 FROM (VALUES (1), (7)) x(v) UNION SELECT dst, depth + 1 FROM r JOIN st ON st.src = r.id WHERE depth < 4) SELECT id, min(depth) AS depth FROM r GROUP BY 1",
-    "descent": f"""WITH RECURSIVE {_E}, {_SE}, d AS (SELECT * FROM se WHERE edge_type = 'DIRECT_CALL'), r(symbol_id, depth, seen) AS (
-        SELECT min(src), 0, [min(src)] FROM d
-        UNION ALL SELECT dst, depth + 1, list_append(seen, dst) FROM (SELECT d.dst, r.depth, r.seen, row_number() OVER (ORDER BY confidence DESC, is_deterministic DESC, seq) AS k FROM r JOIN d ON d.src = r.symbol_id WHERE NOT list_contains(r.seen, d.dst) AND r.depth < 15) WHERE k = 1
+    "descent": f"""WITH RECURSIVE {_E}, {_SE}, d AS (SELECT * FROM se WHERE edge_type IN ('DIRECT_CALL', 'FUNCTION_POINTER_DISPATCH')), r(symbol_id, depth, seen) AS (
+        SELECT min(src), 0, [min(src)] FROM se
+        UNION ALL SELECT dst, depth + 1, list_append(seen, dst) FROM (SELECT d.dst, r.depth, r.seen, row_number() OVER (ORDER BY edge_type DESC, confidence DESC, is_deterministic DESC, seq) AS k FROM r JOIN d ON d.src = r.symbol_id WHERE NOT list_contains(r.seen, d.dst) AND r.depth < 15) WHERE k = 1
       ) SELECT symbol_id, depth FROM r""",
     "branch_scores": f"""WITH {_E}, {_SE}, x AS (SELECT *, regexp_extract(dst, '^(.*)::', 1) AS file FROM se WHERE edge_type IN ('DIRECT_CALL', 'MACRO_ALIAS', 'FUNCTION_POINTER_DISPATCH'))
       SELECT sha1(src || ':' || dst || ':' || edge_type) AS edge_id, round(CASE edge_type WHEN 'DIRECT_CALL' THEN 20 WHEN 'MACRO_ALIAS' THEN 10 ELSE 30 END + confidence + ({_rank("'drivers/d1.c'", 'file')}), 6) AS score FROM x""",
-    "vector_topk": "SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 5",
+    "vector_topk": """WITH x AS (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q)
+      SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM x) WHERE rank <= 5""",
     "token_search": """WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS token FROM benchmark), q AS (SELECT conv_id || ':' || turn AS key, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*'))) AS token FROM conversations)
       SELECT key, token FROM q WHERE token IN (SELECT token FROM w WHERE length(token) > 3) AND token NOT IN ('how', 'does', 'the', 'linux', 'what', 'where', 'why', 'a', 'an', 'is')""",
     "mode_parse": """WITH x AS (SELECT conv_id, turn, (['1-', '2-', '3-', '4-', '5-', ''])[CAST(turn % 6 + 1 AS INTEGER)] || text AS t FROM conversations)
       SELECT conv_id, turn, CASE WHEN t LIKE '1-%' THEN 'runtime_spine' WHEN t LIKE '2-%' THEN 'implementation_descent' WHEN t LIKE '3-%' THEN 'dispatch_analysis' WHEN t LIKE '4-%' THEN 'full_branch_expansion' WHEN t LIKE '5-%' THEN 'generic_entrypoint' ELSE 'runtime_spine' END AS mode, length(trim(regexp_replace(t, '^[1-5]-', ''))) AS length FROM x""",
-    "profile_detect": f"""WITH x AS (SELECT doc_id, {_keywords('text')} AS profile, list_filter({_domains('text')}, lambda x: x IS NOT NULL) AS ds FROM documents)
-      SELECT doc_id, profile, CASE ds[1] WHEN 'scheduler' THEN 'schedule' WHEN 'memory' THEN 'handle_mm_fault' WHEN 'filesystem' THEN 'vfs_read' WHEN 'network' THEN 'netif_receive_skb' WHEN 'interrupt' THEN 'handle_irq_event' END AS entry, CASE WHEN len(ds) > 0 THEN array_to_string(ds, ',') ELSE 'kernel' END AS domains FROM x""",
+    "profile_detect": f"""WITH x AS (SELECT doc_id, {_PROFILE_SQL} AS profile, list_filter({_DOMAIN_SQL}, lambda x: x IS NOT NULL) AS ds FROM documents)
+      SELECT doc_id, profile, CASE WHEN list_contains(ds, 'interrupt_entry') THEN 'idtentry' WHEN list_contains(ds, 'interrupt') THEN 'generic_handle_irq' WHEN list_contains(ds, 'scheduler') THEN 'schedule' ELSE 'asked_fn' END AS entry, CASE WHEN len(ds) > 0 THEN array_to_string(ds, ',') ELSE 'kernel' END AS domains FROM x""",
     "concatenated_code": """WITH x AS (SELECT p_partkey AS seq, CASE WHEN p_partkey % 2 = 0 THEN 'S' ELSE 's' END || (p_partkey % 40) AS symbol, 'f' || p_size AS file, p_name AS code FROM part)
       SELECT lower(symbol) AS name, md5(string_agg(code, chr(10) ORDER BY seq)) AS code_md5, arg_min(symbol, seq) AS symbol, arg_min(file, seq) AS file, CAST(count(DISTINCT file) AS INTEGER) AS n_files, arg_max(code, seq) AS last_code, count(*) AS chunks FROM x GROUP BY 1""",
-    "prompt_context": f"""WITH {_ITEMS}, body AS (
-        SELECT l_orderkey, 'void fn_order_' || l_orderkey || '(struct order *o, int cpu)' || chr(10) || '{{' || chr(10) || 'struct line_item *it;' || chr(10) || 'int total;' || chr(10) || 'rcu_read_lock();' || chr(10) || 'spin_lock(&o->lock);' || chr(10)
-          || string_agg('   o->qty = ' || CAST(l_quantity AS BIGINT) || ';' || chr(10) || 'fn_' || (l_partkey % 50) || '(o);', chr(10) ORDER BY rn) || chr(10) || 'spin_unlock(&o->lock);' || chr(10) || 'rcu_read_unlock();' || chr(10) || '}}' AS code FROM f GROUP BY 1
-      ), t AS (SELECT CAST(floor(o_orderkey / 200) AS BIGINT) AS query, o_orderkey AS k, row_number() OVER (PARTITION BY CAST(floor(o_orderkey / 200) AS BIGINT) ORDER BY o_orderkey) AS r FROM orders WHERE o_orderkey % 20 = 1),
-      j AS (SELECT query, left(string_agg('fn_order_' || k || ':' || chr(10) || left(coalesce(code, ''), 200), chr(10) ORDER BY r), 1500) AS prompt, count(*) AS symbols FROM t LEFT JOIN body ON l_orderkey = k WHERE r <= 8 GROUP BY 1)
+    "prompt_context": f"""WITH {_ITEMS}, {_BODY}, t AS (SELECT CAST(floor(o_orderkey / 12) AS BIGINT) AS query, o_orderkey AS k, row_number() OVER (PARTITION BY CAST(floor(o_orderkey / 12) AS BIGINT) ORDER BY o_orderkey) AS r FROM orders),
+      j AS (SELECT query, left(string_agg('FILE: ' || file || chr(10) || 'SYMBOL: fn_order_' || k || chr(10) || chr(10) || left(code, 200), chr(10) || chr(10) ORDER BY r), 1500) AS prompt, count(*) AS symbols FROM t JOIN body ON l_orderkey = k WHERE r <= 8 GROUP BY 1)
       SELECT query, symbols, length(prompt) AS length, md5(prompt) AS prompt_md5 FROM j""",
     "context_expansion": f"""WITH {_P}, {_CALLS}, c AS (SELECT DISTINCT 'g_' || (call_id % 30) AS symbol, callee FROM calls WHERE callee NOT IN (SELECT symbol_name FROM s WHERE seq < 60)),
       r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY callee) AS r FROM c), h AS (SELECT symbol_name, min(file_path) AS code FROM s GROUP BY 1) SELECT symbol, callee, code FROM r JOIN h ON symbol_name = callee WHERE r <= 8""",
     "collection_bind": f"""WITH {_P}, u AS (SELECT symbol_name, arg_min(symbol_id, seq) AS symbol_id FROM s GROUP BY 1)
       SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '&' ELSE '' END || 'fn_' || (p_partkey % 130) AS name, u.symbol_id FROM part LEFT JOIN u ON u.symbol_name = 'fn_' || (p_partkey % 130)""",
     "provider_suffix": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'scheduler_class' END AS kind FROM part",
-    "definition_scan": f"""WITH {_ITEMS} SELECT 'fn_order_' || l_orderkey AS symbol, file, md5('void fn_order_' || l_orderkey || '(struct order *o, int cpu)' || chr(10) || '{{' || chr(10) || 'struct line_item *it;' || chr(10) || 'int total;' || chr(10) || 'rcu_read_lock();' || chr(10) || 'spin_lock(&o->lock);' || chr(10)
-      || string_agg('   o->qty = ' || CAST(l_quantity AS BIGINT) || ';' || chr(10) || 'fn_' || (l_partkey % 50) || '(o);', chr(10) ORDER BY rn) || chr(10) || 'spin_unlock(&o->lock);' || chr(10) || 'rcu_read_unlock();' || chr(10) || '}}') AS code_md5 FROM f WHERE l_orderkey % 9 = 2 GROUP BY l_orderkey, file""",
-    "vector_numbers": "SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS vec_no FROM embeddings WHERE vec_id % 3 = 1",
+    "definition_scan": f"WITH {_ITEMS}, {_BODY} SELECT 'fn_order_' || l_orderkey AS symbol, file, md5(code) AS code_md5 FROM body",
+    "vector_numbers": "SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS vec_no FROM embeddings",
+    "id_bytes": f"WITH {_ITEMS} SELECT count(*) AS records, round(sum(length('call:' || file || ':' || (s + 2 * rn + 5) || ':fn_' || (l_partkey % 50)) + length('fn_' || (l_partkey % 50))) / count(*), 1) AS bytes_per_record FROM f",
+    "macro_totals": f"WITH {_P}, {_ALIASES}, {_TOTALS} SELECT * FROM tt",
+    "macro_report": f"""WITH {_P}, {_ALIASES}, {_PAIRS}, {_TOTALS} SELECT 0 AS section, unnest(['Total raw aliases extracted: ' || aliases, 'Unique alias names: ' || names, 'Targets resolving to known symbols: ' || known_targets, 'Targets resolving to callable symbols: ' || callable_targets]) AS line FROM tt
+      UNION ALL {_section(1, 'n', 3, 'defined ')} UNION ALL {_section(2, 'in_kernel', 4, '')} UNION ALL {_section(3, 'in_drivers', 4, '')} UNION ALL {_section(4, 'in_tools', 4, '')} UNION ALL {_section(5, 'in_include', 4, '')}
+      UNION ALL {_section(6, 'in_arch', 4, '')} UNION ALL {_section(7, 'in_fs', 4, '')} UNION ALL {_section(8, 'n', None, '')}""",
+    "graph_build": f"""WITH {_ITEMS} SELECT DISTINCT file || '::fn_order_' || l_orderkey AS src, 'lib/leaf.c::fn_' || (l_partkey % 50) AS dst, 'DIRECT_CALL' AS edge_type, CAST(1 AS DOUBLE) AS confidence, 'drivers' AS subsystem, 'regex_call_parse' AS resolution_source FROM f
+      WHERE l_partkey % 50 IN (SELECT p_partkey FROM part)
+      UNION ALL SELECT '<scheduler_class_interface>::scheduler_class:pick_next_task', 'kernel/sched/' || x.f || '.c::pick_next_task_' || x.f, 'FUNCTION_POINTER_DISPATCH', 1, 'scheduler_class', 'provider' FROM (VALUES ('fair'), ('rt')) AS x(f)
+      UNION ALL SELECT 'kernel/sched/core.c::__pick_next_task', '<scheduler_class_interface>::scheduler_class:pick_next_task', 'SYNTHETIC_CONTINUATION', 100, 'scheduler', 'reconstructed_execution_continuity'
+      UNION ALL SELECT 'kernel/sched/' || x.f || '.c::pick_next_task_' || x.f, 'kernel/sched/core.c::context_switch', 'SYNTHETIC_CONTINUATION', 100, 'scheduler', 'reconstructed_execution_continuity' FROM (VALUES ('fair'), ('rt')) AS x(f)""",
+    "graph_walk": "SELECT * FROM (VALUES (0::BIGINT, 'kernel/sched/core.c::__pick_next_task', 0), (1, '<scheduler_class_interface>::scheduler_class:pick_next_task', 1), (2, 'kernel/sched/fair.c::pick_next_task_fair', 2), (3, 'kernel/sched/core.c::context_switch', 3)) AS t(place, symbol_id, depth)",
+    "dispatch_trace": f"""WITH RECURSIVE {_E}, {_SE}, d AS (SELECT * FROM se WHERE edge_type IN ('DIRECT_CALL', 'FUNCTION_POINTER_DISPATCH')), r(symbol_id, depth, seen) AS (
+        SELECT min(src), 0, [min(src)] FROM se
+        UNION ALL SELECT dst, depth + 1, list_append(seen, dst) FROM (SELECT d.dst, r.depth, r.seen, row_number() OVER (ORDER BY edge_type DESC, confidence DESC, is_deterministic DESC, seq) AS k FROM r JOIN d ON d.src = r.symbol_id WHERE NOT list_contains(r.seen, d.dst) AND r.depth < 15) WHERE k = 1
+      ) SELECT symbol_id, depth FROM r""",
+    "provider_nested": f"""WITH x AS (SELECT {_K} AS k, (['kernel/sched/fair.c', 'kernel/sched/rt.c', 'kernel/sched/idle.c', 'kernel/sched/deadline.c'])[CAST(p_partkey % 4 + 1 AS INTEGER)] AS file FROM part)
+      SELECT 'scheduler_class' AS kind, CASE WHEN t.macro THEN 'm' || k || '_sched_class' ELSE 's' || k END AS provider, file, t.op, t.func || CASE WHEN t.numbered THEN k ELSE '' END AS func
+      FROM x, (VALUES (true, 'pick_task', 'pick_', true), (true, 'enqueue_task', 'enq', false), (false, 'yield_task', 'y_', true), (false, 'dequeue_task', 'deq', false)) AS t(macro, op, func, numbered)""",
+    "initializer_chunks": f"""WITH x AS (SELECT 'kernel/f' || {_K} || '.c' AS file, ' /* ' || {_K} || ' */' AS n FROM part), c AS (
+      SELECT file, 'b' AS v, 6 AS a, 8 AS z, 'const struct sched_class b_sched_class = {{' || n || chr(10) || chr(9) || '.x = {{ 1 }},' || n || chr(10) || '}};' || n AS code FROM x
+      UNION ALL SELECT file, 'c', 9, 9, 'struct sched_class c_sched_class = {{ }};' || n FROM x
+      UNION ALL SELECT file, 'd', 10, 13, 'struct sched_class d_sched_class =' || n || chr(10) || '{{' || n || chr(10) || chr(9) || '.y = 2' || n || chr(10) || '}};' || n FROM x
+      UNION ALL SELECT file, 'e', 14, 14, 'struct sched_class e_sched_class = base;' || n FROM x
+    ) SELECT 'var:' || file || ':' || v || '_sched_class' AS symbol_id, a AS start_line, z AS end_line, md5(code) AS code_md5 FROM c""",
+    "edge_mermaid": f"""WITH {_E}, {_SE} SELECT -1 AS place, 'graph TD' AS line UNION ALL SELECT seq, '    ' || regexp_extract(src, '::(.*)$', 1) || CASE edge_type WHEN 'MACRO_ALIAS' THEN '-. MACRO_ALIAS .->' WHEN 'FUNCTION_POINTER_DISPATCH' THEN '== FUNCTION_POINTER_DISPATCH ==>' ELSE '-- ' || edge_type || ' -->' END || regexp_extract(dst, '::(.*)$', 1) FROM se""",
+    "trace_print": f"""WITH {_E}, x AS (SELECT src, seq - src * 1000 AS k, dst, kind, seq, max(seq - src * 1000) OVER (PARTITION BY src) AS n FROM e)
+      SELECT CAST(k AS INTEGER) AS depth, seq AS node, 0 AS part, '[Depth=' || k || '] n' || src || ':' || k AS line FROM x
+      UNION ALL SELECT CAST(k AS INTEGER), seq, 1, '    ├── [STATE_MUTATION] ' || src || ':x' || dst FROM x
+      UNION ALL SELECT CAST(k AS INTEGER), seq, 2, '    └── ➔ [' || kind || '] ' || CASE WHEN k < n THEN 'n' ELSE '' END || src || ':' || (k + 1) FROM x""",
+    "chunk_index": "SELECT event_id, 'f' || (user_id % 20) || '.c' AS file, CASE WHEN event_id % 2 = 0 THEN 'content' || event_id WHEN event_id % 3 = 0 THEN 'source' || event_id WHEN event_id % 5 = 0 THEN 'code' || event_id END AS code, CAST(NULL AS VARCHAR) AS symbol_id, 1 AS start_line FROM events",
+    "graph_json": f"""WITH {_P}, {_E}, g AS (SELECT src, string_agg('{{"seq":' || seq || ',"dst":"' || dst || '","edge_type":"' || kind || '","confidence":' || confidence || '}}', ',' ORDER BY seq) AS es FROM e GROUP BY 1),
+      v AS (SELECT '{{"symbol_id":"' || seq || '","file_path":"' || file_path || '","symbol_name":"' || symbol_name || '","subsystem":"net"' || coalesce(',"edges":[' || es || ']', '') || '}}' AS value FROM s LEFT JOIN g ON g.src = s.seq) SELECT md5(value) AS md5, length(value) AS length FROM v""",
+    "name_keys": f"WITH {_P} SELECT symbol_name, string_agg(symbol_id, ',' ORDER BY file_path) AS keys FROM s GROUP BY 1",
+    "edge_dump": f"WITH {_E}, {_SE} SELECT dst, edge_type, confidence FROM se WHERE src = 'drivers/d1.c::fn_1'",
+    "fact_lines": f"WITH {_ITEMS}, {_FACTS} SELECT symbol_id, printf('%5d', l) || ' ' || CASE WHEN length(domain) < 14 THEN rpad(domain, 14, ' ') ELSE domain END || ' ' || id AS report FROM x",
+    "symbol_lines": f"""WITH {_ITEMS} SELECT symbol_id, lpad(CAST(s + d.declaration_line - 1 AS VARCHAR), 5, ' ') || ' ' || rpad(d.storage, 9, ' ') || ' ' || d.type_name || ' ' || d.stars || d.name AS report FROM o,
+      (VALUES ('o', 'parameter', 'order', '*', 1), ('cpu', 'parameter', 'int', '', 1), ('it', 'local', 'line_item', '*', 3), ('total', 'local', 'int', '', 4)) AS d(name, storage, type_name, stars, declaration_line)""",
+    "symbol_search": f"WITH {_P} SELECT symbol_id, symbol_name FROM s WHERE symbol_name LIKE '%n\\_1%' ESCAPE '\\'",
+    "candidate_order": f"WITH {_P} SELECT symbol_id, CAST(row_number() OVER (ORDER BY file_path) AS INTEGER) AS place FROM s WHERE symbol_name = 'fn_7'",
+    "rcu_warnings": """SELECT 'func:a.c:r_' || o_orderkey AS symbol_id, 'a.c:4: rcu_dereference of unresolved target g_' || o_orderkey AS warning FROM orders UNION ALL SELECT 'func:a.c:r_' || o_orderkey, 'a.c:5: rcu_assign_pointer of unresolved target other' FROM orders""",
+    "ext_every_primitive": f"SELECT t.domain, t.fact_type, t.what, t.kind, CAST(t.line AS INTEGER) AS line, (SELECT count(*) FROM orders) AS n FROM (VALUES {_EVERY_SQL}) AS t(domain, fact_type, what, kind, line)",
 }
 
+ORACLE_SQL["collection_lines"] = f"SELECT name || ': ' || family || ' (' || declaration_macro || ') in ' || declaration_file AS report FROM ({ORACLE_SQL['ext_collections']})"
 _RELATED = " UNION ALL ".join(f"SELECT '{kind}' AS edge_kind, source_semantic_id AS s, target_semantic_id AS t FROM ({ORACLE_SQL[f'rel_{kind}']})" for kind in ("writes", "matches", "protects"))
 ORACLE_SQL["store_edges"] = f"WITH r AS ({_RELATED}) SELECT edge_kind, count(DISTINCT (s, t)) AS n, count(DISTINCT s) AS sources, count(DISTINCT t) AS targets FROM r GROUP BY 1"

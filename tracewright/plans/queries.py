@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, paths, text
 from ..operators import analytics, extract, frontend, graph, relate, retrieve, store, traverse
-from ..sources import readers
+from ..sources import readers, writers
 from . import corpora, kit
 from .profiles import SCHED
 
@@ -255,7 +255,13 @@ def top_files(spark, d):
 
 @query
 def id_tokens(spark, d):
-    return analytics.token_counts(extract.extract_calls(_code(spark, d)), "semantic_id", 5)
+    """Ids are numbered by their value, so of equal counts the smaller is the one first seen."""
+    return analytics.token_counts(extract.extract_calls(_code(spark, d)), "semantic_id", "semantic_id", 5)
+
+
+@query
+def id_bytes(spark, d):
+    return analytics.bytes_per_record(extract.extract_calls(_code(spark, d)), "semantic_id", "name")
 
 
 @query
@@ -274,10 +280,31 @@ def storage_savings(spark, d):
     return analytics.savings(corpora.paths(spark, d).select(paths.directory(F.col("path")).alias("dir")), "dir")
 
 
+def _aliases(spark, d):
+    target = F.when(F.col("seq") % 10 == 0, F.lit("unknown_fn")).otherwise(F.col("symbol_name"))
+    return corpora.symbols(spark, d).select("seq", F.concat(F.lit("rd"), F.col("seq") % 5).alias("alias"), target.alias("target"), "file_path")
+
+
 @query
 def macro_freq(spark, d):
-    s = corpora.symbols(spark, d).select(F.concat(F.lit("rd"), F.col("seq") % 5).alias("alias"), F.col("symbol_name").alias("target"), "file_path")
-    return analytics.macro_frequency(s, ("drivers/", "net/", "kernel/sched", "tools/"))
+    return analytics.macro_pairs(_aliases(spark, d))
+
+
+def _totals(spark, d):
+    coded = corpora.symbols(spark, d).filter("seq % 2 = 0").select(F.col("symbol_name").alias("symbol"))
+    return analytics.macro_totals(_aliases(spark, d), corpora.symbols(spark, d), coded)
+
+
+@query
+def macro_totals(spark, d):
+    return _totals(spark, d)
+
+
+@query
+def macro_report(spark, d):
+    """The text of the report; its lines below the heads are told apart by section."""
+    report = analytics.macro_report(analytics.macro_pairs(_aliases(spark, d)), _totals(spark, d), 3, 4)
+    return report.select("section", "line")
 
 
 @query
@@ -348,7 +375,30 @@ def provider_scan(spark, d):
     body = F.concat(F.lit("/* a */ const struct sched_class c_"), "p_partkey", F.lit("_sched_class = {\n\t.pick_next_task = pick_"), F.col("p_partkey") % 30, F.lit(",\n\t.unknown_op = nothing,\n\t.yield_task = yield_"), "p_partkey", F.lit(",\n};\n"))
     src = corpora.table(spark, d, "part").select("p_partkey", file.alias("file"), body.alias("text"))
     files = src.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "text"))), lambda x: x["text"]), "").alias("text"))
-    return frontend.provider_tables(files, SCHED)
+    return frontend.provider_tables(files, SCHED).drop("seq")
+
+
+@query
+def provider_nested(spark, d):
+    """Tables by macro and by struct, with braces inside; one is never closed and is none."""
+    k = F.col("p_partkey").cast("string")
+    by_macro = F.concat(F.lit("DEFINE_SCHED_CLASS(m"), k, F.lit(") = {\n .opts = { .depth = { 1 } },\n .pick_task = pick_"), k, F.lit(",\n .enqueue_task\t= enq,\n};\n"))
+    by_type = F.concat(F.lit("static const struct sched_class s"), k, F.lit(" = { .yield_task = y_"), k, F.lit(", .x = { }, .dequeue_task = deq };\n"))
+    text = F.concat(by_macro, F.lit("int a; // };\n"), by_type, F.lit("struct sched_class never = { .pick_task = no,"))
+    file = F.element_at(F.array(*(F.lit(x) for x in SCHED.provider_files)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return frontend.provider_tables(corpora.table(spark, d, "part").select(file.alias("file"), text.alias("text")), SCHED).drop("seq")
+
+
+@query
+def initializer_chunks(spark, d):
+    """Initialised structs out of whole files: nested braces, one line, the brace on the next line; a declaration alone is none."""
+    k = F.col("p_partkey").cast("string")
+    file = F.concat(F.lit("kernel/f"), k, F.lit(".c"))
+    lines = ["extern struct sched_class a_sched_class;", "int f(void)", "{", "\treturn 1;", "}", "const struct sched_class b_sched_class = {", "\t.x = { 1 },", "};", "struct sched_class c_sched_class = { };", "struct sched_class d_sched_class =", "{", "\t.y = 2", "};", "struct sched_class e_sched_class = base;"]
+    text = F.concat(*(x for line in lines for x in (F.lit(line + " /* "), k, F.lit(" */\n"))))
+    sources = corpora.table(spark, d, "part").select(file.alias("file"), text.alias("text"))
+    symbols = sources.select("file", F.explode(F.array(*(F.lit(f"{x}_sched_class") for x in "abcde"), F.lit("other"))).alias("symbol"), F.lit("variable").alias("symbol_type"), F.lit(1).alias("line"))
+    return frontend.bodies(symbols, sources).select("symbol_id", "start_line", "end_line", F.md5("code").alias("code_md5"))
 
 
 @query
@@ -434,10 +484,38 @@ def code_calls(spark, d):
 
 @query
 def missing_callees(spark, d):
-    """Callees that no symbol has, most common first."""
-    calls = graph.code_calls(corpora.functions(spark, d))
-    names = corpora.symbols(spark, d).filter("seq % 3 = 0").select(F.col("symbol_name").alias("callee")).distinct()
-    return analytics.top_groups(calls.join(names, "callee", "left_anti"), "callee", 25)
+    """Callees that no symbol has, and those that several files have, most common first, of equals the first seen."""
+    calls = graph.resolved_calls(corpora.functions(spark, d), _aliases(spark, d))
+    found = graph.unresolved_calls(calls, corpora.symbols(spark, d))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("problem").orderBy(F.desc("n"), "first", "callee"))).filter("rank <= 25")
+
+
+def _whole_graph(spark, d):
+    """Functions that call the parts' names, tables of a scheduler class in one of the profile's files, and the profile's bridges."""
+    chunks = corpora.functions(spark, d)
+    spine = spark.createDataFrame([(1, "kernel/sched/core.c", "__pick_next_task"), (2, "kernel/sched/core.c", "context_switch"), (3, "kernel/sched/fair.c", "pick_next_task_fair"), (4, "kernel/sched/rt.c", "pick_next_task_rt")], "seq long, file_path string, symbol_name string")
+    own = chunks.select((F.col("seq") + 10).alias("seq"), F.col("file").alias("file_path"), F.col("symbol").alias("symbol_name"))
+    leaves = corpora.table(spark, d, "part").filter("p_partkey < 50").select((F.col("p_partkey") + (1 << 40)).alias("seq"), F.lit("lib/leaf.c").alias("file_path"), F.concat(F.lit("fn_"), "p_partkey").alias("symbol_name"))
+    text = "/* table */ DEFINE_SCHED_CLASS(fair) = {\n\t.pick_next_task = pick_next_task_fair,\n\t.nested = { .x = 1 },\n\t.yield_task = nowhere,\n};\nconst struct sched_class rt_sched_class = { .pick_next_task = pick_next_task_rt, };\n"
+    files = spark.createDataFrame([("kernel/sched/fair.c", text)], "file string, text string")
+    return graph.build_graph(chunks, spine.unionByName(own).unionByName(leaves), _aliases(spark, d).limit(0), frontend.provider_tables(files, SCHED), SCHED)
+
+
+@query
+def graph_build(spark, d):
+    """All edges of the scheduler's profile, over calls, dispatch and bridges; one bridge goes to an interface."""
+    _, edges = _whole_graph(spark, d)
+    return edges.select("src", "dst", "edge_type", "confidence", "subsystem", "resolution_source")
+
+
+@query
+def graph_walk(spark, d):
+    """A descent through the whole graph: bridge, dispatch, bridge; the last node has no edge."""
+    _, edges = _whole_graph(spark, d)
+    edges = edges.persist()
+    nodes, _ = traverse.descent(edges, "kernel/sched/core.c::__pick_next_task", SCHED).frames(spark)
+    edges.unpersist()
+    return nodes
 
 
 @query
@@ -482,18 +560,18 @@ def bridges(spark, d):
 
 @query
 def edge_order(spark, d):
-    return graph.ordered_out(corpora.edges(spark, d)).filter("rank <= 5").select("src", "dst", "kind", "rank")
+    return graph.ordered_out(corpora.edges(spark, d)).select("src", "dst", "kind", "rank")
 
 
 @query
 def adjacency_fwd(spark, d):
-    seeds = corpora.table(spark, d, "orders").filter("o_orderkey % 97 = 3").select(F.col("o_orderkey").alias("id"))
+    seeds = corpora.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
     return graph.adjacency(seeds, corpora.edges(spark, d)).select("src", "dst", "kind", "seq")
 
 
 @query
 def adjacency_rev(spark, d):
-    seeds = corpora.table(spark, d, "part").filter("p_partkey % 97 = 3").select(F.col("p_partkey").alias("id"))
+    seeds = corpora.table(spark, d, "part").select(F.col("p_partkey").alias("id"))
     return graph.adjacency(seeds, corpora.edges(spark, d), False).select("src", "dst", "kind", "seq")
 
 
@@ -523,25 +601,28 @@ def reach_levels(spark, d):
 
 @query
 def descent(spark, d):
-    """Each step takes the edge of the highest confidence, the first registered of equals, to a node not yet visited."""
-    e = _symbol_edges(spark, d).filter("edge_type = 'DIRECT_CALL'").persist()  # a walk asks for a node's edges at each step
+    """Each step takes a dispatch before a call, then the highest confidence, then the first registered, to a node not yet visited."""
+    e = _symbol_edges(spark, d).persist()  # a walk asks for a node's edges at each step
     start = e.agg(F.min("src")).first()[0]
     nodes, _ = traverse.descent(e, start, max_depth=16).frames(spark)
-    return nodes
+    e.unpersist()
+    return nodes.drop("place")
 
 
 @query
 def dispatch_trace(spark, d):
     e = _symbol_edges(spark, d).persist()
     nodes, _ = traverse.dispatch_trace(e, e.agg(F.min("src")).first()[0]).frames(spark)
-    return nodes
+    e.unpersist()
+    return nodes.drop("place")
 
 
 @query
 def full_branch(spark, d):
     e = _symbol_edges(spark, d).persist()
     _, edges = traverse.full_branch(e, e.agg(F.min("src")).first()[0], SCHED).frames(spark)
-    return edges
+    e.unpersist()
+    return edges.drop("place")
 
 
 @query
@@ -553,15 +634,35 @@ def branch_scores(spark, d):
 def trace_mermaid(spark, d):
     e = _symbol_edges(spark, d).persist()
     nodes, edges = traverse.full_branch(e, e.agg(F.min("src")).first()[0], SCHED).frames(spark)
-    return retrieve.mermaid(nodes, edges)
+    return retrieve.mermaid(edges, nodes.select("symbol_id", F.substring_index("symbol_id", "::", -1).alias("name")))
+
+
+@query
+def edge_mermaid(spark, d):
+    """All edges of the symbol graph as diagram lines."""
+    e = _symbol_edges(spark, d)
+    names = e.select(F.explode(F.array("src", "dst")).alias("symbol_id")).distinct().select("symbol_id", F.substring_index("symbol_id", "::", -1).alias("name"))
+    return retrieve.mermaid(e.withColumn("place", F.col("seq")), names).select("place", "line")
+
+
+@query
+def trace_print(spark, d):
+    """Traces of all orders as text: a node an item, calls between them, one note a node."""
+    e = corpora.edges(spark, d).select("src", F.concat("src", F.lit(":x"), "dst").alias("to"), (F.col("seq") - F.col("src") * 1000).cast("int").alias("depth"), "kind", "seq")
+    node = F.concat_ws(":", "src", "depth")
+    nodes = e.select(F.col("seq").alias("place"), node.alias("symbol_id"), "depth")
+    names = nodes.select("symbol_id", F.concat(F.lit("n"), "symbol_id").alias("name"))
+    edges = e.select(F.col("seq").alias("place"), node.alias("src"), F.concat_ws(":", "src", F.col("depth") + 1).alias("dst"), F.col("kind").alias("edge_type"))
+    notes = e.select(F.col("seq").alias("place"), node.alias("symbol_id"), F.col("to").alias("dst"), F.lit("STATE_MUTATION").alias("edge_type"))
+    return retrieve.trace_lines(nodes, edges, notes, names).select("depth", "node", "part", "line")
 
 
 # --- retrieval -------------------------------------------------------------------------------
 @query
 def vector_topk(spark, d):
+    """Every fiftieth vector against all."""
     v = corpora.table(spark, d, "embeddings")
-    q = v.filter("vec_id = 0").select("embedding").first()[0]
-    return retrieve.top_k(v, "vec_id", "embedding", q)
+    return retrieve.nearest(v, v.filter("vec_id % 50 = 0"), "vec_id", "embedding")
 
 
 @query
@@ -578,7 +679,7 @@ def mode_parse(spark, d):
 
 @query
 def profile_detect(spark, d):
-    return corpora.table(spark, d, "documents").select("doc_id", retrieve.profile_of(F.col("text")).alias("profile"), retrieve.entry_of(F.element_at(retrieve.domains_of(F.col("text")), 1)).alias("entry"), F.array_join(retrieve.domains_of(F.col("text")), ",").alias("domains"))
+    return corpora.table(spark, d, "documents").select("doc_id", retrieve.profile_of(F.col("text")).alias("profile"), retrieve.entry_of(F.lit("asked_fn"), retrieve.domains_of(F.col("text"))).alias("entry"), F.array_join(retrieve.domains_of(F.col("text")), ",").alias("domains"))
 
 
 @query
@@ -591,7 +692,7 @@ def concatenated_code(spark, d):
 @query
 def prompt_context(spark, d):
     chunks = corpora.functions(spark, d)
-    trace = corpora.table(spark, d, "orders").filter("o_orderkey % 20 = 1").select((F.col("o_orderkey") / 200).cast("long").alias("query"), F.concat(F.lit("fn_order_"), "o_orderkey").alias("symbol"), F.col("o_orderkey").alias("place"))
+    trace = corpora.table(spark, d, "orders").select((F.col("o_orderkey") / 12).cast("long").alias("query"), F.concat(F.lit("fn_order_"), "o_orderkey").alias("symbol"), F.col("o_orderkey").alias("place"))
     p = retrieve.prompt_code(trace, chunks, per_block=200, total=1500)
     return p.select("query", "symbols", F.length("prompt").cast("long").alias("length"), F.md5("prompt").alias("prompt_md5"))
 
@@ -621,10 +722,98 @@ def definition_scan(spark, d):
     """Definitions of some names in whole files; calls of the same names are none."""
     f = corpora.functions(spark, d)
     whole = f.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "code"))), lambda x: x["code"]), "\n").alias("text"))
-    names = f.filter("seq % 9 = 2").select(F.col("symbol").alias("name"))
+    names = f.select(F.col("symbol").alias("name"))
     return frontend.definitions(names, whole).select("symbol", "file", F.md5("code").alias("code_md5"))
 
 
 @query
 def vector_numbers(spark, d):
-    return retrieve.numbered(corpora.table(spark, d, "embeddings").filter("vec_id % 3 = 1").select("vec_id"), "vec_id").select("vec_id", "vec_no")
+    return retrieve.numbered(corpora.table(spark, d, "embeddings").select("vec_id"), "vec_id").select("vec_id", "vec_no")
+
+
+# --- sources, exports, reports ---------------------------------------------------------------
+@query
+def chunk_index(spark, d):
+    """The index pass prefers content to source to code, and keeps rows without id or symbol."""
+    e = corpora.table(spark, d, "events")
+    field = lambda n, k: F.when(F.col("event_id") % k == 0, F.concat(F.lit(f', "{n}": "{n}'), "event_id", F.lit('"'))).otherwise(F.lit(""))
+    value = F.concat(F.lit('{"file": "f'), F.col("user_id") % 20, F.lit('.c"'), field("content", 2), field("source", 3), field("code", 5), F.lit("}"))
+    return readers.parse_chunks(e.select("event_id", value.alias("value")), index_pass=True, keep=("event_id",)).select("event_id", "file", "code", "symbol_id", "start_line")
+
+
+@query
+def graph_json(spark, d):
+    """A line a source with its edges in order; those without any have an empty list."""
+    symbols = corpora.symbols(spark, d).select(F.col("seq").cast("string").alias("symbol_id"), "file_path", "symbol_name", F.lit("net").alias("subsystem"))
+    edges = corpora.edges(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("kind").alias("edge_type"), "confidence", "seq")
+    return writers.graph_json(symbols, edges).select(F.md5("value").alias("md5"), F.length("value").cast("long").alias("length"))
+
+
+@query
+def name_keys(spark, d):
+    return writers.name_keys(corpora.symbols(spark, d)).select("symbol_name", F.array_join("keys", ",").alias("keys"))
+
+
+@query
+def edge_dump(spark, d):
+    return writers.edge_dump(_symbol_edges(spark, d), "drivers/d1.c::fn_1")
+
+
+@query
+def fact_lines(spark, d):
+    return writers.fact_report(_facts(spark, d)).select("symbol_id", "report")
+
+
+@query
+def symbol_lines(spark, d):
+    return writers.symbol_report(extract.extract_locals(_code(spark, d))).select("symbol_id", "report")
+
+
+@query
+def collection_lines(spark, d):
+    return writers.collection_report(ext_collections(spark, d)).select("report")
+
+
+@query
+def symbol_search(spark, d):
+    """Symbols whose name has a text in it."""
+    s = corpora.symbols(spark, d)
+    return s.filter(F.col("symbol_name").contains("n_1")).select("symbol_id", "symbol_name")
+
+
+@query
+def candidate_order(spark, d):
+    """All symbols of one name by file, numbered in that order."""
+    found = graph.candidates(corpora.symbols(spark, d), "fn_7")
+    return found.select("symbol_id", F.row_number().over(Window.orderBy("file_path")).alias("place"))
+
+
+@query
+def rcu_warnings(spark, d):
+    """Dereferences of a known and of an unknown pointer."""
+    k = F.col("o_orderkey").cast("string")
+    code = F.concat(F.lit("void r_"), k, F.lit("(struct q *q)\n{\nx = rcu_dereference(q->a);\ny = rcu_dereference(g_"), k, F.lit(");\nrcu_assign_pointer(other, q);\n}"))
+    rows = corpora.table(spark, d, "orders").select(F.concat(F.lit("func:a.c:r_"), k).alias("symbol_id"), F.lit("a.c").alias("file"), F.lit(1).alias("start_line"), code.alias("code"))
+    return extract.rcu_warnings(extract.extract_rcu(extract.prepared(rows))).select("symbol_id", "warning")
+
+
+@query
+def ext_every_primitive(spark, d):
+    """Each lock, interrupt, RCU and iteration name and each assignment operator of the dialect, in a function of its own for each order."""
+    calls = [f"{name}(&o->m{n}, p);" for n, name in enumerate([*kit.ACQUIRE, *kit.RELEASE, *kit.INTERRUPT, *(x for names in kit.RCU.values() for x in names)])]
+    loops = [f"{name}(a{n}, b{n}, c{n}, d{n});" for n, name in enumerate(kit.ITERATORS)]
+    changes = [f"o->s{n} {sign} 1;" for n, sign in enumerate(("=", "+=", "-=", "*=", "/=", "|=", "&=", "^=", "++", "--"))]
+    text = "\n".join([*calls, *loops, *changes, "}"])
+    code = F.concat(F.lit("void every_"), F.col("o_orderkey"), F.lit("(struct order *o, int p)\n{\n" + text))
+    rows = corpora.table(spark, d, "orders").select(F.concat(F.lit("func:e.c:every_"), "o_orderkey").alias("symbol_id"), F.lit("e.c").alias("file"), F.lit(1).alias("start_line"), code.alias("code"))
+    facts = extract.extract_facts(extract.prepared(rows))
+    return facts.groupBy("domain", "fact_type", F.coalesce("name", "operator").alias("what"), "kind", "line").agg(F.count("*").alias("n"))
+
+
+@query
+def working_set_capped(spark, d):
+    """A walk over the orders' own graph, whose cap of nodes binds."""
+    e = corpora.edges(spark, d)
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("BACK").alias("kind"))
+    both = e.select("src", "dst", "kind").union(back).distinct()
+    return traverse.working_set(both, 1, traverse.QueryContext(frozenset({"AF", "NO", "RF", "BACK"}), max_depth=4, max_nodes=12))

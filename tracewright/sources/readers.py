@@ -21,12 +21,12 @@ def read_tag_lines(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
-def shaped_chunks(rows: DataFrame, index_pass: bool = False) -> DataFrame:
+def shaped_chunks(rows: DataFrame, index_pass: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Chunks with code and id filled in. The index pass prefers content, the compile pass code; a row with neither id nor symbol goes."""
     order = ("content", "source", "code") if index_pass else ("code", "content", "source")
     code = F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in order))
     known = F.when(F.col("symbol").isNotNull(), F.concat(F.lit("func:"), "file", F.lit(":"), "symbol"))
-    out = rows.select("file", "symbol", F.coalesce("symbol_id", known).alias("symbol_id"), "symbol_type", F.coalesce("start_line", F.lit(1)).alias("start_line"), F.coalesce("end_line", F.lit(1)).alias("end_line"), code.alias("code"))
+    out = rows.select(*keep, "file", "symbol", F.coalesce("symbol_id", known).alias("symbol_id"), "symbol_type", F.coalesce("start_line", F.lit(1)).alias("start_line"), F.coalesce("end_line", F.lit(1)).alias("end_line"), code.alias("code"))
     return out if index_pass else out.filter("symbol_id is not null")
 
 
@@ -34,9 +34,9 @@ def read_chunks(spark: SparkSession, path: str, index_pass: bool = False) -> Dat
     return shaped_chunks(spark.read.schema(CHUNK_FIELDS).json(path), index_pass)
 
 
-def parse_chunks(lines: DataFrame, column: str = "value", index_pass: bool = False) -> DataFrame:
-    """As read_chunks, of JSON strings in a column."""
-    return shaped_chunks(lines.select(F.from_json(column, CHUNK_FIELDS).alias("c")).select("c.*"), index_pass)
+def parse_chunks(lines: DataFrame, column: str = "value", index_pass: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """As read_chunks, of JSON strings in a column; the columns ``keep`` stay beside them."""
+    return shaped_chunks(lines.select(*keep, F.from_json(column, CHUNK_FIELDS).alias("c")).select(*keep, "c.*"), index_pass, keep)
 
 
 def read_sources(spark: SparkSession, root: str, folders: tuple[str, ...] = ("drivers", "include")) -> DataFrame:

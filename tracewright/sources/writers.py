@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,12 @@ def graph_json(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return symbols.join(out, "symbol_id", "left").select(F.to_json(F.struct("symbol_id", "file_path", "symbol_name", "subsystem", "edges")).alias("value"))
 
 
+def name_keys(symbols: DataFrame) -> DataFrame:
+    """Each name with the symbols that have it, by file."""
+    keys = F.transform(F.sort_array(F.collect_list(F.struct("file_path", "symbol_id"))), lambda x: x["symbol_id"])
+    return symbols.groupBy("symbol_name").agg(keys.alias("keys"))
+
+
 def edge_dump(edges: DataFrame, symbol: str) -> DataFrame:
     return edges.filter(F.col("src") == symbol).select("dst", "edge_type", "confidence")
 
@@ -26,5 +32,22 @@ def fact_report(facts: DataFrame) -> DataFrame:
     return facts.orderBy("symbol_id", "line", "semantic_id").select("symbol_id", line.alias("report"))
 
 
+def symbol_report(locals_: DataFrame) -> DataFrame:
+    """A printable line a parameter or local, in the order of declaration."""
+    line = F.format_string("%5d %-9s %s %s%s", "line", "storage", "type.type_name", F.repeat(F.lit("*"), F.col("type.pointer_level")), "name")
+    return locals_.orderBy("symbol_id", "ordinal").select("symbol_id", line.alias("report"))
+
+
+def collection_report(collections: DataFrame) -> DataFrame:
+    line = F.format_string("%s: %s (%s) in %s", "name", "family", "declaration_macro", "declaration_file")
+    return collections.orderBy("name").select(line.alias("report"))
+
+
+def stamps() -> dict[str, Column]:
+    """The present time as reports and file names have it."""
+    now = F.current_timestamp()
+    return {"iso": F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "plain": F.date_format(now, "yyyy-MM-dd HH:mm:ss"), "file": F.date_format(now, "yyyyMMdd_HHmmss")}
+
+
 def save_lines(lines: DataFrame, path: str) -> None:
     lines.select(F.col(lines.columns[-1]).cast("string").alias("value")).write.mode("overwrite").text(path)
