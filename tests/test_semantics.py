@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewright.engine import Engine, Project
@@ -164,3 +165,158 @@ def test_incremental_ingest_equals_batch(spark, tmp_path):
     facts = extract.extract_facts(extract.prepared(mock_chunks(spark).filter("symbol_id is not null")))
     assert told == [0]
     assert {r.node_id for r in nodes.collect()} == {r.node_id for r in store.node_rows(facts).collect()}
+
+
+def test_working_set_cap_against_a_plain_walk(spark):
+    """The same edges as a queue would record, where the cap of nodes binds."""
+    import random
+
+    from tracewright.operators.traverse import QueryContext, working_set
+
+    rng = random.Random(2)
+    rows = sorted({(rng.randrange(30), rng.randrange(30), rng.choice("ab")) for _ in range(120)})
+    edges = spark.createDataFrame(rows, "src long, dst long, kind string")
+    for most in (1, 2, 7, 100):
+        visited, queue, want = {0}, [(0, 0)], []
+        while queue:
+            here, depth = queue.pop(0)
+            if depth >= 3:
+                continue
+            for src, dst, kind in (r for r in rows if r[0] == here):
+                want.append((src, dst, kind, depth))
+                if dst not in visited and len(visited) < most:
+                    visited.add(dst)
+                    queue.append((dst, depth + 1))
+        got = working_set(edges, 0, QueryContext(frozenset("ab"), 3, most)).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_full_branch_on_a_hub(spark):
+    """Of a node with more edges than reach the driver, the best five are taken, and the rest are told as left out."""
+    from tracewright.operators.traverse import full_branch
+
+    rows = [("a.c::hub", f"a.c::n{k}", f"e{k}", "DIRECT_CALL", k / 1000, True, k) for k in range(900)]
+    edges = spark.createDataFrame(rows, "src string, dst string, edge_id string, edge_type string, confidence double, is_deterministic boolean, seq long")
+    trace = full_branch(edges, "a.c::hub")
+    assert [e[2] for e in trace.edges] == ["e899", "e898", "e897", "e896", "e895"]
+    assert trace.stats["truncated_branches"] == 895
+
+
+def test_unknown_source_is_an_error(spark):
+    from tracewright.operators.graph import known_sources
+
+    symbols = spark.createDataFrame([("a",)], "symbol_id string")
+    assert known_sources(spark.createDataFrame([("a", "b")], "src string, dst string"), symbols).count() == 1
+    with pytest.raises(Exception, match="unknown source symbol: x"):
+        known_sources(spark.createDataFrame([("x", "b")], "src string, dst string"), symbols).collect()
+
+
+def test_another_dialect_and_own_rules(spark):
+    from dataclasses import replace
+
+    from tracewright.operators.extract import RULES, Rule, extract_facts, prepared
+    from tracewright.operators.frontend import TagRule, canonical_tags
+    from tracewright.plans import profiles
+    from tracewright.plans.kit import LINUX
+
+    code = "void f(int a)\n{\n\ttake(&a);\n\tgive(&a);\n}\n"
+    chunk = prepared(spark.createDataFrame([("func:x.c:f", "x.c", 1, code)], "symbol_id string, file string, start_line int, code string"))
+    other = replace(LINUX, name="other", acquire={"take": False}, release={"give": False})
+    assert [r.fact_type for r in extract_facts(chunk, dialect=other).filter("domain = 'Synchronization'").orderBy("line").collect()] == ["LockAcquire", "LockRelease"]
+    # a rule of one's own takes its place among the others
+    lines = Rule(9, lambda _: F.array(F.struct(F.lit(0).alias("line"), F.lit("whole").alias("g1"), F.lit("").alias("g2"))), lambda _: {"semantic_id": F.lit("own:1"), "domain": F.lit("State"), "name": F.col("g1")})
+    assert [(r.name, r.line) for r in extract_facts(chunk, rules=(*RULES, lines)).filter("domain = 'State'").collect()] == [("whole", 1)]
+    tags = spark.createDataFrame([("WRAP", "a.c", "macro", 3, "(inner)", 1)], "symbol string, file string, kind string, line int, signature string, seq long")
+    assert canonical_tags(tags).count() == 0
+    assert canonical_tags(tags, [TagRule("wrap", lambda: F.col("symbol") == "WRAP")]).first().symbol == "inner"
+    profiles.register("own", replace(profiles.GENERIC, name="own"))
+    assert profiles.get("own").name == "own"
+    with pytest.raises(KeyError, match="no profile"):
+        profiles.get("none")
+
+
+def test_streaming_upserts_across_batches(spark, tmp_path):
+    """A function that is compiled again replaces its rows; a batch that is replayed changes nothing."""
+    from tracewright.streaming.ingest import read_table, upsert_batch
+
+    def batch(*codes):
+        return spark.createDataFrame([(f"func:a.c:f{k}", f"f{k}", "a.c", 1, c) for k, c in codes], "symbol_id string, symbol string, file string, start_line int, code string")
+
+    out = str(tmp_path / "store")
+    body = "void f{0}(struct q *q)\n{{\nspin_lock(&q->l);\nq->a = 1;\nspin_unlock(&q->l);\n}}\n"
+    upsert_batch(batch((1, body.format(1)), (2, body.format(2))), 0, out)
+    first = {n: read_table(spark, out, n).count() for n in ("nodes", "edges", "symbols")}
+    assert upsert_batch(batch((1, body.format(1))), 0, out) == {}
+    upsert_batch(batch((2, body.format(2)), (3, body.format(3).replace("q->a", "q->b"))), 1, out)
+    assert read_table(spark, out, "symbols").count() == 3
+    nodes = read_table(spark, out, "nodes")
+    assert nodes.count() == nodes.select("node_id").distinct().count() > first["nodes"] - 1
+    assert {r.name for r in read_table(spark, out, "facts").filter("domain = 'Synchronization'").collect()} == {"spin_lock", "spin_unlock"}
+
+
+def test_workspace_store_and_reports(spark, tmp_path):
+    from tracewright.operators import frontend, store
+    from tracewright.sources import readers, writers
+    from tracewright.sources.storage import Store
+
+    at = Store(spark, (tmp_path / "w").as_uri())
+    assert not at.exists() and at.names() == []
+    at.make()
+    at.write("x.json", "é")
+    at.write("x.json", "{}")
+    assert (at.read("x.json"), at.size("x.json"), at.names()) == ("{}", 2, ["x.json"])
+    (tmp_path / "src" / "drivers" / "a").mkdir(parents=True)
+    (tmp_path / "src" / "drivers" / "a" / "x.c").write_text("int x;")
+    (tmp_path / "src" / "drivers" / "a" / "x.txt").write_text("no")
+    (tmp_path / "src" / "include").mkdir()
+    (tmp_path / "src" / "include" / "y.h").write_text("int y;")
+    root = str(tmp_path / "src")
+    assert sorted(map(tuple, readers.read_sources(spark, root).collect())) == [("drivers/a/x.c", "int x;"), ("include/y.h", "int y;")]
+    assert [tuple(r) for r in readers.read_listed(spark, root, ("include/y.h", "none.c")).collect()] == [("include/y.h", "int y;")]
+    spark.range(30).write.parquet(f"{root}/t.parquet")
+    told = readers.describe_store(spark, root).first()
+    assert (told.name, told.columns, told.rows) == ("t", "id", 30) and told.bytes > 0
+    assert readers.sample_rows(spark.range(30), "id").count() == 25
+    chunks = spark.createDataFrame([("a.c", "f", "int f;")], "file string, symbol string, code string")
+    writers.write_chunks(chunks, f"{root}/c.jsonl")
+    assert readers.read_chunks(spark, f"{root}/c.jsonl").first().symbol_id == "func:a.c:f"
+    writers.save_lines(chunks.select("code"), f"{root}/lines")
+    assert spark.read.text(f"{root}/lines").first().value == "int f;"
+    made = store.report({"a": 10}, {"a": 1 << 20}, {"a": 0.0}, version=1)
+    assert made["megabytes"] == {"a": 1.0} and made["phases"]["a"]["rows_a_second"] == 10_000.0 and made["version"] == 1
+    stamp = spark.range(1).select(*[c.alias(n) for n, c in writers.stamps().items()]).first()
+    assert len(stamp.plain) == 19 and len(stamp.file) == 15 and stamp.iso[10] == "T"
+    untidy = spark.createDataFrame([("a", "x \n\ty\n  ")], "file string, text string")
+    assert frontend.line_audit(frontend.tidy(untidy)).count() == 0
+
+
+def test_query_loop_and_cache(spark, tmp_path):
+    from tracewright.engine import Engine, Project
+
+    rows = [("a.c::f", "b.c::g", "e", "DIRECT_CALL", 1.0, True, 1)]
+    edges = spark.createDataFrame(rows, "src string, dst string, edge_id string, edge_type string, confidence double, is_deterministic boolean, seq long")
+    engine = Engine(spark)
+    got = list(engine.answer(edges, iter(["2-how", "", "5-a.c f", "5-alone", "exit", "2-after"]), lambda _: "a.c::f"))
+    assert [t for t, _ in got] == ["2-how", "5-a.c f", "5-alone"]
+    assert [n for n, _ in got[0][1].nodes] == ["a.c::f", "b.c::g"] and len(got[1][1].edges) == 1 and "ValueError" in got[2][1]
+    project = Project("p", str(tmp_path), str(tmp_path / "w"))
+    assert engine.cached(project) is None
+    told = []
+    result = engine.compile(project, "mock", on_event=lambda kind, what: told.append((kind, what)))
+    assert result.success and set(result.phases) >= {"facts", "nodes", "edges"} and result.as_dict()["timing"]["phases"]
+    assert told[0][0] == "started" and told[-1][0] == "finished" and ("phase", {"name": "edges"}) in told
+    assert engine.cached(project) is not None
+    assert engine.cached(project, "sched") is None and engine.cached(project, enabled=False) is None
+
+
+def test_prompt_has_its_parts(spark):
+    from tracewright.operators import retrieve
+
+    names = spark.createDataFrame([("a", "fa"), ("b", "fb"), ("i", "k:op")], "symbol_id string, name string")
+    walk = spark.createDataFrame([(1, 0, "a", "b", "process_context")], "query int, place long, src string, dst string, context string")
+    edges = spark.createDataFrame([("i", "b", "FUNCTION_POINTER_DISPATCH", 3), ("a", "b", "DIRECT_CALL", 1)], "src string, dst string, edge_type string, seq long")
+    asked = spark.createDataFrame([(1, "how?", "kernel/sched"), (2, "no trace", "mm")], "query int, question string, subsystem string")
+    code = spark.createDataFrame([(1, "FILE: a.c")], "query int, prompt string")
+    made = {r.query: r.prompt for r in retrieve.prompts(asked, retrieve.runtime_lines(walk, names), retrieve.dispatch_lines(edges, names), code, "do so").collect()}
+    assert made[1] == "QUESTION:\nhow?\n\nSUBSYSTEM:\nkernel/sched\n\nRUNTIME EXECUTION FLOW:\n[PROCESS_CONTEXT] fa  -> fb\n\nSEMANTIC DISPATCH FLOW:\n[DISPATCH] k:op -> fb\n\nRELEVANT KERNEL CODE:\nFILE: a.c\n\nInstructions:\ndo so"
+    assert "RUNTIME EXECUTION FLOW:\n\n\nSEMANTIC" in made[2]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +32,24 @@ def parse_tags(lines: DataFrame) -> DataFrame:
     return rows.select("seq", F.col("b")[0].alias("symbol"), F.col("b")[1].alias("file"), F.col("b")[2].alias("pattern"), "kind", "line", F.col("extensions")["signature"].alias("signature"), F.col("extensions")["typeref"].alias("typeref"), F.map_filter("extensions", lambda k, _: ~k.isin("line", "kind", "signature", "typeref")).alias("extensions"))
 
 
-def canonical_tags(tags: DataFrame) -> DataFrame:
-    """Functions and variables outside of noise paths; wrapper macros take their signature's name."""
+@dataclass(frozen=True)
+class TagRule:
+    """Which tags are wrappers around a definition that their signature names."""
+
+    name: str
+    applies: Callable[[], Column]
+
+
+ACPI = TagRule("acpi", lambda: F.col("symbol").isin(*kit.WRAPPERS_ACPI))
+BPF = TagRule("bpf", lambda: reduce(Column.__or__, (F.col("symbol").startswith(p) for p in kit.WRAPPERS_BPF)))
+MODULE = TagRule("module", lambda: F.col("symbol").isin(*kit.WRAPPERS_MODULE))
+TAG_RULES = (ACPI, BPF, MODULE)
+
+
+def canonical_tags(tags: DataFrame, rules: Sequence[TagRule] = TAG_RULES) -> DataFrame:
+    """Functions and variables outside of noise paths; wrappers, by any of the rules, take their signature's name."""
     bare = F.trim(F.regexp_replace(F.coalesce("signature", F.lit("")), r"^[()]+|[()]+$", ""))
-    wrapped = F.col("symbol").isin(*kit.WRAPPERS_ACPI, *kit.WRAPPERS_MODULE)
-    for prefix in kit.WRAPPERS_BPF:
-        wrapped = wrapped | F.col("symbol").startswith(prefix)
-    real = wrapped & (bare != "")
+    real = reduce(Column.__or__, (r.applies() for r in rules), F.lit(False)) & (bare != "")
     kinds = F.when(F.col("kind").isin("function", "f") | real, "function").when(F.col("kind").isin("variable", "v"), "variable")
     rows = tags.filter(~is_noise(F.col("file"))).withColumn("is_wrapper", real).withColumn("symbol_type", kinds)
     return rows.filter("symbol_type is not null").withColumn("symbol", F.when(real, bare).otherwise(F.col("symbol")))
@@ -188,6 +203,12 @@ def line_audit(sources: DataFrame) -> DataFrame:
     return rows.select("file", (F.col("at") + 1).alias("line"), problem.alias("problem")).filter("problem is not null")
 
 
+def tidy(sources: DataFrame) -> DataFrame:
+    """The text that line_audit() has nothing to say of: no blanks at the ends of lines, and no tabs."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.replace(F.rtrim(F.regexp_replace(x, r"[ \t]+$", "")), F.lit("\t"), F.lit("        ")))
+    return sources.select("file", F.array_join(lines, "\n").alias("text"))
+
+
 def definitions(names: DataFrame, sources: DataFrame) -> DataFrame:
     """Function definitions of the names (column name) in sources, with their code: a line that has the
     name before a parenthesis, does not end in a semicolon, and is not indented."""

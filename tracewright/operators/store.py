@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,9 +85,31 @@ def write_table(df: DataFrame, path: str, sort_by: str | None = None) -> None:
     (df.sortWithinPartitions(sort_by) if sort_by else df).write.mode("overwrite").parquet(path)
 
 
-def manifest(tables: dict[str, DataFrame], path: str | None = None, **facts: object) -> dict[str, object]:
-    """Row counts of the tables, zeros as zeros, with the given facts; written as JSON when a path is given."""
-    out: dict[str, object] = {**facts, "rows": {name: df.count() for name, df in tables.items()}}
-    if path:
-        Path(path).write_text(json.dumps(out, indent=2, sort_keys=True, default=str))
-    return out
+def megabytes(size: int | float) -> float:
+    return round(size / 1048576, 3)
+
+
+def rate(rows: int, seconds: float) -> float:
+    """Rows a second; a run of no time counts as a millisecond."""
+    return round(rows / max(seconds, 0.001), 1)
+
+
+def report(rows: dict[str, int], sizes: dict[str, int], seconds: dict[str, float], **facts: object) -> dict[str, object]:
+    """A run's manifest: rows, MB and seconds of each part, their sums, and the given facts."""
+    total = sum(seconds.values())
+    return {
+        **facts,
+        "rows": rows,
+        "megabytes": {name: megabytes(n) for name, n in sizes.items()},
+        "phases": {name: {"seconds": round(s, 3), "share": round(s / max(total, 0.001), 4), "rows_a_second": rate(rows.get(name, 0), s)} for name, s in seconds.items()},
+        "total_rows": sum(rows.values()),
+        "total_megabytes": megabytes(sum(sizes.values())),
+        "seconds": round(total, 3),
+    }
+
+
+def merge_upsert(stored: DataFrame | None, fresh: DataFrame, keys: list[str], batch: int) -> DataFrame:
+    """stored and fresh rows with one row a key, that of the latest batch; a batch that is replayed changes nothing."""
+    fresh = fresh.withColumn("batch", F.lit(batch).cast("long"))
+    every = fresh if stored is None else stored.unionByName(fresh)
+    return last_wins(every, keys, ["batch"]).select(*fresh.columns)

@@ -113,3 +113,15 @@ def detect(query: str) -> str | None:
     """The profile's key for a query, by substrings in fixed order; none for no keyword."""
     q = query.lower()
     return "generic" if q.startswith("5-") else next((key for key, words in PROFILE_KEYWORDS if any(w in q for w in words)), None)
+
+
+def register(key: str, profile: Profile) -> None:
+    """Make a profile known by a key, in place of one of that key."""
+    PROFILES[key] = profile
+
+
+def get(key: str) -> Profile:
+    """The profile of a key; an unknown one is an error that names those known."""
+    if key not in PROFILES:
+        raise KeyError(f"no profile {key!r}; known are {sorted(PROFILES)}")
+    return PROFILES[key]

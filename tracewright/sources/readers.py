@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import subprocess
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import Store
+
 CHUNK_FIELDS = "schema_version int, symbol string, symbol_type string, symbol_id string, ctags_kind string, file string, start_line int, end_line int, code string, content string, source string"
 
 
@@ -48,7 +49,8 @@ def read_sources(spark: SparkSession, root: str, folders: tuple[str, ...] = ("dr
 
 def read_listed(spark: SparkSession, root: str, files: tuple[str, ...]) -> DataFrame:
     """Only the listed files; missing ones are skipped."""
-    there = [f"{root}/{f}" for f in files if Path(root, f).exists()]
+    store = Store(spark, root)
+    there = [f"{root}/{f}" for f in files if store.exists(f)]
     if not there:
         return spark.createDataFrame([], "file string, text string")
     rows = spark.read.option("wholetext", True).text(there)
@@ -61,14 +63,23 @@ def mock_chunks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, None, None, "mock/globals.c", 1, "LIST_HEAD(mock_list);"), (1, "func:mock/work.c:mock_work", "mock_work", "mock/work.c", 1, code)], "seq long, symbol_id string, symbol string, file string, start_line int, code string")
 
 
+def table_names(spark: SparkSession, root: str) -> list[str]:
+    """Parquet tables below a folder."""
+    return [n for n in Store(spark, root).names() if n.endswith(".parquet")]
+
+
 def describe_store(spark: SparkSession, root: str) -> DataFrame:
-    """Tables below a folder, their columns and rows."""
-    rows = []
-    for p in sorted(Path(root).iterdir()):
-        if p.is_dir() or p.suffix == ".parquet":
-            df = spark.read.parquet(str(p))
-            rows.append((p.stem, ", ".join(df.columns), df.count()))
-    return spark.createDataFrame(rows, "name string, columns string, rows long")
+    """Tables below a folder: columns, rows, and bytes stored."""
+    store, rows = Store(spark, root), []
+    for name in table_names(spark, root):
+        df = spark.read.parquet(f"{root}/{name}")
+        rows.append((name.removesuffix(".parquet"), ", ".join(df.columns), df.count(), store.size(name)))
+    return spark.createDataFrame(rows, "name string, columns string, rows long, bytes long")
+
+
+def sample_rows(table: DataFrame, order: str, most: int = 25) -> DataFrame:
+    """The first rows of a registry."""
+    return table.orderBy(order).limit(most)
 
 
 def commit_of(root: str) -> str:
