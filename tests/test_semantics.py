@@ -113,7 +113,7 @@ def test_traces(spark):
     full = traverse.full_branch(edges, "a::s")
     assert {n for n, _ in full.nodes} == {"a::s", "a::t", "a::d", "a::e", "a::x", "a::m"}
     assert traverse.full_branch(edges, "a::s", max_nodes=3).stats["hit_node_limit"]
-    assert traverse.descent(edges, "a::t").annotations == [("a::t", "MACRO_ALIAS")]
+    assert traverse.descent(edges, "a::t").annotations == [("a::t", "a::m", "MACRO_ALIAS")]
 
 
 def test_working_set_filters_kinds(spark):
@@ -138,10 +138,10 @@ def test_last_and_first_wins(spark):
 def test_engine_end_to_end(spark, tmp_path):
     engine, project = Engine(spark), Project("p", str(tmp_path), str(tmp_path / "w"))
     events: list[str] = []
-    result = engine.compile(project, "mock", on_event=events.append)
+    result = engine.compile(project, "mock", on_event=lambda kind, _: events.append(kind))
     assert result.success, result.diagnostics
-    assert (result.rows["collections"], events) == (1, ["started", "finished"])
-    assert Project.load(project.workspace) == project
+    assert (result.rows["collections"], events[0], events[-1]) == (1, "started", "finished")
+    assert Project.load(spark, project.workspace) == project
     with engine.session(project) as session:
         assert session.query_symbol("touch").count() == 0  # swallowed by the loop's greedy arguments
         assert session.query_symbol("spin").count() == 1
