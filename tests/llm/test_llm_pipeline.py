@@ -84,3 +84,38 @@ def test_repeated_rows_and_ids_keep_one_copy(spark):
     assert order((r.doc_id, r.text) for r in kept.collect()) == order([(i, prose[k]) for i, k in want] + [(None, None), (7, ""), (7, "")])
     read = corpus_pipeline.repeated_passages(spark, kept, DATA).collect()
     assert order((r.doc_id, r.text) for r in read if r.text) == order((i, prose[k]) for i, k in want)
+
+
+def test_stages_on_awkward_and_empty_tables(spark, tables, empty_tables):
+    """Nulls, empties, repeats and clashing columns pass every stage, and no text is lost but by a stage's rule."""
+    for folder in (tables[0], empty_tables):
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        columns = docs.columns
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = corpus_pipeline.Scratch.path(spark, "test", "awkward")
+            stage(spark, docs, folder).write.parquet(path)
+            out = spark.read.parquet(path)
+            had, left = ([(r.doc_id, r.text) for r in x.select("doc_id", "text").collect()] if k < 4 or x is docs else x.collect() for x in (docs, out))
+            if folder == empty_tables:
+                assert left == []
+            elif k == 4:
+                assert sorted((r.doc_id is None, r.doc_id or 0) for r in left) == sorted((i is None, i or 0) for i, _ in had)
+            else:
+                assert out.columns == columns
+            if k in (0, 1):
+                assert set(left) <= set(had)
+            if k == 1 and folder == tables[0]:
+                sets = {t: frozenset(s.tolist()) for t, s in zip((t for _, t in had), shingle_sets([(t or "").encode() for _, t in had]), strict=True)}
+                near = lambda a, b: a and b and 100 * len(a & b) >= 85 * len(a | b)
+                parent = list(range(len(had)))
+                for i, (_, a) in enumerate(had):
+                    for j in range(i):
+                        if near(sets[a], sets[had[j][1]]):
+                            old, new = parent[i], parent[j]
+                            parent = [new if p == old else p for p in parent]
+                groups: dict[int, list[tuple]] = {}
+                for p, row in zip(parent, had, strict=True):
+                    groups.setdefault(p, []).append(row)
+                first = [min((i is None, i or 0) for i, _ in own) for own in groups.values()]
+                assert sorted((i is None, i or 0) for i, _ in left) == sorted(first)
+            docs = out
