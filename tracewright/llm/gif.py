@@ -365,7 +365,7 @@ def text_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t or b"" for t in pc.cast(batch.column("text"), pa.binary()).to_pylist()]
         rows = []
-        for i, j in chunks([len(t) for t in texts]):
+        for i, j in chunks([len(t) for t in texts], 1 << 20):
             media = [encode_gif(padded(t)) for t in texts[i:j]]
             coded = [list(coded_frames(m)) for m in media]
             samples = iter(lzw_decode([f.stream for frames in coded for f in frames]))

@@ -50,7 +50,7 @@ class PrefixHash:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
-def chunks(sizes, limit: int = 1 << 20):
+def chunks(sizes, limit: int = 1 << 18):
     """Ranges (i, j) of consecutive items whose sizes sum to at most limit, or hold one item."""
     i, total = 0, 0
     for j, n in enumerate(sizes):

@@ -33,7 +33,8 @@ from .suffixes import repeated
 
 LENGTH, KGRAM = 200, 64
 BLOCKS, GROUP = (32, 8), 256
-PIECE = 1 << 20
+#: Texts are hashed in pieces of so many bytes; the arrays over a piece take some 150 times as much.
+PIECE = 1 << 18
 _U = np.uint64
 _NONE = np.iinfo(np.uint64).max
 
