@@ -320,3 +320,13 @@ def test_prompt_has_its_parts(spark):
     made = {r.query: r.prompt for r in retrieve.prompts(asked, retrieve.runtime_lines(walk, names), retrieve.dispatch_lines(edges, names), code, "do so").collect()}
     assert made[1] == "QUESTION:\nhow?\n\nSUBSYSTEM:\nkernel/sched\n\nRUNTIME EXECUTION FLOW:\n[PROCESS_CONTEXT] fa  -> fb\n\nSEMANTIC DISPATCH FLOW:\n[DISPATCH] k:op -> fb\n\nRELEVANT KERNEL CODE:\nFILE: a.c\n\nInstructions:\ndo so"
     assert "RUNTIME EXECUTION FLOW:\n\n\nSEMANTIC" in made[2]
+
+
+def test_provider_tables_of_one_long_file(spark):
+    tables = 12_000
+    text = "} int f(void) { if (a) { } }\n" + "".join(f"static const struct sched_class c{k} = {{ .opts = {{ .pick_task = p{k} }}, /* }} */ .yield_task = y{k}, }};\n" for k in range(tables)) + "DEFINE_SCHED_CLASS(last) = { .pick_task = x };\nstruct sched_class never = { .pick_task = no, .in = { .yield_task = no },"
+    rows = frontend.provider_tables(spark.createDataFrame([("kernel/sched/rt.c", text)], "file string, text string"), SCHED).orderBy("seq").collect()
+    assert len(rows) == 2 * tables + 1
+    # the macro's pattern is numbered before the struct's
+    assert [(r.provider, r.op, r.func) for r in rows[:3]] == [("last_sched_class", "pick_task", "x"), ("c0", "pick_task", "p0"), ("c0", "yield_task", "y0")]
+    assert rows[-1].func == f"y{tables - 1}" and len({r.seq for r in rows}) == len(rows)

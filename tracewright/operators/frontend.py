@@ -147,53 +147,59 @@ def macro_aliases(sources: DataFrame) -> DataFrame:
     return sources.select(F.col("file").alias("file_path"), F.posexplode(pairs).alias("place", "m")).select(F.col("m.a").alias("alias"), F.col("m.t").alias("target"), "file_path", "place")
 
 
-def brace_block(text: Column) -> Column:
-    """text up to the brace that closes its first open one; nothing if none does. Read a closing brace at a time."""
-    pieces = F.split(text, "\\}", -1)
-    zero = F.struct(F.lit(0).alias("depth"), F.lit("").alias("block"), F.lit(False).alias("done"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        depth = acc["depth"] + count_of(piece, "{") - 1
-        return F.when(acc["done"], acc).otherwise(F.struct(depth.alias("depth"), F.concat(acc["block"], piece, F.lit("}")).alias("block"), (depth == 0).alias("done")))
-
-    # what follows the last closing brace closes nothing
-    closed = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), zero, step)
-    return F.when(closed["done"], closed["block"]).otherwise("")
-
-
-_HEAD, _NAMED = "\u0003", "\u0004"
+def _nesting(pieces: DataFrame) -> DataFrame:
+    """pieces (row, i, piece), cut before each brace, with opens and the depth after the brace. Braces that never
+    close and those that close nothing count for nothing. One sort from each end of a text, whatever its length."""
+    text = Window.partitionBy("row")
+    along, back = text.orderBy("i").rowsBetween(Window.unboundedPreceding, 0), text.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    brace = F.substring("piece", 1, 1)
+    rows = pieces.withColumn("delta", F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0))
+    rows = rows.withColumn("sum", F.sum("delta").over(along))
+    rows = rows.withColumn("floor", F.least(F.lit(0), F.min("sum").over(along))).withColumn("later", F.min("sum").over(back))
+    idle = (F.col("sum") < F.lag("floor", 1, 0).over(text.orderBy("i"))) | ((F.col("delta") == 1) & (F.col("later") >= F.col("sum")))
+    rows = rows.withColumn("delta", F.when(idle, 0).otherwise(F.col("delta")))
+    return rows.select("row", "i", "piece", (F.col("delta") == 1).alias("opens"), F.sum("delta").over(along).alias("depth"))
 
 
 def provider_tables(sources: DataFrame, profile) -> DataFrame:
     """Initialised operation tables of a profile's files: seq, kind, provider, file, op, func.
 
     A table is a head, by macro or by struct type, and the brace block after it, nested braces
-    included. seq numbers slots by file, pattern and place.
+    included. seq numbers slots by file, pattern and place. A text is cut before each brace, and a
+    slot's tables are the last openers of each depth before it, so no text is read once a table.
     """
     place = F.array_position(F.array(*(F.lit(x) for x in profile.provider_files)), F.col("file"))
     rows = sources.filter(F.col("file").isin(*profile.provider_files)).select("file", place.cast("long").alias("at"), strip_comments(F.col("text")).alias("text"))
     heads = []
     for p in profile.providers:
         if p.macro:
-            heads.append((p, rf"{p.macro}\((\w+)\)\s*=\s*\{{", p.suffix))
+            heads.append((p, rf"{p.macro}\((\w+)\)\s*=\s*\z", p.suffix))
         if p.struct:
-            heads.append((p, rf"(?:static\s+)?(?:const\s+)?struct\s+{p.struct}\s+(\w+)\s*=\s*\{{", ""))
-    out = None
-    for n, (p, head, suffix) in enumerate(heads):
-        marked = F.split(F.regexp_replace("text", head, f"{_HEAD}$1{_NAMED}{{"), _HEAD, -1)
-        tables = rows.withColumn("parts", marked).select("file", "at", "parts", F.posexplode(F.slice("parts", 2, 1 << 30)).alias("nth", "own"))
-        # from this head's brace to the end of the file: a block may be longer than the way to the next head
-        rest = F.array_join(F.slice("parts", F.col("nth") + 2, 1 << 30), "")
-        block = brace_block(F.substring(rest, F.length(F.substring_index("own", _NAMED, 1)) + 2, F.length(rest)))
-        tables = tables.select("file", "at", "nth", F.concat(F.substring_index("own", _NAMED, 1), F.lit(suffix)).alias("provider"), block.alias("block"))
-        pair = r"\.(\w+)\s*=\s*(\w+)"
-        slots = F.arrays_zip(F.regexp_extract_all("block", F.lit(pair), F.lit(1)).alias("op"), F.regexp_extract_all("block", F.lit(pair), F.lit(2)).alias("func"))
-        seq = F.col("at") * (1 << 48) + F.lit(n) * (1 << 40) + F.col("nth") * (1 << 16) + F.col("slot")
-        part = tables.select("file", "at", "nth", "provider", F.posexplode(slots).alias("slot", "s")).select(seq.alias("seq"), F.lit(p.kind).alias("kind"), "provider", "file", "s.op", "s.func").filter(F.col("op").isin(*profile.operations))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+            heads.append((p, rf"(?:static\s+)?(?:const\s+)?struct\s+{p.struct}\s+(\w+)\s*=\s*\z", ""))
+    if not heads:
         return sources.sparkSession.createDataFrame([], "seq long, kind string, provider string, file string, op string, func string")
-    return out.groupBy("kind", "provider", "file", "op", "func").agg(F.min("seq").alias("seq")).select("seq", "kind", "provider", "file", "op", "func")
+    # equal texts of a file have equal tables, so each is read once
+    rows = rows.withColumn("row", F.sha2(F.concat_ws("|", "file", "text"), 256)).groupBy("row", "file", "at").agg(F.first("text").alias("text"))
+    texts = rows.select("row", "file", "at")
+    pieces = rows.select("row", F.posexplode(F.split("text", r"(?=[{}])", -1)).alias("i", "piece"))
+    pair = r"\.(\w+)\s*=\s*(\w+)"
+    slots = F.arrays_zip(F.regexp_extract_all("piece", F.lit(pair), F.lit(1)).alias("op"), F.regexp_extract_all("piece", F.lit(pair), F.lit(2)).alias("func"))
+    order = Window.partitionBy("row").orderBy("i")
+    laid = _nesting(pieces).select("row", "i", "opens", "depth", slots.alias("slots"), *(F.nullif(F.regexp_extract("piece", head, 1), F.lit("")).alias(f"head{n}") for n, (_, head, _) in enumerate(heads)))
+    nth = [F.count(f"head{n}").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1 for n in range(len(heads))]
+    found = [F.when(F.col(f"head{n}").isNotNull(), F.struct(F.lit(n).alias("n"), nth[n].alias("nth"), F.lit(p.kind).alias("kind"), F.concat(f"head{n}", F.lit(suffix)).alias("provider"))) for n, (p, _, suffix) in enumerate(heads)]
+    # a head ends the piece before its brace
+    laid = laid.withColumn("heads", F.filter(F.array(*found), lambda x: x.isNotNull()))
+    laid = laid.withColumn("own", F.when(F.col("opens"), F.lag("heads").over(order)))
+    levels = F.when(F.size("slots") > 0, F.sequence(F.lit(1).cast("long"), "depth")).when(F.col("opens"), F.array("depth"))
+    levels = laid.filter((F.col("depth") > 0) & (F.col("opens") | (F.size("slots") > 0))).select("row", "i", "opens", "depth", "own", "slots", F.explode(levels).alias("level"))
+    since = Window.partitionBy("row", "level").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    opener = F.last(F.when(F.col("opens") & (F.col("depth") == F.col("level")), F.struct("i", "own")), ignorenulls=True).over(since)
+    inside = levels.withColumn("opener", opener).select("row", "i", F.explode("opener.own").alias("head"), "slots").select("row", "i", "head.*", F.posexplode("slots").alias("place", "s"))
+    slot = F.row_number().over(Window.partitionBy("row", "n", "nth").orderBy("i", "place")) - 1
+    seq = F.col("at") * (1 << 48) + F.col("n") * (1 << 40) + F.col("nth") * (1 << 16) + F.col("slot")
+    out = inside.withColumn("slot", slot).filter(F.col("s.op").isin(*profile.operations)).join(texts, "row")
+    return out.select(seq.alias("seq"), "kind", "provider", "file", "s.op", "s.func").groupBy("kind", "provider", "file", "op", "func").agg(F.min("seq").alias("seq")).select("seq", "kind", "provider", "file", "op", "func")
 
 
 def line_audit(sources: DataFrame) -> DataFrame:
