@@ -330,3 +330,17 @@ def test_provider_tables_of_one_long_file(spark):
     # the macro's pattern is numbered before the struct's
     assert [(r.provider, r.op, r.func) for r in rows[:3]] == [("last_sched_class", "pick_task", "x"), ("c0", "pick_task", "p0"), ("c0", "yield_task", "y0")]
     assert rows[-1].func == f"y{tables - 1}" and len({r.seq for r in rows}) == len(rows)
+
+
+def test_bodies_across_rows_and_blocks(spark):
+    body = lambda k, n: f"void f{k}(void)\n{{\n\tif (a) {{ b(); }} else {{\n" + "\tx;\n" * n + "\t}\n}"
+    pieces = [body(k, 700 * (k % 3)) for k in range(9)] + ["void open(void)\n{\n" + "y;\n" * 2000 + "z;"]
+    starts = [1 + sum(p.count("\n") + 1 for p in pieces[:k]) for k in range(len(pieces))]
+    symbols = spark.createDataFrame([*((f"f{k}", "function", "a.c", starts[k]) for k in range(9)), ("open", "function", "a.c", starts[9])], "symbol string, symbol_type string, file string, line int")
+    in_rows = spark.createDataFrame([("a.c", n, p) for n, p in zip(starts, pieces)], "file string, first_line int, text string")
+    in_one = spark.createDataFrame([("a.c", "\n".join(pieces))], "file string, text string")
+    for sources in (in_rows, in_one):
+        rows = {r.symbol: r for r in frontend.bodies(symbols.union(symbols.filter("symbol = 'f1'")), sources).collect()}
+        assert {s: r.code for s, r in rows.items()} == {**{f"f{k}": pieces[k] for k in range(9)}, "open": pieces[9]}
+        assert all(rows[f"f{k}"].end_line == starts[k + 1] - 1 for k in range(9)) and rows["open"].end_line == starts[9]
+    assert frontend.bodies(symbols.union(symbols.filter("symbol = 'f1'")), in_rows).filter("symbol = 'f1'").count() == 2

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_noise
@@ -71,40 +71,109 @@ def name_files(tags: DataFrame) -> DataFrame:
     return tags.groupBy("symbol").agg(F.sort_array(F.collect_list("file")).alias("files"))
 
 
-def _next_at(asked: DataFrame, marks: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
-    """asked with the first mark of its keys that is at or after ``at``: one pass over both, from the end."""
-    both = asked.withColumn("mark", F.lit(0)).withColumn("pos", F.col(at)).unionByName(marks.select(*keys, F.lit(1).alias("mark"), F.col("i").alias("pos")), allowMissingColumns=True)
-    back = Window.partitionBy(*keys).orderBy(F.desc("pos"), F.desc("mark")).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(name, F.min(F.when(F.col("mark") == 1, F.col("pos"))).over(back)).filter("mark = 0").drop("mark", "pos")
+#: Lines of a file that are cut in one row.
+BLOCK = 1024
 
 
-def _depths(sources: DataFrame) -> DataFrame:
-    """(file, i, depth, opens, closes, ends) of each line: the brace depth after it, summed once a file, and whether it has {, } or ;."""
-    lines = sources.select("file", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).withColumn("i", F.col("i") + 1)
-    depth = F.sum(count_of(F.col("line"), "{") - count_of(F.col("line"), "}")).over(Window.partitionBy("file").orderBy("i"))
-    return lines.select("file", "i", depth.alias("depth"), *(F.col("line").contains(c).alias(n) for c, n in (("{", "opens"), ("}", "closes"), (";", "ends"))))
+def _first(sources: DataFrame) -> Column:
+    """The line of its file that a source's text begins on."""
+    return F.col("first_line") if "first_line" in sources.columns else F.lit(1)
+
+
+def _lines(sources: DataFrame) -> DataFrame:
+    """(file, i, line, last) of the sources; last: the last line of its text."""
+    numbered = lambda x: F.transform(x, lambda line, at: F.struct((_first(sources) + at).alias("i"), line.alias("line"), (at + 1 == F.size(x)).alias("last")))
+    # made in the array, so that no row carries the text, which is split once
+    rows = F.flatten(F.transform(F.array(F.split("text", "\n", -1)), numbered))
+    return sources.select("file", F.explode(rows).alias("l")).select("file", "l.*")
+
+
+def _net() -> Column:
+    return count_of(F.col("line"), "{") - count_of(F.col("line"), "}")
+
+
+def _along() -> WindowSpec:
+    """A file's marks (1) and what is asked (0) in order; what is asked stands before its own line."""
+    return Window.partitionBy("file").orderBy("i", "mark").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _back(*keys: str) -> WindowSpec:
+    """The same from the end."""
+    return Window.partitionBy("file", *keys).orderBy(F.desc("i"), F.desc("mark")).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _marked(asked: DataFrame, marks: DataFrame) -> DataFrame:
+    """What is asked (by start) among the marks (file, i, net, ..), with the depth, before what is asked and after a mark,
+    and the file's last line."""
+    both = asked.withColumn("mark", F.lit(0)).withColumn("i", F.col("start")).unionByName(marks.withColumn("mark", F.lit(1)), allowMissingColumns=True)
+    both = both.withColumn("depth", F.coalesce(F.sum("net").over(_along()), F.lit(0)))
+    return both.withColumn("last", F.max(F.when(F.col("mark") == 1, F.col("i"))).over(_back()))
+
+
+def _blocks(sources: DataFrame) -> DataFrame:
+    """(file, block, at, lines): the files' lines, ``BLOCK`` a row, from the line at on."""
+
+    def dealt(x: Column) -> Column:
+        first = _first(sources)
+        last = first + F.size(x) - 1
+        block = lambda i: F.floor((i - 1) / BLOCK).cast("int")
+
+        def part(b: Column) -> Column:
+            at = F.greatest(first, b * BLOCK + 1)
+            return F.struct(b.alias("block"), at.alias("at"), F.slice(x, at - first + 1, F.least(last, (b + 1) * BLOCK) - at + 1).alias("lines"))
+
+        return F.transform(F.sequence(block(first), block(last)), part)
+
+    parts = F.flatten(F.transform(F.array(F.split("text", "\n", -1)), dealt))
+    rows = sources.select("file", F.explode(parts).alias("p")).select("file", "p.*").repartition("file", "block")
+    whole = rows.groupBy("file", "block").agg(F.sort_array(F.collect_list(F.struct("at", "lines"))).alias("parts"))
+    return whole.select("file", "block", F.col("parts")[0]["at"].alias("at"), F.flatten("parts.lines").alias("lines"))
 
 
 def _cut(asked: DataFrame, sources: DataFrame) -> DataFrame:
-    """Lines start to stop (null: to the file's end) of each symbol. A file's lines stand in one row, beside all that is asked of it."""
-    wanted = F.collect_list(F.struct("symbol", "symbol_type", "start", "stop"))
-    whole = asked.groupBy("file").agg(wanted.alias("asked")).join(sources.select("file", F.split("text", "\n", -1).alias("lines")), "file")
-    last = lambda s: F.coalesce(s["stop"], F.size("lines"))
-    cut = lambda s: F.array_join(F.slice("lines", s["start"], F.greatest(last(s) - s["start"] + 1, F.lit(0))), "\n")
-    return whole.select("file", F.explode(F.transform("asked", lambda s: F.struct(s.alias("s"), cut(s).alias("code")))).alias("r")).select("file", "r.s.*", "r.code")
+    """Lines start to stop (null: to the last) of each symbol, out of blocks of lines. What lies in one block is cut there;
+    the rest is cut in each of its blocks and joined."""
+    names = ["symbol", "symbol_type", "start", "stop"]
+    block = lambda i: F.floor((i - 1) / BLOCK).cast("int")
+    until = F.least("last", F.coalesce("stop", "last"))
+    asked = asked.filter(until >= F.col("start")).select("file", *names, until.alias("until"), block(F.col("start")).alias("block"), block(until).alias("to"))
+    blocks = _blocks(sources)
+
+    def cut(rows: DataFrame) -> DataFrame:
+        held = rows.groupBy("file", "block").agg(F.collect_list(F.struct(*names, "until", "times")).alias("asked")).join(blocks, ["file", "block"])
+
+        def own(s: Column) -> Column:
+            start = F.greatest(s["start"], F.col("at"))
+            length = F.least(s["until"], F.col("at") + F.size("lines") - 1) - start + 1
+            return F.struct(s.alias("s"), F.array_join(F.slice("lines", start - F.col("at") + 1, length), "\n").alias("code"))
+
+        return held.select("file", "block", F.explode(F.transform("asked", own)).alias("r")).select("file", "block", "r.s.*", "r.code")
+
+    inside = cut(asked.filter("block = to").withColumn("times", F.lit(1)))
+    across = asked.filter("block < to").groupBy("file", *names, "until", "block", "to").agg(F.count("*").cast("int").alias("times"))
+    parts = cut(across.withColumn("block", F.explode(F.sequence("block", "to"))))
+    code = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "code"))), lambda x: x["code"]), "\n")
+    joined = parts.groupBy("file", *names, "times").agg(code.alias("code")).withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+    return inside.select("file", *names, "code").unionByName(joined.select("file", *names, "code"))
 
 
 def function_blocks(symbols: DataFrame, sources: DataFrame) -> DataFrame:
     """The brace block from each function's line. It ends on the first closing line, from its first opening on,
-    where the depth is back. One that never is runs to the end of its file, and has no stop."""
-    laid = _depths(sources)
-    before = laid.select("file", (F.col("i") + 1).alias("start"), F.col("depth").alias("base"))
-    asked = symbols.join(before, ["file", "start"], "left").withColumn("base", F.coalesce("base", F.lit(0)))
-    asked = _next_at(asked, laid.filter("opens"), ["file"], "start", "opened")
-    levels = asked.select("file", "base").distinct()
-    closing = laid.filter("closes").join(levels, "file").filter("depth <= base").select("file", "base", "i")
-    asked = _next_at(asked, closing, ["file", "base"], "opened", "end")
-    return asked.withColumn("stop", F.when(F.col("opened").isNotNull(), F.col("end"))).drop("opened", "end", "base")
+    where the depth is back. One that never is runs to the end of its file, and has no stop.
+
+    If that is not the first closing line after the opening, it is the first later line that falls
+    through the depth, so each line stands for the depths that it falls through.
+    """
+    opens, closes = F.col("line").contains("{"), F.col("line").contains("}")
+    marks = _lines(sources).filter(opens | closes | F.col("last")).select("file", "i", _net().alias("net"), opens.alias("opens"), closes.alias("closes"))
+    both = _marked(symbols, marks).withColumn("closer", F.min(F.when(F.col("closes"), F.struct("i", "depth"))).over(_back()))
+    both = both.withColumn("opened", F.min(F.when(F.col("opens"), F.struct("i", "closer"))).over(_back()))
+    level = F.when(F.col("mark") == 0, F.array("depth")).when(F.col("net") < 0, F.sequence(F.col("depth"), F.col("depth") - F.col("net") - 1))
+    closer = F.col("opened.closer")
+    both = both.select(*symbols.columns, "mark", "last", "depth", closer.alias("closer"), F.when(F.col("mark") == 0, closer["i"]).otherwise(F.col("i")).alias("i"), F.explode(level).alias("level"))
+    asked = both.withColumn("end", F.min(F.when(F.col("mark") == 1, F.col("i"))).over(_back("level"))).filter("mark = 0")
+    stop = F.when(F.col("closer.depth") <= F.col("depth"), F.col("closer.i")).when(F.col("closer").isNotNull(), F.col("end"))
+    return asked.select(*symbols.columns, stop.alias("stop"), "last")
 
 
 def initializer_blocks(symbols: DataFrame, sources: DataFrame) -> DataFrame:
@@ -113,24 +182,24 @@ def initializer_blocks(symbols: DataFrame, sources: DataFrame) -> DataFrame:
     One that is balanced on its first line ends there if that has a semicolon, else on the first later
     line with balanced braces. A declaration without ``=`` is none, so such a symbol has no row.
     """
+    lines = _lines(sources)
     head = F.regexp_extract("line", r"struct\s+(.*)=", 1)
-    lines = sources.select("file", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("file", (F.col("i") + 1).alias("i"), F.explode(F.array_distinct(F.regexp_extract_all(head, F.lit(r"(\w+)"), F.lit(1)))).alias("symbol"))
-    first = lines.groupBy("file", "symbol").agg(F.min("i").alias("start"))
-    laid = _depths(sources)
-    at = laid.select("file", F.col("i").alias("start"), F.col("depth").alias("own"), F.col("ends").alias("ends_here"))
-    before = laid.select("file", (F.col("i") + 1).alias("start"), F.col("depth").alias("base"))
-    asked = symbols.drop("start").distinct().join(first, ["file", "symbol"]).join(at, ["file", "start"]).join(before, ["file", "start"], "left")
-    asked = asked.withColumn("base", F.coalesce("base", F.lit(0))).withColumn("after", F.col("start") + 1)
-    level = laid.select("file", F.col("depth").alias("base"), "i").join(asked.select("file", "base").distinct(), ["file", "base"], "left_semi")
-    asked = _next_at(asked, level, ["file", "base"], "after", "end")
-    here = (F.col("own") == F.col("base")) & F.col("ends_here")
-    return asked.withColumn("stop", F.when(here, F.col("start")).otherwise(F.col("end"))).drop("own", "ends_here", "base", "after", "end")
+    heads = lines.filter(F.col("line").contains("struct") & F.col("line").contains("=")).select("file", "i", F.explode(F.array_distinct(F.regexp_extract_all(head, F.lit(r"(\w+)"), F.lit(1)))).alias("symbol"))
+    first = heads.groupBy("file", "symbol").agg(F.min("i").alias("start"))
+    asked = symbols.drop("start").distinct().join(first, ["file", "symbol"]).select(*symbols.columns)
+    marks = lines.select("file", "i", _net().alias("net"), F.col("line").contains(";").alias("ends"))
+    both = _marked(asked, marks).withColumn("own", F.min(F.when(F.col("mark") == 1, F.struct("i", "net", "ends"))).over(_back()))
+    after = F.when(F.col("mark") == 0, F.col("start") + 1).otherwise(F.col("i"))
+    both = both.select(*symbols.columns, "mark", "last", "own", after.alias("i"), F.col("depth").alias("level"))
+    asked = both.withColumn("end", F.min(F.when(F.col("mark") == 1, F.col("i"))).over(_back("level"))).filter("mark = 0")
+    here = (F.col("own.net") == 0) & F.col("own.ends")
+    return asked.select(*symbols.columns, F.when(here, F.col("start")).otherwise(F.col("end")).alias("stop"), "last")
 
 
 def bodies(symbols: DataFrame, sources: DataFrame, variable_suffix: str = "_sched_class") -> DataFrame:
     """Code chunks of symbols (file, symbol, symbol_type, line) out of sources (file, text): functions by their
     line, variables, of the suffix only, by their initializer. What never ends is recorded as ending on its first line (a
-    function) or on none (a variable)."""
+    function) or on none (a variable). A file may come in several rows, each with its first_line, and is then never in one row."""
     wanted = symbols.select("file", "symbol", "symbol_type", F.col("line").alias("start"))
     functions = _cut(function_blocks(wanted.filter(F.col("symbol_type") == "function"), sources), sources)
     variables = _cut(initializer_blocks(wanted.filter((F.col("symbol_type") != "function") & F.col("symbol").endswith(variable_suffix)), sources), sources)
@@ -218,8 +287,7 @@ def tidy(sources: DataFrame) -> DataFrame:
 def definitions(names: DataFrame, sources: DataFrame) -> DataFrame:
     """Function definitions of the names (column name) in sources, with their code: a line that has the
     name before a parenthesis, does not end in a semicolon, and is not indented."""
-    lines = sources.select("file", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    heads = lines.filter(F.col("line").rlike(r"^[A-Za-z_].*\b\w+\s*\([^;]*$")).select("file", (F.col("at") + 1).alias("line"), F.regexp_extract("line", r"\b(\w+)\s*\(", 1).alias("symbol"))
+    heads = _lines(sources).filter(F.col("line").rlike(r"^[A-Za-z_].*\b\w+\s*\([^;]*$")).select("file", F.col("i").alias("line"), F.regexp_extract("line", r"\b(\w+)\s*\(", 1).alias("symbol"))
     found = heads.join(names.select(F.col("name").alias("symbol")).distinct(), "symbol", "left_semi").withColumn("symbol_type", F.lit("function"))
     return bodies(found, sources)
 

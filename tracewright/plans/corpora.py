@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import count_of
+
 #: Order of an order's items: (l_orderkey, l_linenumber) repeats, so the whole row is the key.
 ITEM_KEY = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
@@ -47,6 +49,18 @@ def functions(spark: SparkSession, sf_dir: str, style: str = "locks") -> DataFra
     return orders.select(F.col("l_orderkey").alias("seq"), F.concat(F.lit("func:"), file, F.lit(":"), symbol).alias("symbol_id"), symbol.alias("symbol"), file.alias("file"), (F.col("l_orderkey") % 1000 + 1).cast("int").alias("start_line"), code.alias("code"))
 
 
+def placed(functions: DataFrame) -> DataFrame:
+    """Where each function begins if its file has them all in order: seq, symbol, file, first_line."""
+    own = functions.select("seq", "symbol", "file", (count_of(F.col("code"), "\n") + 1).alias("lines"))
+    before = F.sum("lines").over(Window.partitionBy("file").orderBy("seq")) - F.col("lines")
+    return own.select("seq", "symbol", "file", (before + 1).cast("int").alias("first_line"))
+
+
+def whole_files(functions: DataFrame, placed: DataFrame) -> DataFrame:
+    """The files of the functions, a function a row: file, first_line, text. A file grows with the tables, and would not fit a row."""
+    return functions.select("seq", "file", F.col("code").alias("text")).join(placed.select("seq", "first_line"), "seq").drop("seq")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An edge per item: src (order), dst (part), kind, confidence, seq."""
     order = Window.partitionBy("l_orderkey").orderBy(*ITEM_KEY)
