@@ -344,3 +344,14 @@ def test_bodies_across_rows_and_blocks(spark):
         assert {s: r.code for s, r in rows.items()} == {**{f"f{k}": pieces[k] for k in range(9)}, "open": pieces[9]}
         assert all(rows[f"f{k}"].end_line == starts[k + 1] - 1 for k in range(9)) and rows["open"].end_line == starts[9]
     assert frontend.bodies(symbols.union(symbols.filter("symbol = 'f1'")), in_rows).filter("symbol = 'f1'").count() == 2
+
+
+def test_aliases_are_looked_up_once_a_file_and_name(spark, monkeypatch):
+    chunks = spark.createDataFrame([(k, f"f{k}", f"a/x{k % 2}.c" if k else None, "void f(void)\n{\nrd(a);\nother(b);\nrd(c);\n}") for k in range(40)], "seq long, symbol string, file string, code string")
+    aliases = spark.createDataFrame([(1, "rd", "first", "b/y.c"), (2, "rd", "near", "a/x1.c"), (3, "none", "z", "a/x1.c")], "seq long, alias string, target string, file_path string")
+    looked, best = [], graph.alias_best
+    monkeypatch.setattr(graph, "alias_best", lambda calls, *more: looked.append(calls.count()) or best(calls, *more))
+    rows = graph.resolved_calls(chunks, aliases).collect()
+    assert looked == [3]
+    assert {(r.file, r.callee, r.target) for r in rows} == {("a/x0.c", "rd", "near"), ("a/x1.c", "rd", "near"), (None, "rd", "first"), *((f, "f", "f") for f in ("a/x0.c", "a/x1.c", None)), *((f, "other", "other") for f in ("a/x0.c", "a/x1.c", None))}
+    assert len(rows) == 3 * 40

@@ -140,10 +140,16 @@ def typed_edges(rows: DataFrame, edge_type: str, source: str, deterministic: boo
 
 def resolved_calls(chunks: DataFrame, aliases: DataFrame) -> DataFrame:
     """Calls of chunks (seq, symbol, file, code), with the name that each stands for after macro aliases, in the order of the chunks."""
-    calls = code_calls(chunks).withColumn("call_id", F.concat_ws("|", "file", "symbol", "callee"))
-    calls = calls.groupBy("call_id", "symbol", "file", "callee").agg(F.min("seq").alias("seq"))
-    through = alias_best(calls, aliases, "call_id", "callee", "file").select("call_id", "target")
-    return calls.join(through, "call_id").filter(~F.col("target").isin(*kit.NON_EXECUTION))
+    calls = code_calls(chunks)
+    # an alias is looked up once a file and name, whatever the number of calls, and only names that are aliases
+    known = aliases.select(F.col("alias").alias("callee")).distinct()
+    asked = calls.join(known, "callee", "left_semi").select("callee", "file").distinct().withColumn("place", F.struct("file", "callee"))
+    through = alias_best(asked, aliases, "place", "callee", "file").select(F.col("place.file").alias("file"), "callee", "target")
+    # equal keys: a file may be unknown
+    at = (calls["callee"] == through["callee"]) & calls["file"].eqNullSafe(through["file"])
+    named = calls.join(through, at, "left").select(calls["seq"], calls["symbol"], calls["file"], calls["callee"], F.coalesce(through["target"], calls["callee"]).alias("target"))
+    named = named.groupBy("symbol", "file", "callee", "target").agg(F.min("seq").alias("seq"))
+    return named.withColumn("call_id", F.concat_ws("|", "file", "symbol", "callee")).filter(~F.col("target").isin(*kit.NON_EXECUTION))
 
 
 def unresolved_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
