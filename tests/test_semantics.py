@@ -12,6 +12,7 @@ from tracewright.operators import extract, frontend, graph, relate, store, trave
 from tracewright.plans import kit
 from tracewright.plans.profiles import PROFILES, SCHED, detect
 from tracewright.sources.readers import mock_chunks
+from tracewright.sources.writers import fact_report
 from tracewright.streaming.ingest import ingest, stream_chunks
 
 
@@ -355,3 +356,18 @@ def test_aliases_are_looked_up_once_a_file_and_name(spark, monkeypatch):
     assert looked == [3]
     assert {(r.file, r.callee, r.target) for r in rows} == {("a/x0.c", "rd", "near"), ("a/x1.c", "rd", "near"), (None, "rd", "first"), *((f, "f", "f") for f in ("a/x0.c", "a/x1.c", None)), *((f, "other", "other") for f in ("a/x0.c", "a/x1.c", None))}
     assert len(rows) == 3 * 40
+
+
+def test_a_text_is_searched_once(spark):
+    rows = spark.createDataFrame([("a(1,\n2); b();",)], "v string").select(matches(F.col("v"), kit.CALL, 2).alias("m"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and "regexp_extract_all" not in plan
+    assert [(r.line, r.g1, r.g2) for r in rows.first().m] == [(0, "a", "1,\n2"), (1, "b", "")]
+
+
+def test_fact_lines_are_ordered_within_their_function_only(spark):
+    facts = spark.createDataFrame([(f"s{k % 3}", k, "Call", f"c{k}") for k in range(30, 0, -1)], "symbol_id string, line int, domain string, semantic_id string")
+    report = fact_report(facts)
+    assert "rangepartitioning" not in report._jdf.queryExecution().toString()
+    rows = [(r.symbol_id, int(r.report.split()[0])) for r in report.collect()]
+    assert all([n for s, n in rows if s == f"s{j}"] == sorted(k for k in range(1, 31) if k % 3 == j) for j in range(3))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..plans import kit
 
-_MARK = "\u0001"
+#: Before a match, between its groups, and after them.
+_MARK, _NEXT, _END = "\u0001", "\u0005", "\u0006"
 
 
 def count_of(text: Column, part: str) -> Column:
@@ -30,14 +31,26 @@ def strip_comments(code: Column) -> Column:
 def matches(text: Column, pattern: str, groups: int) -> Column:
     """Array of (line, g1 .. gn) of all matches, left to right; line counts newlines before the match, from 0.
 
-    Each match is marked at its start, so the lines of the marked text give the matches' lines in
-    their order. The mark itself, a control character, is dropped from the text first.
+    The text is searched once, whatever the number of groups: a match is preceded by a mark and its
+    groups. Without the groups, the lines of the marked text give the matches' lines in their order.
+    The marks themselves, control characters, are dropped from the text first.
     """
-    text = F.replace(text, F.lit(_MARK), F.lit(""))
-    marked = F.split(F.regexp_replace(text, pattern, _MARK + "$0"), "\n", -1)
-    lines = F.flatten(F.transform(marked, lambda line, i: F.array_repeat(i.cast("int"), count_of(line, _MARK))))
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in range(1, groups + 1)]
-    return F.arrays_zip(lines.alias("line"), *(p.alias(f"g{k}") for k, p in enumerate(parts, 1)))
+    for mark in (_MARK, _NEXT, _END):
+        text = F.replace(text, F.lit(mark), F.lit(""))
+    own = _MARK + _NEXT.join(f"${k}" for k in range(1, groups + 1)) + _END + "$0"
+
+    def found(pieces: Column) -> Column:
+        each = F.slice(pieces, F.lit(2), F.size(pieces) - 1)
+        rest = F.concat(F.slice(pieces, 1, 1), F.transform(each, lambda p: F.substring_index(p, _END, -1)))
+        marked = F.split(F.array_join(rest, _MARK), "\n", -1)
+        lines = F.flatten(F.transform(marked, lambda line, i: F.array_repeat(i.cast("int"), count_of(line, _MARK))))
+        parts = F.transform(each, lambda p: F.split(F.substring_index(p, _END, 1), _NEXT, -1))
+        rows = F.zip_with(lines, parts, lambda line, p: F.struct(line.alias("line"), *(p[k].alias(f"g{k + 1}") for k in range(groups))))
+        none = F.array().cast(f"array<struct<line:int,{','.join(f'g{k}:string' for k in range(1, groups + 1))}>>")
+        return F.when(F.size(pieces) > 1, rows).otherwise(none)
+
+    # bound by a lambda, so that the pattern is not run again for each use
+    return F.element_at(F.transform(F.array(F.split(F.regexp_replace(text, pattern, own), _MARK, -1)), found), 1)
 
 
 def first_argument(arguments: Column) -> Column:
