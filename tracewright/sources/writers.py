@@ -27,9 +27,11 @@ def edge_dump(edges: DataFrame, symbol: str) -> DataFrame:
 
 
 def fact_report(facts: DataFrame) -> DataFrame:
-    """A printable line a fact, in timeline order within its function."""
+    """A printable line a fact, in timeline order within its function. Functions are in no order: to sort all would
+    take the facts twice, once for the bounds of the ranges."""
     line = F.format_string("%5d %-14s %s", "line", "domain", "semantic_id")
-    return facts.orderBy("symbol_id", "line", "semantic_id").select("symbol_id", line.alias("report"))
+    rows = facts.select("symbol_id", "line", "domain", "semantic_id").repartition("symbol_id")
+    return rows.sortWithinPartitions("symbol_id", "line", "semantic_id").select("symbol_id", line.alias("report"))
 
 
 def symbol_report(locals_: DataFrame) -> DataFrame:
