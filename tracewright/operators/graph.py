@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -140,7 +141,11 @@ def typed_edges(rows: DataFrame, edge_type: str, source: str, deterministic: boo
 
 def resolved_calls(chunks: DataFrame, aliases: DataFrame) -> DataFrame:
     """Calls of chunks (seq, symbol, file, code), with the name that each stands for after macro aliases, in the order of the chunks."""
-    calls = code_calls(chunks)
+    return named_calls(code_calls(chunks), aliases)
+
+
+def named_calls(calls: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Calls as of code_calls, with the name that each stands for after macro aliases."""
     # an alias is looked up once a file and name, whatever the number of calls, and only names that are aliases
     known = aliases.select(F.col("alias").alias("callee")).distinct()
     asked = calls.join(known, "callee", "left_semi").select("callee", "file").distinct().withColumn("place", F.struct("file", "callee"))
@@ -160,9 +165,9 @@ def unresolved_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return found.select(problem.alias("problem"), F.col("target").alias("callee"), "seq").filter("problem is not null").groupBy("problem", "callee").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
 
 
-def call_edges(chunks: DataFrame, symbols: DataFrame, aliases: DataFrame, profile: Profile) -> DataFrame:
-    """Direct calls and calls through macro aliases, of chunks whose own symbol is registered; numbered as the chunks are."""
-    found = resolve_unique(resolved_calls(chunks, aliases), symbols, "target")
+def call_edges(calls: DataFrame, symbols: DataFrame, aliases: DataFrame, profile: Profile) -> DataFrame:
+    """Direct calls and calls through macro aliases, of chunks whose own symbol is registered; numbered as the chunks are. ``calls`` as of code_calls."""
+    found = resolve_unique(named_calls(calls, aliases), symbols, "target")
     rows = found.select(symbol_id(F.col("file"), F.col("symbol")).alias("src"), F.col("target_id").alias("dst"), confidence(F.col("symbol"), F.col("target"), profile).alias("confidence"), "seq", (F.col("target") != F.col("callee")).alias("aliased"))
     rows = rows.join(symbols.select(F.col("symbol_id").alias("src")), "src", "left_semi")
     direct = typed_edges(rows.filter("not aliased"), "DIRECT_CALL", "regex_call_parse")
@@ -232,15 +237,65 @@ def build_graph(chunks: DataFrame, symbols: DataFrame, aliases: DataFrame, provi
 
     ``seq`` numbers edges as they are registered: first all calls by chunk, then dispatch, then bridges.
     """
-    symbols = register_symbols(symbols).select("file_path", "symbol_name", "seq", "symbol_id", "subsystem")
-    made = [call_edges(chunks, symbols, register_aliases(aliases, symbols), profile)]
+    symbols = _registered(symbols)
+    calls = call_edges(code_calls(chunks), symbols, register_aliases(aliases, symbols), profile)
+    symbols, made = _profile_edges(symbols, providers, profile)
+    return symbols, known_sources(_staged([calls, *made]), symbols)
+
+
+def _profile_edges(symbols: DataFrame, providers: DataFrame | None, profile: Profile) -> tuple[DataFrame, list[DataFrame]]:
+    """Dispatch and bridges over registered symbols, and these with the interfaces."""
+    made = []
     if providers is not None:
         made.append(dispatch_edges(providers, symbols))
         # only dispatch that is found registers its interface
-        used = made[1].select(F.col("src").alias("symbol_id")).distinct()
+        used = made[0].select(F.col("src").alias("symbol_id")).distinct()
         symbols = symbols.unionByName(interfaces(providers).join(used, "symbol_id", "left_semi"))
     if profile.bridges:
-        made.append(bridge_edges(bridges_of(chunks.sparkSession, profile), symbols))
-    staged = [e.withColumn("stage", F.lit(k)) for k, e in enumerate(made)]
-    edges = reduce(DataFrame.unionByName, staged).withColumn("seq", F.struct("stage", "seq")).drop("stage")
-    return symbols, known_sources(edges, symbols)
+        made.append(bridge_edges(bridges_of(symbols.sparkSession, profile), symbols))
+    return symbols, made
+
+
+def _registered(symbols: DataFrame) -> DataFrame:
+    return register_symbols(symbols).select("file_path", "symbol_name", "seq", "symbol_id", "subsystem")
+
+
+def _staged(made: list[DataFrame], first: int = 0) -> DataFrame:
+    staged = [e.withColumn("stage", F.lit(k)) for k, e in enumerate(made, first)]
+    return reduce(DataFrame.unionByName, staged).withColumn("seq", F.struct("stage", "seq")).drop("stage")
+
+
+def edges_of(calls: DataFrame, symbols: DataFrame, aliases: DataFrame, providers: DataFrame | None, profile: Profile) -> Callable[[list[str]], DataFrame]:
+    """build_graph's edges of the given sources, made when a walk asks for them; ``calls`` as of code_calls.
+
+    A name is resolved among the symbols of that name alone, whatever their case. So dispatch and bridges
+    are made once, over the names of the profile's tables and bridges, and kept; a step takes the calls
+    of its sources and all symbols of the names that these or their aliases may mean. The names that
+    reach the driver are bounded by the profile's files and by the texts of a step's functions.
+    """
+
+    def named(names: set[str]) -> DataFrame:
+        return symbols.filter(F.lower("symbol_name").isin(*{x.lower() for x in names}))
+
+    fixed = {x for ends in profile.bridges.items() for x in ends}
+    if providers is not None:
+        providers = providers.persist()
+        fixed |= _values(providers, "func")
+    every, made = _profile_edges(_registered(named(fixed)), providers, profile)
+    others = known_sources(_staged(made, 1), every).persist() if made else None
+
+    def leaving(sources: list[str]) -> DataFrame:
+        own = calls.filter(symbol_id(F.col("file"), F.col("symbol")).isin(*sources))
+        called = _values(own, "callee")
+        rest = [others.filter(F.col("src").isin(*sources))] if made else []
+        if rest and not called:
+            return rest[0]
+        through = aliases.filter(F.col("alias").isin(*called))
+        few = _registered(named({s.rpartition("::")[2] for s in sources} | called | _values(through, "target")))
+        return reduce(DataFrame.unionByName, rest, _staged([call_edges(own, few, register_aliases(through, few), profile)]))
+
+    return leaving
+
+
+def _values(rows: DataFrame, column: str) -> set[str]:
+    return {r[0] for r in rows.select(column).distinct().collect() if r[0] is not None}

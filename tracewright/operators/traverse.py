@@ -8,6 +8,7 @@ and cut in the cluster, so what reaches the driver is bounded by the budget, not
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -101,6 +102,14 @@ _ORDER = (F.desc, "confidence"), (F.desc, "is_deterministic"), (F.asc, "seq")
 _EDGE = ("src", "dst", "edge_id", "edge_type", "confidence", "is_deterministic", "seq")
 
 
+#: All edges, or what makes the edges of given sources when they are asked for.
+Edges = DataFrame | Callable[[list[str]], DataFrame]
+
+
+def _of(edges: Edges, ids: list[str]) -> DataFrame:
+    return edges.filter(F.col("src").isin(*ids)) if isinstance(edges, DataFrame) else edges(ids)
+
+
 class _Out:
     """Outgoing edges by node, in their order; asked for once a node.
 
@@ -108,7 +117,7 @@ class _Out:
     all that a walk can take among them; ``total`` is how many there were.
     """
 
-    def __init__(self, edges: DataFrame, most: int, groups: tuple[str, ...], first: tuple[str, ...] = ()):
+    def __init__(self, edges: Edges, most: int, groups: tuple[str, ...], first: tuple[str, ...] = ()):
         order = [f(c) for f, c in (*((F.desc, c) for c in first), *_ORDER)]
         self.edges, self.most, self.groups, self.order = edges, most, groups, order
         self.held: dict[str, list] = {}
@@ -117,7 +126,7 @@ class _Out:
         new = [i for i in ids if i not in self.held]
         if new:
             self.held |= {i: [] for i in new}
-            own = self.edges.filter(F.col("src").isin(*new)).withColumn("total", F.count("*").over(Window.partitionBy("src")))
+            own = _of(self.edges, new).withColumn("total", F.count("*").over(Window.partitionBy("src")))
             own = own.withColumn("nth", F.row_number().over(Window.partitionBy("src", *self.groups).orderBy(*self.order))).filter(F.col("nth") <= self.most)
             for r in own.orderBy("src", *(f(c) for f, c in _ORDER)).collect():
                 self.held[r["src"]].append(r)
@@ -128,11 +137,11 @@ class _Out:
 NOTES = 25
 
 
-def _walk(edges: DataFrame, start: str, order: tuple[str, ...], profile: Profile, depth: int, stop_at_terminals: bool, drop_low_signal: bool) -> Trace:
+def _walk(edges: Edges, start: str, order: tuple[str, ...], profile: Profile, depth: int, stop_at_terminals: bool, drop_low_signal: bool) -> Trace:
     # of a kind at most one edge to each visited node is in the way, and one more is taken
     name = F.substring_index("dst", "::", -1)
     quiet = name.isin(*profile.low_signal) if profile.low_signal and drop_low_signal else F.lit(False)
-    out = _Out(edges.withColumn("_quiet", quiet), max(depth + 1, NOTES), ("edge_type", "_quiet"))
+    out = _Out(lambda ids: _of(edges, ids).withColumn("_quiet", quiet), max(depth + 1, NOTES), ("edge_type", "_quiet"))
     trace, visited, here, came = Trace(), set(), start, None
     for level in range(depth):
         if here in visited:
@@ -163,7 +172,7 @@ def _walk(edges: DataFrame, start: str, order: tuple[str, ...], profile: Profile
     return trace
 
 
-def descent(edges: DataFrame, start: str, profile: Profile = GENERIC, max_depth: int = 16) -> Trace:
+def descent(edges: Edges, start: str, profile: Profile = GENERIC, max_depth: int = 16) -> Trace:
     """One path: synthetic before dispatch before direct, each by confidence; the profile's depth limit counts if set."""
     depth = max_depth if profile.depth_limit is None else profile.depth_limit
     return _walk(edges, start, ("SYNTHETIC_CONTINUATION", "FUNCTION_POINTER_DISPATCH", "DIRECT_CALL"), profile, depth, True, False)
@@ -172,7 +181,7 @@ def descent(edges: DataFrame, start: str, profile: Profile = GENERIC, max_depth:
 runtime_spine = descent
 
 
-def dispatch_trace(edges: DataFrame, start: str, profile: Profile = GENERIC, max_depth: int = 16) -> Trace:
+def dispatch_trace(edges: Edges, start: str, profile: Profile = GENERIC, max_depth: int = 16) -> Trace:
     """One path: dispatch before synthetic before direct, low-signal calls left out; terminals and the profile's limit do not count."""
     return _walk(edges, start, ("FUNCTION_POINTER_DISPATCH", "SYNTHETIC_CONTINUATION", "DIRECT_CALL"), profile, max_depth, False, True)
 
@@ -193,10 +202,10 @@ def branch_scores(edges: DataFrame, root_file: str, profile: Profile) -> DataFra
     return edges.filter(F.col("edge_type").isin(*kit.PRIORITY)).withColumn("score", score)
 
 
-def full_branch(edges: DataFrame, start: str, profile: Profile = GENERIC, max_depth: int = 8, branches: int = 5, max_nodes: int = 75) -> Trace:
+def full_branch(edges: Edges, start: str, profile: Profile = GENERIC, max_depth: int = 8, branches: int = 5, max_nodes: int = 75) -> Trace:
     """Breadth first: a node's best branches by score, less 25 for each earlier visit of the target; nodes up to a budget."""
     # a visited target has lost 25 a visit, so beyond the best branches one edge of each kind to each node may come before
-    out = _Out(branch_scores(edges, start.rpartition("::")[0], profile), branches + max_nodes * len(kit.PRIORITY), (), ("score",))
+    out = _Out(lambda ids: branch_scores(_of(edges, ids), start.rpartition("::")[0], profile), branches + max_nodes * len(kit.PRIORITY), (), ("score",))
     trace, queue, depth_of, expanded, visits, signed, omitted = Trace(), deque([(start, 0)]), {start: 0}, set(), {}, set(), 0
     while queue and len(depth_of) < max_nodes:
         here, depth = queue.popleft()
