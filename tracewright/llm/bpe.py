@@ -137,30 +137,50 @@ class CachedEncoder:
             at = m.end()
         return out + self.pattern.findall(text[at:])
 
+    def special(self, text: str) -> bool:
+        """Whether more than single spaces before words, and added tokens, has to be told apart."""
+        return any(x in text for x in self.added) or self.wide.search(text) is not None
+
     def pieces(self, text: str) -> tuple[list[str], list[str]]:
         """Words of the beginning (of a text with added tokens: of all), and the pieces after spaces."""
         if any(x in text for x in self.added):
             return self.split(text), []
-        first, *tail = self.begins.split(text) if self.wide.search(text) else text.split(" ")
+        first, *tail = self.begins.split(text)
         return self.pattern.findall(first), tail
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(text) for text in texts]
-        known = self.after.get
-        coded = [list(map(known, tail)) for _, tail in cut]
-        gaps = [[k for k, own in enumerate(row) if own is None] for row in coded]
-        new = {tail[k] for (_, tail), own in zip(cut, gaps, strict=True) for k in own}
+        """Most texts are cut, and their pieces told apart and put together, in arrays: a piece costs Python work only once a call."""
+        odd = [k for k, text in enumerate(texts) if self.special(text)]
+        plain = [*range(len(texts))] if not odd else sorted({*range(len(texts))}.difference(odd))
+        cut = [self.pieces(texts[k]) for k in odd]
+        lists = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")
+        ends, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        place, pieces, starts = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), ends[:-1]
+        heads = [self.pattern.findall(pieces[k]) for k in place[starts].tolist()]
+        place[starts] = len(pieces) + np.arange(len(plain))  # a text's beginning follows no space
+        after = np.zeros(len(pieces) + len(plain), bool)
+        after[place] = True
+        wanted = [x for x, used in zip(pieces, after.tolist(), strict=False) if used]
+
+        new = {x for x, own in zip(wanted, map(self.after.get, wanted), strict=True) if own is None}
+        new.update(x for _, tail in cut for x in tail if x not in self.after)
         met = {x: self.older[x] for x in new if x in self.older}
         self.after |= met
         new.difference_update(met)
-        self._learn(new, set().union(*(head for head, _ in cut)))
-        out = []
-        for (head, tail), row, own in zip(cut, coded, gaps, strict=True):
-            for k in own:
-                row[k] = self.after[tail[k]]
-            out.append(b"".join([*map(self._word, head), *row]))
+        self._learn(new, set().union(*heads, *(head for head, _ in cut)))
+
+        known, ids = self.after.get, [b""] * len(texts)
+        table = pa.array([*(known(x, b"") for x in pieces), *(b"".join(map(self._word, head)) for head in heads)], pa.large_binary())
+        joined = table.take(pa.array(place))
+        raw = joined.buffers()[2]
+        at = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1)[ends].tolist()
+        view = memoryview(raw) if raw is not None else memoryview(b"")
+        for k, a, b in zip(plain, at, at[1:], strict=False):
+            ids[k] = bytes(view[a:b])
+        for k, (head, tail) in zip(odd, cut, strict=True):
+            ids[k] = b"".join([*map(self._word, head), *map(self.after.__getitem__, tail)])
         self._forget()
-        return out
+        return ids
 
     def _learn(self, new: set[str], words: set[str]) -> None:
         """Encode pieces that follow a space, and words."""

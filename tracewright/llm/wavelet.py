@@ -14,8 +14,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import pairwise
 from operator import attrgetter
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ from .files import Ranged, put
 
 MAGIC, BLOCK_BITS = b"TWWAVEL1", 512
 SHARD_TOKENS, END_ID, LOOKUPS = 1 << 21, 2, 1 << 13
+#: Characters encoded together: the more, the fewer pieces are met anew.
+SLICE_CHARS = 1 << 22
 
 
 def build(ids: np.ndarray, keys: list[int | None], counts: list[int]) -> list[bytes]:
@@ -46,7 +48,7 @@ def build(ids: np.ndarray, keys: list[int | None], counts: list[int]) -> list[by
         before = np.zeros(blocks, np.uint32)
         np.cumsum(inside[:-1], out=before[1:])
         body += [packed.tobytes(), before.astype("<u4").tobytes()]
-        zeros.append(len(ids) - int(ones.sum()))
+        zeros.append(len(ids) - int(inside.sum()))
         ids = np.concatenate([np.compress(~ones, ids), np.compress(ones, ids)])
     nulls = [k is None for k in keys]
     table = zlib.compress(np.array([[k or 0 for k in keys], counts, nulls], "<i8").tobytes(), 3)
@@ -166,12 +168,13 @@ _AS_WRITTEN = {b: c for c, b in byte_chars().items()}
 
 def encode_words(model, words: list[str]) -> list[bytes]:
     """Ids of each word. The words are cut already, so they go to the library's model without its own cutting."""
-    out, ask, of = [], model.tokenize, attrgetter("id")
+    ask, of, ids, ends = model.tokenize, attrgetter("id"), [], [0]
     for w in words:
         written = "\u0120" + w[1:] if w[0] == " " and w.isascii() and w[1:].isalpha() else w.encode().decode("latin-1").translate(_AS_WRITTEN)
-        ids = [*map(of, ask(written))]
-        out.append(pack(f"<{len(ids)}I", *ids))
-    return out
+        ids.extend(map(of, ask(written)))
+        ends.append(4 * len(ids))
+    raw = np.array(ids, "<u4").tobytes()
+    return [raw[a:b] for a, b in pairwise(ends)]
 
 
 def write_shards(batches: Iterator[pa.RecordBatch], name: str, folder: str, end_id: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:
@@ -192,7 +195,7 @@ def write_shards(batches: Iterator[pa.RecordBatch], name: str, folder: str, end_
     total = 0
     for batch in batches:
         keys_in, at = batch.column("key").to_pylist(), 0
-        for texts in slices(batch.column("text").to_pylist()):
+        for texts in slices(batch.column("text").to_pylist(), SLICE_CHARS):
             for own in encoder(texts):
                 n = len(own) // 4 + 1
                 if keys and total + n > shard_tokens:
