@@ -12,6 +12,9 @@ from ..functions.identity import node_id
 EXPLOSION = 5000
 _COLUMNS = ("symbol_id", "file", "line", "type", "source_semantic_id", "target_semantic_id", "relationship_id", "source_id", "target_id")
 
+#: Columns of facts that relationships of this module are made of.
+USED = ("symbol_id", "file", "semantic_id", "fact_type", "domain", "category", "line", "name", "resolved", "extractor", "ordinal")
+
 
 def _edge_id(file: Column, line: Column, kind: str, tail: Column) -> Column:
     return F.concat_ws(":", F.lit("rel"), file, line, F.lit(kind), tail)
