@@ -347,6 +347,15 @@ def test_bodies_across_rows_and_blocks(spark):
     assert frontend.bodies(symbols.union(symbols.filter("symbol = 'f1'")), in_rows).filter("symbol = 'f1'").count() == 2
 
 
+def test_bodies_send_no_texts_through_the_driver(spark):
+    sources = spark.range(40).select(F.concat(F.lit("k/f"), "id", F.lit(".c")).alias("file"), F.lit("int f(void)\n{\n}\nstruct s a_sched_class = {\n\t.x = 1,\n};").alias("text"))
+    asked = F.explode(F.array(F.struct(F.lit("f").alias("symbol"), F.lit("function").alias("symbol_type")), F.struct(F.lit("a_sched_class").alias("symbol"), F.lit("variable").alias("symbol_type")))).alias("s")
+    cut = frontend.bodies(sources.select("file", asked).select("file", "s.*", F.lit(1).alias("line")), sources)
+    assert [(r.symbol, r.start_line, r.end_line, r["count"]) for r in cut.groupBy("symbol", "start_line", "end_line").count().sort("symbol").collect()] == [("a_sched_class", 4, 6, 40), ("f", 1, 3, 40)]
+    rows = cut._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in rows and "Broadcast" not in rows
+
+
 def test_aliases_are_looked_up_once_a_file_and_name(spark, monkeypatch):
     chunks = spark.createDataFrame([(k, f"f{k}", f"a/x{k % 2}.c" if k else None, "void f(void)\n{\nrd(a);\nother(b);\nrd(c);\n}") for k in range(40)], "seq long, symbol string, file string, code string")
     aliases = spark.createDataFrame([(1, "rd", "first", "b/y.c"), (2, "rd", "near", "a/x1.c"), (3, "none", "z", "a/x1.c")], "seq long, alias string, target string, file_path string")

@@ -88,6 +88,12 @@ def _lines(sources: DataFrame) -> DataFrame:
     return sources.select("file", F.explode(rows).alias("l")).select("file", "l.*")
 
 
+def _sorted(rows: DataFrame) -> DataFrame:
+    """Joined by sorting. Spark's guess of their size goes by the sources' files, not by the lines that texts hold, and a guess
+    that is too low would send whole texts or all symbols through the driver."""
+    return rows.hint("merge")
+
+
 def _net() -> Column:
     return count_of(F.col("line"), "{") - count_of(F.col("line"), "}")
 
@@ -140,7 +146,7 @@ def _cut(asked: DataFrame, sources: DataFrame) -> DataFrame:
     blocks = _blocks(sources)
 
     def cut(rows: DataFrame) -> DataFrame:
-        held = rows.groupBy("file", "block").agg(F.collect_list(F.struct(*names, "until", "times")).alias("asked")).join(blocks, ["file", "block"])
+        held = rows.groupBy("file", "block").agg(F.collect_list(F.struct(*names, "until", "times")).alias("asked")).join(_sorted(blocks), ["file", "block"])
 
         def own(s: Column) -> Column:
             start = F.greatest(s["start"], F.col("at"))
@@ -186,7 +192,7 @@ def initializer_blocks(symbols: DataFrame, sources: DataFrame) -> DataFrame:
     head = F.regexp_extract("line", r"struct\s+(.*)=", 1)
     heads = lines.filter(F.col("line").contains("struct") & F.col("line").contains("=")).select("file", "i", F.explode(F.array_distinct(F.regexp_extract_all(head, F.lit(r"(\w+)"), F.lit(1)))).alias("symbol"))
     first = heads.groupBy("file", "symbol").agg(F.min("i").alias("start"))
-    asked = symbols.drop("start").distinct().join(first, ["file", "symbol"]).select(*symbols.columns)
+    asked = symbols.drop("start").distinct().join(_sorted(first), ["file", "symbol"]).select(*symbols.columns)
     marks = lines.select("file", "i", _net().alias("net"), F.col("line").contains(";").alias("ends"))
     both = _marked(asked, marks).withColumn("own", F.min(F.when(F.col("mark") == 1, F.struct("i", "net", "ends"))).over(_back()))
     after = F.when(F.col("mark") == 0, F.col("start") + 1).otherwise(F.col("i"))
