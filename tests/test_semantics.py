@@ -374,6 +374,37 @@ def test_a_text_is_searched_once(spark):
     assert [(r.line, r.g1, r.g2) for r in rows.first().m] == [(0, "a", "1,\n2"), (1, "b", "")]
 
 
+def test_searches_find_what_their_published_patterns_find(spark):
+    """Patterns that do not go back, on random texts of the characters that matter."""
+    from random import Random
+
+    draw = Random(7)
+    parts = ["a", "b1", "_", "1", " ", "\n", "\t", ".", "-", ">", "->", "[", "]", "[i]", "=", "==", "+", "++", "--", "+=", "-=", "|=", "^=", "&", "*", "/", "!", ";", "(", ")", ",", "é", "spin_lock", "spin_lock_irqsave", "raw_", "rcu_", "rcu_dereference", "_bh", "call_rcu", "\u0001"]
+    texts = spark.createDataFrame([("".join(draw.choice(parts) for _ in range(draw.randrange(60))),) for _ in range(4000)], "v string").repartition(4)
+    rcu = sorted({x for names in kit.RCU.values() for x in names})
+    locks = [*kit.ACQUIRE, *kit.RELEASE, *kit.INTERRUPT]
+    plain = lambda names: r"\b(" + "|".join(sorted(names, key=len, reverse=True)) + r")\s*\(([^;]*)\)"
+    for fast, published, groups in ((kit.LINUX.mutation, kit.MUTATION, 3), (kit.any_of(rcu), plain(rcu), 2), (kit.any_of(locks), plain(locks), 2), (kit.any_of(kit.ITERATORS), plain(kit.ITERATORS), 2), (kit.any_of(["take"]), plain(["take"]), 2)):
+        both = texts.select("v", matches(F.col("v"), fast, groups).alias("a"), matches(F.col("v"), published, groups).alias("b"))
+        assert both.filter("not a <=> b").collect() == []
+        bare = F.regexp_replace("v", "\u0001", "")
+        assert texts.filter(F.size(matches(F.col("v"), published, groups)) != F.size(F.regexp_extract_all(bare, F.lit(published), F.lit(1)))).count() == 0
+
+
+def test_matches_with_newlines_and_marks_in_groups(spark):
+    found = one(spark, matches(F.col("v"), r"(\w+)\(([^)]*)\)", 2), "\u0001a(1,\n\n2) b(\u0005)\nc(\u0006x)\n\nd()")
+    assert [(m["line"], m["g1"], m["g2"]) for m in found] == [(0, "a", "1,\n\n2"), (2, "b", ""), (3, "c", "x"), (5, "d", "")]
+    assert one(spark, matches(F.col("v"), r"(\w+)\(([^)]*)\)", 2), "none\n") == []
+
+
+def test_every_primitive_is_dealt_over_all_tasks(spark):
+    """One small file of orders is read by one task; its functions are not searched by that task alone."""
+    from tracewright.plans.queries import QUERIES
+
+    plan = QUERIES["ext_every_primitive"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.index("Generate explode") < plan.index("REPARTITION_BY_NUM")
+
+
 def test_fact_lines_are_ordered_within_their_function_only(spark):
     facts = spark.createDataFrame([(f"s{k % 3}", k, "Call", f"c{k}") for k in range(30, 0, -1)], "symbol_id string, line int, domain string, semantic_id string")
     report = fact_report(facts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ def clean_code(code: Column, compat_comments: bool = False) -> Column:
     pattern = kit.COMMENT_TO_END if compat_comments else kit.COMMENT
     between = F.split(code, pattern, -1)
     lines = F.transform(F.regexp_extract_all(code, F.lit(pattern), F.lit(0)), lambda m: F.regexp_replace(m, r"[^\n]", ""))
-    return F.array_join(F.zip_with(between, lines, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    cleaned = F.array_join(F.zip_with(between, lines, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(code.contains("/*") | code.contains("//"), cleaned).otherwise(code)
 
 
 def strip_comments(code: Column) -> Column:
@@ -31,26 +34,26 @@ def strip_comments(code: Column) -> Column:
 def matches(text: Column, pattern: str, groups: int) -> Column:
     """Array of (line, g1 .. gn) of all matches, left to right; line counts newlines before the match, from 0.
 
-    The text is searched once, whatever the number of groups: a match is preceded by a mark and its
-    groups. Without the groups, the lines of the marked text give the matches' lines in their order.
-    The marks themselves, control characters, are dropped from the text first.
+    The text is searched once, whatever the number of groups: a match is preceded by a mark and its groups, each with a
+    mark after it. Cut at the marks, the text has a stride of pieces a match, of which the last is plain text; the
+    lines of the plain pieces give the matches' lines in their order. The marks themselves, control characters,
+    are dropped from the text first, if it has any.
     """
-    for mark in (_MARK, _NEXT, _END):
-        text = F.replace(text, F.lit(mark), F.lit(""))
+    marks, stride = (_MARK, _NEXT, _END), groups + 1
     own = _MARK + _NEXT.join(f"${k}" for k in range(1, groups + 1)) + _END + "$0"
 
+    def marked(text: Column) -> Column:
+        bare = reduce(lambda t, mark: F.replace(t, F.lit(mark), F.lit("")), marks, text)
+        return F.regexp_replace(F.when(text.rlike(f"[{''.join(marks)}]"), bare).otherwise(text), pattern, own)
+
     def found(pieces: Column) -> Column:
-        each = F.slice(pieces, F.lit(2), F.size(pieces) - 1)
-        rest = F.concat(F.slice(pieces, 1, 1), F.transform(each, lambda p: F.substring_index(p, _END, -1)))
-        marked = F.split(F.array_join(rest, _MARK), "\n", -1)
-        lines = F.flatten(F.transform(marked, lambda line, i: F.array_repeat(i.cast("int"), count_of(line, _MARK))))
-        parts = F.transform(each, lambda p: F.split(F.substring_index(p, _END, 1), _NEXT, -1))
-        rows = F.zip_with(lines, parts, lambda line, p: F.struct(line.alias("line"), *(p[k].alias(f"g{k + 1}") for k in range(groups))))
-        none = F.array().cast(f"array<struct<line:int,{','.join(f'g{k}:string' for k in range(1, groups + 1))}>>")
-        return F.when(F.size(pieces) > 1, rows).otherwise(none)
-
-    # bound by a lambda, so that the pattern is not run again for each use
-    return F.element_at(F.transform(F.array(F.split(F.regexp_replace(text, pattern, own), _MARK, -1)), found), 1)
+        plain = F.filter(pieces, lambda _, i: i % stride == 0)
+        times = lambda line: F.size(F.split(line, _MARK, -1)) - 1
+        own_lines = F.transform(F.split(F.array_join(plain, _MARK), "\n", -1), lambda line, i: F.when(line.contains(_MARK), F.array_repeat(i, times(line))).otherwise(F.array().cast("array<int>")))
+        return F.transform(F.flatten(own_lines), lambda line, m: F.struct(line.alias("line"), *(F.get(pieces, m * stride + k).alias(f"g{k}") for k in range(1, groups + 1))))
+
+    # bound by lambdas, so that no text is made or searched again for each use
+    return F.element_at(F.transform(F.transform(F.array(text), lambda t: F.split(marked(t), f"[{''.join(marks)}]", -1)), found), 1)
 
 
 def first_argument(arguments: Column) -> Column:

@@ -5,6 +5,8 @@ All names, patterns and weights in this module are fixed values of the analysed
 
 from __future__ import annotations
 
+import os
+import re
 from dataclasses import dataclass, field
 
 # --- fixed values: text patterns -------------------------------------------------------------
@@ -96,6 +98,9 @@ PROFILE_KEYWORDS = (
 # --- end of fixed values ---------------------------------------------------------------------
 
 
+#: The matches of MUTATION, found without giving names back letter by letter: what comes after a name begins with none of
+#: its letters but the dash.
+MUTATION_SEARCH = r"\b(?!\d)(\w[\w>.]*+(?:-[\w>.]*+)*(?:\s*+\[[^\]]++\])?+)\s*+([-+*/|&^]?+=|\+\+|--)(?!=)([^;\n]*+);?+"
 #: Between the groups of a match that are kept in one column.
 GROUPS = "\u0002"
 
@@ -112,7 +117,7 @@ class Kit:
     rcu: dict[str, tuple[str, ...]]
     control: tuple[str, ...] = CONTROL
     call: str = CALL
-    mutation: str = MUTATION
+    mutation: str = MUTATION_SEARCH
 
     def call_exclusions(self) -> list[str]:
         """Names that are no calls: control words, iterators, and the lock, interrupt and RCU primitives."""
@@ -122,8 +127,22 @@ class Kit:
 LINUX = Kit("linux", ACQUIRE, RELEASE, INTERRUPT, ITERATORS, RCU)
 
 
+def _branches(names: list[str]) -> str:
+    """The names, equal beginnings once."""
+    out = []
+    for first in sorted({n[:1] for n in names} - {""}):
+        own = [n for n in names if n[:1] == first]
+        head = os.path.commonprefix(own)
+        out.append(re.escape(head) + _branches([n[len(head) :] for n in own]))
+    optional = "?" if "" in names else ""
+    return out[0] if len(out) == 1 and not optional else f"(?:{'|'.join(out)}){optional}" if out else ""
+
+
 def any_of(names) -> str:
-    return r"\b(" + "|".join(sorted(names, key=len, reverse=True)) + r")\s*\(([^;]*)\)"
+    """Uses of the names, at word boundaries, with their arguments. A name is told by what follows it, so the order of the names does not matter."""
+    names = sorted(set(names))
+    first = "".join(sorted({re.escape(n[0]) for n in names}))
+    return rf"\b(?=[{first}])({_branches(names)})\s*+\(([^;]*)\)"
 
 
 @dataclass(frozen=True)
