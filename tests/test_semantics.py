@@ -395,6 +395,7 @@ def test_matches_with_newlines_and_marks_in_groups(spark):
     found = one(spark, matches(F.col("v"), r"(\w+)\(([^)]*)\)", 2), "\u0001a(1,\n\n2) b(\u0005)\nc(\u0006x)\n\nd()")
     assert [(m["line"], m["g1"], m["g2"]) for m in found] == [(0, "a", "1,\n\n2"), (2, "b", ""), (3, "c", "x"), (5, "d", "")]
     assert one(spark, matches(F.col("v"), r"(\w+)\(([^)]*)\)", 2), "none\n") == []
+    assert one(spark, matches(F.col("v"), r"(\w+)\(([^)]*)\)", 2), None) == []
 
 
 def test_every_primitive_is_dealt_over_all_tasks(spark):

@@ -37,7 +37,7 @@ def matches(text: Column, pattern: str, groups: int) -> Column:
     The text is searched once, whatever the number of groups: a match is preceded by a mark and its groups, each with a
     mark after it. Cut at the marks, the text has a stride of pieces a match, of which the last is plain text; the
     lines of the plain pieces give the matches' lines in their order. The marks themselves, control characters,
-    are dropped from the text first, if it has any.
+    are dropped from the text first, if it has any. A null text has no matches.
     """
     marks, stride = (_MARK, _NEXT, _END), groups + 1
     own = _MARK + _NEXT.join(f"${k}" for k in range(1, groups + 1)) + _END + "$0"
@@ -53,7 +53,7 @@ def matches(text: Column, pattern: str, groups: int) -> Column:
         return F.transform(F.flatten(own_lines), lambda line, m: F.struct(line.alias("line"), *(F.get(pieces, m * stride + k).alias(f"g{k}") for k in range(1, groups + 1))))
 
     # bound by lambdas, so that no text is made or searched again for each use
-    return F.element_at(F.transform(F.transform(F.array(text), lambda t: F.split(marked(t), f"[{''.join(marks)}]", -1)), found), 1)
+    return F.element_at(F.transform(F.transform(F.array(F.coalesce(text, F.lit(""))), lambda t: F.split(marked(t), f"[{''.join(marks)}]", -1)), found), 1)
 
 
 def first_argument(arguments: Column) -> Column:
